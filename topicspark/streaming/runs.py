@@ -29,7 +29,10 @@ def start_insert(
 def start_refresh(
     stream: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 seconds"
 ) -> StreamingQuery:
-    """Call ``refresh(batch, batch_id)`` on the new records every interval: the continuous form of a batch product."""
+    """Call ``refresh(batch, batch_id)`` on the new records every interval: the continuous form of a batch product.
+
+    A batch belongs to the stream's own session: SQL inside ``refresh`` goes to ``batch.sparkSession``.
+    """
     return (
         stream.writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)
