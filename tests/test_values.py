@@ -6,31 +6,56 @@ import topicspark as ts
 DOCTYPE = '<!DOCTYPE foo [<!ENTITY xxe SYSTEM "file:///etc/passwd">]><foo>&xxe;</foo>'
 
 
-def one(spark, value, column):
-    return spark.createDataFrame([(value, None)], "value STRING, key STRING").select(column).first()[0]
+def evaluate(spark, values, column):
+    """The column over each value, in order."""
+    frame = spark.createDataFrame([(i, v, None) for i, v in enumerate(values)], "i INT, value STRING, key STRING")
+    return [row[1] for row in frame.select("i", column.alias("c")).orderBy("i").collect()]
+
+
+XML_CASES = {
+    # Plain paths are followed in the same parse as the check; the others go to Spark's XPath functions.
+    "/root/child": [
+        ("<root><child>value</child></root>", "value"),
+        ("<root><child/></root>", ""),
+        ("<root><child>first</child><child>second</child></root>", "first"),
+        ("<root><child>A<name>lice</name> &amp; <![CDATA[<Bob>]]><!-- no --></child><child>x</child></root>", "Alice & <Bob>"),
+        ("<root><other><child>deeper</child></other><child>own</child></root>", "own"),
+        ("<root><root><child>deeper</child></root></root>", None),
+        ("<child><root><child>x</child></root></child>", None),
+        ("<root><other>value</other></root>", None),
+        (None, None),
+        ("  \n ", None),
+        ("\n <root><child>padded</child></root> ", "padded"),
+        ("<root><child>early</child>", "Error: malformed XML"),
+        ("plain", "Error: malformed XML"),
+        ("<root><child>1</child></root><b/>", "Error: malformed XML"),
+        ("<!DOCTYPE root><root><child>1</child></root>", "Error: malformed XML"),
+    ],
+    "/root/child/@id": [
+        ('<root><child id="123">value</child></root>', "123"),
+        ('<root><child/><child id="2"/><child id="3"/></root>', "2"),
+        ('<root id="1"><child/></root>', None),
+    ],
+    "/order/customer/name": [("<order><customer><name>Alice</name></customer></order>", "Alice")],
+    "/foo": [(DOCTYPE, "Error: malformed XML")],
+    "//name": [("<order><customer><name>Alice</name></customer></order>", "Alice"), ("<a/>", None), ("<a", "Error: malformed XML")],
+    "/a/b[2]": [("<a><b>1</b><b>2</b></a>", "2"), ("<a><b>1</b><b/></a>", ""), ("<a><b>1</b></a>", None), (None, None)],
+    "/a[@k='v']/b": [("<a k='v'><b>1</b></a>", "1"), ("<a k='w'><b>1</b></a>", None)],
+}
 
 
-@pytest.mark.parametrize(
-    "xml, path, expected",
-    [
-        ("<root><child>value</child></root>", "/root/child", "value"),
-        ('<root><child id="123">value</child></root>', "/root/child/@id", "123"),
-        ("<order><customer><name>Alice</name></customer></order>", "/order/customer/name", "Alice"),
-        ("<order><customer>A<name>lice</name></customer></order>", "/order/customer", "Alice"),
-        ("<root><c>first</c><c>second</c></root>", "/root/c", "first"),
-        ("<root><child/></root>", "/root/child", ""),
-        ("<root><child>value</child></root>", "/root/other", None),
-        (None, "/root", None),
-        ("  \n ", "/root", None),
-        ("\n <root>padded</root> ", "/root", "padded"),
-        ("<root>", "/root", "Error: malformed XML"),
-        ("plain", "/root", "Error: malformed XML"),
-        ("<a>1</a><b>2</b>", "/a", "Error: malformed XML"),
-        (DOCTYPE, "/foo", "Error: malformed XML"),
-    ],
-)
-def test_xml_extract(spark, xml, path, expected):
-    assert one(spark, xml, ts.xml_extract("value", path)) == expected
+def test_xml_extract(spark):
+    for path, cases in XML_CASES.items():
+        values, expected = zip(*cases)
+        assert evaluate(spark, values, ts.xml_extract("value", path)) == list(expected), path
+
+
+def test_plain_paths_agree_with_spark(spark):
+    documents = [text for cases in XML_CASES.values() for text, _ in cases if text and text.startswith("<")]
+    for path in ("/root/child", "/root/child/@id", "/order/customer", "/order", "/a/b"):
+        # The same nodes by a path that is not plain.
+        native = evaluate(spark, documents, ts.xml_extract("value", f"{path}[true()]" if "@" not in path else path + "[.!='?']"))
+        assert evaluate(spark, documents, ts.xml_extract("value", path)) == native, path
 
 
 @pytest.mark.parametrize("path", ["count(/a)", "/a[", "'text'"])
@@ -39,72 +64,84 @@ def test_xml_extract_refuses_paths_without_nodes(spark, path):
         ts.xml_extract("value", path)
 
 
-@pytest.mark.parametrize(
-    "text, path, expected",
-    [
-        ('{"a": {"b": 5}}', "$.a.b", "5"),
-        ('{"a": 10.0}', "$.a", "10.0"),
-        ('{"a": "x"}', "$.a", "x"),
-        ('{"a": "{not an object}"}', "$.a", "{not an object}"),
-        ('{"a": true}', "$.a", "true"),
-        ('{"a": [1, 2]}', "$.a", None),
-        ('{"a": [1, 2]}', "$.a[1]", "2"),
-        ('{"a": {"b": 5}}', "$.a", None),
-        ('{"a": null}', "$.a", None),
-        ('{"a": 1}', "$.b", None),
-        ('{"a": 1', "$.a", None),
-        (None, "$.a", None),
-    ],
-)
-def test_json_value(spark, text, path, expected):
-    assert one(spark, text, ts.json_value("value", path)) == expected
-
-
-@pytest.mark.parametrize(
-    "text, expected",
-    [("{}", "JSON"), ("\x00\t [1]", "JSON"), ("\r\n<a/>", "XML"), ("plain {", None), ("", None), ("   ", None), (None, None)],
-)
-def test_value_format(spark, text, expected):
-    assert one(spark, text, ts.value_format("value")) == expected
-
-
-@pytest.mark.parametrize(
-    "text, expected, regex, hit",
-    [
-        ("contains-key1", "key1", False, True),
-        ("contains-KEY1", "key1", False, False),
-        ("user-456 failed", "user-.* failed", True, True),
-        ("user-456 failed", r"user-\d{4} failed", True, False),
-        ("a[b", "[", True, True),
-        ("anything", "", False, True),
-        ("anything", None, False, False),
-        (None, "x", False, False),
-    ],
-)
-def test_value_matches(spark, text, expected, regex, hit):
-    assert one(spark, text, ts.value_matches("value", expected, regex)) is hit
-
-
-@pytest.mark.parametrize(
-    "value, key, expected, path, hit",
-    [
-        ('{"orderId": "ORD-123"}', None, "ORD-123", "$.orderId", True),
-        ('{"orderId": "ORD-123"}', None, "ORD-999", "$.orderId", False),
-        ('{"orderId": "ORD-123"}', "ORD-123", "ORD-123", "$.wrongPath", False),
-        ("<o><id>7</id></o>", None, "7", "/o/id", True),
-        ("<o><id>7</id></o>", "7", "7", "/o/other", False),
-        ("<o><id>7</id>", "7", "7", "/o/id", False),
-        ("<o><id>7</id><id>8</id></o>", None, "2", "count(/o/id)", True),
-        ("<o><id>7</id></o>", "7", "7", "/o[", False),
-        ("plain 7", None, "7", "$.id", True),
-        (None, "7", "7", "$.id", True),
-        ("anything 7", None, "7", None, True),
-        ("anything 7", None, "7", "  ", True),
+JSON_CASES = {
+    "$.a.b": [('{"a": {"b": 5}}', "5"), ('{"a": 1}', None)],
+    "$.a": [
+        ('{"a": 10.0}', "10.0"),
+        ('{"a": "x"}', "x"),
+        ('{"a": "{not an object}"}', "{not an object}"),
+        ('{"a": true}', "true"),
+        ('{"a": [1, 2]}', None),
+        ('{"a": {"b": 5}}', None),
+        ('{"a": null}', None),
+        ('{"b": 1}', None),
+        ('{"a": 1', None),
+        (None, None),
     ],
-)
-def test_match_path(spark, value, key, expected, path, hit):
-    frame = spark.createDataFrame([(value, key)], "value STRING, key STRING")
-    assert frame.select(ts.match_path("value", expected, path=path)).first()[0] is hit
+    "$.a[1]": [('{"a": [1, 2]}', "2"), ('{"a": [1]}', None)],
+}
+
+
+def test_json_value(spark):
+    for path, cases in JSON_CASES.items():
+        values, expected = zip(*cases)
+        assert evaluate(spark, values, ts.json_value("value", path)) == list(expected), path
+
+
+def test_value_format(spark):
+    cases = [("{}", "JSON"), ("\x00\t [1]", "JSON"), ("\r\n<a/>", "XML"), ("plain {", None), ("", None), ("   ", None), (None, None)]
+    values, expected = zip(*cases)
+    assert evaluate(spark, values, ts.value_format("value")) == list(expected)
+
+
+MATCH_CASES = [
+    ("contains-key1", "key1", False, True),
+    ("contains-KEY1", "key1", False, False),
+    ("user-456 failed", "user-.* failed", True, True),
+    ("user-456 failed", r"user-\d{4} failed", True, False),
+    ("a[b", "[", True, True),
+    ("anything", "", False, True),
+    ("anything", None, False, False),
+    (None, "x", False, False),
+]
+
+
+def test_value_matches(spark):
+    hits = [F.coalesce(ts.value_matches(F.lit(t).cast("string"), e, regex), F.lit(None)) for t, e, regex, _ in MATCH_CASES]
+    assert list(spark.range(1).select(*hits).first()) == [hit for *_, hit in MATCH_CASES]
+
+
+PATH_CASES = [
+    ('{"orderId": "ORD-123"}', None, "ORD-123", "$.orderId", True),
+    ('{"orderId": "ORD-123"}', None, "ORD-999", "$.orderId", False),
+    ('{"orderId": "ORD-123"}', "ORD-123", "ORD-123", "$.wrongPath", False),
+    ('{"items": [{"sku": "A"}, {"sku": "B"}]}', None, "B", "$.items[*].sku", True),
+    ('{"p": {"items": [{"sku": "A"}, {"sku": "B"}]}}', None, "B", "$..sku", True),
+    ('{"p": {"sku": 7}}', "8", "8", "$..sku", False),
+    ('{"p": "sku', "p", "p", "$..sku", False),
+    ("<o><id>7</id></o>", None, "7", "/o/id", True),
+    ("<o><id>7</id></o>", "7", "7", "/o/other", False),
+    ("<o><id>7</id>", "7", "7", "/o/id", False),
+    ("<o><id>7</id><id>8</id></o>", None, "2", "count(/o/id)", True),
+    ("<o><id>7</id></o>", "7", "7", "/o[", False),
+    ("plain 7", None, "7", "$.id", True),
+    (None, "7", "7", "$.id", True),
+    ("anything 7", None, "7", None, True),
+    ("anything 7", None, "7", "  ", True),
+]
+
+
+def test_match_path(spark):
+    rows = [(i, value, key) for i, (value, key, *_) in enumerate(PATH_CASES)]
+    frame = spark.createDataFrame(rows, "i INT, value STRING, key STRING")
+    tests = [ts.match_path("value", expected, path=path).alias(f"c{i}") for i, (_, _, expected, path, _) in enumerate(PATH_CASES)]
+    got = frame.select("i", *tests).orderBy("i").collect()
+    assert [row[f"c{row['i']}"] for row in got] == [hit for *_, hit in PATH_CASES]
+
+
+def test_match_path_refuses_filters(spark):
+    with pytest.raises(ValueError):
+        ts.match_path("value", "x", path="$.items[?(@.sku == 'A')]")
 
 
 @pytest.mark.parametrize(

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# The deep search travels with the query, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_DEEP_PATH = re.compile(r"\$\.\.([A-Za-z_][\w-]*)")
 
 
 def json_value(col: Column | str, path: str) -> Column:
@@ -16,3 +28,44 @@ def json_value(col: Column | str, path: str) -> Column:
 def json_field(text: Column, field: Column) -> Column:
     """Top-level field whose name is itself a column."""
     return F.call_function("get_json_object", text, F.concat(F.lit("$['"), field, F.lit("']")))
+
+
+def _find_all(text: str | None, name: str) -> str | None:
+    """JSON array of the values of every field called ``name``, at any depth, in document order."""
+    if text is None:
+        return None
+    try:
+        pending = [json.loads(text)]
+    except (ValueError, RecursionError):
+        return None
+    found = []
+    while pending:
+        node = pending.pop()
+        if isinstance(node, dict):
+            if name in node:
+                found.append(node[name])
+            pending.extend(reversed(node.values()))
+        elif isinstance(node, list):
+            pending.extend(reversed(node))
+    return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
+
+
+def json_text(col: Column | str, path: str) -> Column:
+    """Text at ``path``, nested values as JSON; null when missing or malformed.
+
+    ``$..name`` finds a field at any depth and gives the array of its values.  Filters and other deep paths are refused.
+    """
+    text = F.col(col) if isinstance(col, str) else col
+    deep = _DEEP_PATH.fullmatch(path.strip())
+    if deep is not None:
+        name = deep[1]
+
+        @F.pandas_udf(T.StringType())
+        def find_all(values: pd.Series) -> pd.Series:
+            return values.map(lambda value: _find_all(value, name)).astype("object")
+
+        # Text without the name cannot hold the field, and need not travel.
+        return F.when(text.contains(f'"{name}"'), find_all(F.when(text.contains(f'"{name}"'), text)))
+    if path.lstrip().startswith("$") and (".." in path or "?(" in path):
+        raise ValueError(f"unsupported JSON path: {path!r}")
+    return F.get_json_object(text, path)

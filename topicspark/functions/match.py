@@ -6,6 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.functions.formats import value_format
+from topicspark.functions.json_values import json_text
 from topicspark.functions.xml_values import xml_text
 
 __all__ = ["match_path", "value_format", "value_matches"]
@@ -44,8 +45,9 @@ def match_path(
     if path is None or not path.strip():
         return anywhere
     kind = value_format(text)
+    found = json_text(F.when(kind == "JSON", text), path)
     return (
-        F.when(kind == "JSON", value_matches(F.get_json_object(text, path), expected, regex))
+        F.when(kind == "JSON", value_matches(found, expected, regex))
         .when(kind == "XML", value_matches(xml_text(text, path), expected, regex))
         .otherwise(anywhere)
     )

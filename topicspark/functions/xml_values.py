@@ -1,11 +1,13 @@
 """Values inside XML text.
 
-Spark's own ``xpath_*`` functions do the extraction.  They raise on malformed input and accept a DOCTYPE, so a
-vectorized check runs first; only text that passes it reaches them.
+A path of plain steps (``/a/b`` or ``/a/b/@c``) is followed while the text is checked, in one parse.  Any other path
+goes to Spark's own ``xpath_*`` functions.  They raise on malformed input and accept a DOCTYPE, so the check runs
+first, and only text that passes it reaches them.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from xml.parsers import expat
 
@@ -69,6 +71,71 @@ def _child_names(text: str | None) -> list[str] | None:
     return list(names)
 
 
+def _first_text(text: str | None, steps: list[str], attribute: str | None, missing: str | None, malformed: str | None):
+    """Text (or an attribute) of the first element at ``steps``; ``missing`` if there is none."""
+    if text is None:
+        return None
+    depth = matched = 0  # open elements, and how many of them lie on the path
+    parts: list[str] | None = None
+    parser = _parser()
+
+    def start(name, attributes):
+        nonlocal depth, matched, parts
+        if matched == depth < len(steps) and name == steps[depth]:
+            matched += 1
+            if matched == len(steps):
+                if attribute is None:
+                    parts = []
+                    parser.StartElementHandler = inner_start
+                    parser.EndElementHandler = inner_end
+                    parser.CharacterDataHandler = parts.append
+                elif attribute in attributes:
+                    parts = [attributes[attribute]]
+                    parser.StartElementHandler = parser.EndElementHandler = None
+        depth += 1
+
+    def end(_name):
+        nonlocal depth, matched
+        depth -= 1
+        matched = min(matched, depth)
+
+    def inner_start(_name, _attributes):
+        nonlocal depth
+        depth += 1
+
+    def inner_end(_name):
+        nonlocal depth
+        depth -= 1
+        if depth < len(steps):
+            # The rest of the text is only checked.
+            parser.StartElementHandler = parser.EndElementHandler = parser.CharacterDataHandler = None
+
+    parser.StartElementHandler = start
+    parser.EndElementHandler = end
+    try:
+        parser.Parse(text, True)
+    except (expat.ExpatError, UnicodeEncodeError):
+        return malformed
+    return missing if parts is None else "".join(parts)
+
+
+_PLAIN_PATH = re.compile(r"((?:/[A-Za-z_][\w.-]*)+)(?:/@([A-Za-z_][\w.-]*))?")
+
+
+def _follow(text: Column, path: str, missing: str | None, malformed: str | None) -> Column | None:
+    """Column that follows a plain path, or None for any other path."""
+    plain = _PLAIN_PATH.fullmatch(path)
+    if plain is None:
+        return None
+    steps, attribute = plain[1][1:].split("/"), plain[2]
+
+    @F.pandas_udf(T.StringType())
+    def follow(values: pd.Series) -> pd.Series:
+        return values.map(lambda value: _first_text(value, steps, attribute, missing, malformed)).astype("object")
+
+    return follow(_markup(text))
+
+
 @F.pandas_udf(T.BooleanType())
 def _well_formed_udf(text: pd.Series) -> pd.Series:
     return text.map(_well_formed).astype("object")
@@ -115,9 +182,15 @@ def xml_extract(col: Column | str, path: str) -> Column:
     if not xpath_valid(path):
         raise ValueError(f"not a node-selecting XPath: {path!r}")
     text = F.col(col) if isinstance(col, str) else col
-    found = F.when(F.xpath_boolean(text, F.lit(path)), F.xpath_string(text, F.lit(path)))
     blank = ~text.rlike(r"[^\s]")
-    return F.when(text.isNull() | blank, F.lit(None)).when(xml_ok(text), found).otherwise(F.lit(MALFORMED))
+    found = F.when(text.isNull() | blank, F.lit(None))
+    followed = _follow(text, path, missing=None, malformed=MALFORMED)
+    if followed is not None:
+        return found.when(value_format(text) == "XML", followed).otherwise(F.lit(MALFORMED))
+    value = F.xpath_string(text, F.lit(path))
+    # An empty text is that of an empty node, or of no node at all.
+    node = F.when(value != "", value).when(F.xpath_boolean(text, F.lit(path)), value)
+    return found.when(xml_ok(text), node).otherwise(F.lit(MALFORMED))
 
 
 def xml_text(col: Column | str, path: str) -> Column:
@@ -125,4 +198,5 @@ def xml_text(col: Column | str, path: str) -> Column:
     if not xpath_valid(path, nodes=False):
         return F.lit(None).cast("string")
     text = F.col(col) if isinstance(col, str) else col
-    return F.when(xml_ok(text), F.xpath_string(text, F.lit(path)))
+    followed = _follow(text, path, missing="", malformed=None)
+    return F.when(xml_ok(text), F.xpath_string(text, F.lit(path))) if followed is None else followed

@@ -10,7 +10,7 @@ from topicspark.model import AUDIT_HISTORY_TOPIC, AUDIT_SAMPLE
 from topicspark.operators.metrics import latest_by_key
 from topicspark.operators.scans import sample_messages, topic_stats
 from topicspark.operators.schema import topic_profile
-from topicspark.operators.shared import join_by_topic
+from topicspark.operators.shared import checkpointed, join_by_topic
 
 
 def exact_counts(log: DataFrame) -> DataFrame:
@@ -103,19 +103,16 @@ def _issues() -> Column:
 
 def audit_topics(
     log: DataFrame,
+    sizes: DataFrame,
     profile: DataFrame,
     tallies: DataFrame,
     n: int = AUDIT_SAMPLE,
-    catalog: DataFrame | None = None,
     poison_mode: str = "prefix",
 ) -> DataFrame:
-    """The audit rows, from a topic profile and key tallies that the caller may share with other work.
-
-    ``catalog`` (topic, messages) is the broker's own list of topics and sizes; without it the log's offsets serve.
-    """
-    sizes = (topic_stats(log) if catalog is None else catalog).withColumnRenamed("messages", "estimate")
+    """The audit rows, from sizes (topic, messages), a topic profile, and key tallies that other work may share."""
     poison = poison_counts(log, profile, poison_mode, n)
-    rows = sizes.join(profile, "topic", "left").join(_key_counts(tallies), "topic", "left").join(poison, "topic", "left")
+    rows = sizes.withColumnRenamed("messages", "estimate").join(profile, "topic", "left")
+    rows = rows.join(_key_counts(tallies), "topic", "left").join(poison, "topic", "left")
     rows = rows.fillna(0, ["message_count", "duplicate_count", "poison_count"]).fillna("AUTO", ["format"])
     return rows.withColumn("issues", _issues()).select(
         "topic",
@@ -137,11 +134,14 @@ def topic_audit(
 ) -> DataFrame:
     """Audit of every topic: exact count, format, malformed samples, repeated keys, health and its reasons.
 
-    One pass over the values counts messages and repeated keys together.
+    ``catalog`` (topic, messages) is the broker's own list of topics and sizes; without it the log's offsets serve.
+    The log is read for its sizes (offsets only), its first and its newest samples, and once in full: that pass counts
+    messages and repeated keys together.
     """
-    profile = topic_profile(log, n, strict)
+    sizes = checkpointed(topic_stats(log) if catalog is None else catalog)
+    profile = topic_profile(log, n, strict, sizes)
     tallies = key_tallies(with_key_value(log, profile, stored=True))
-    return audit_topics(log, profile, tallies, n, catalog, poison_mode)
+    return audit_topics(log, sizes, profile, tallies, n, poison_mode)
 
 
 def audit_report(audit: DataFrame, flows: DataFrame, audit_id: str, total_messages: DataFrame | None = None) -> DataFrame:

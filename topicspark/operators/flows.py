@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from topicspark.model import AUDIT_SAMPLE
 from topicspark.operators.audit import audit_topics, key_tallies, with_key_value
+from topicspark.operators.scans import topic_stats
 from topicspark.operators.schema import topic_profile
-from topicspark.operators.shared import BUCKET_MS, join_by_topic
+from topicspark.operators.shared import BUCKET_MS, checkpointed, join_by_topic
 
 
 def _steps(topics: DataFrame) -> DataFrame:
@@ -55,52 +56,61 @@ def _wide(col: Column) -> Column:
 def _pair_latency(moments: DataFrame) -> DataFrame:
     """Mean delay over all pairs (earlier record of the step before, later record of the step) with the same key.
 
-    ``moments`` is (flow, ordinal, key_value, at_ms, messages), one row per distinct moment.  The pairs of a key are
-    never formed: the sum of the differences to all earlier records follows from how many there are and from their
-    sum.  A key's time line is cut into buckets; a bucket adds the pairs inside it, and, with the running totals of
-    the buckets before it, the pairs that cross into it.  A task holds one bucket of one key, or a key's buckets.
+    ``moments`` is (flow, ordinal, last, key_value, at_ms, messages), one row per distinct moment of a step's key.
+    The pairs of a key are never formed: the sum of the differences to all earlier records follows from how many
+    there are and from the sum of their times.  A key's time line is cut into buckets; a bucket adds the pairs inside
+    it and, with the running totals of the buckets before it, the pairs that cross into it.  So a task holds one
+    bucket of one key, at most as many rows as the bucket has milliseconds, and then a key's buckets.
     """
     none = F.lit(0).cast("bigint")
     step = ["flow", "ordinal"]
     line = [*step, "key_value"]
-    source = moments.withColumn("ordinal", F.col("ordinal") + 1).withColumn("after", none)
-    source = source.withColumnRenamed("messages", "before")
-    target = moments.withColumn("before", none).withColumnRenamed("messages", "after")
-    ticks = (
-        source.unionByName(target)
-        .withColumn("bucket", F.expr(f"at_ms div {BUCKET_MS}"))
-        .withColumn("tick", F.expr(f"at_ms % {BUCKET_MS}"))
-        .groupBy(*line, "bucket", "tick")
-        .agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    columns = [*line, "at_ms", "before", "after"]
+    # A step's records are sources of the next step and targets of their own.
+    source = moments.filter(~F.col("last")).withColumn("ordinal", F.col("ordinal") + 1).withColumn("after", none)
+    target = moments.filter("ordinal > 1").withColumn("before", none)
+    roles = source.withColumnRenamed("messages", "before").select(*columns).union(
+        target.withColumnRenamed("messages", "after").select(*columns)
     )
-    before, after, tick, n, at = (F.col(name) for name in ("before", "after", "tick", "n", "at"))
-
-    earlier = Window.partitionBy(*line, "bucket").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
-    seen = ticks.withColumn("n", F.coalesce(F.sum("before").over(earlier), none)).withColumn(
-        "at", F.coalesce(F.sum(before * tick).over(earlier), none)
+    ticks = roles.withColumn("bucket", F.expr(f"at_ms div {BUCKET_MS}")).withColumn("tick", F.expr(f"at_ms % {BUCKET_MS}"))
+    before, after, tick, bucket, n = (F.col(name) for name in ("before", "after", "tick", "bucket", "n"))
+
+    earlier = Window.partitionBy(*line, "bucket").orderBy("tick").rangeBetween(Window.unboundedPreceding, -1)
+    seen = ticks.withColumn("before_ticks", before * tick).select(
+        "*",
+        F.coalesce(F.sum("before").over(earlier), none).alias("n"),
+        F.coalesce(F.sum("before_ticks").over(earlier), none).alias("ticks"),
     )
-    buckets = seen.groupBy(*line, "bucket").agg(
+    meets = (after > 0) & (n > 0)
+    inside = seen.groupBy(*line, "bucket").agg(
         F.sum("before").alias("before"),
-        F.sum(before * tick).alias("before_at"),
+        F.sum("before_ticks").alias("before_ticks"),
         F.sum("after").alias("after"),
-        F.sum(after * tick).alias("after_at"),
-        F.sum(_wide(after) * _wide(n)).alias("pairs"),
-        F.sum(_wide(after) * _wide(tick * n - at)).alias("delay"),
-    )
-    start = _wide(F.col("bucket")) * _wide(F.lit(BUCKET_MS))
-    absolute = buckets.withColumn("before_at", start * _wide(before) + _wide(F.col("before_at"))).withColumn(
-        "after_at", start * _wide(after) + _wide(F.col("after_at"))
+        F.sum(after * tick).alias("after_ticks"),
+        F.sum(F.when(meets, _wide(after) * _wide(n))).alias("pairs"),
+        F.sum(F.when(meets, _wide(after) * _wide(n * tick - F.col("ticks")))).alias("delay"),
     )
     past = Window.partitionBy(*line).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = absolute.withColumn("n", F.coalesce(F.sum("before").over(past), none)).withColumn(
-        "at", F.coalesce(F.sum(_wide(F.col("before_at"))).over(past), _wide(none))
+    crossing = inside.withColumn("before_buckets", before * bucket).select(
+        "*",
+        F.coalesce(F.sum("before").over(past), none).alias("n"),
+        F.coalesce(F.sum("before_ticks").over(past), none).alias("ticks"),
+        F.coalesce(F.sum("before_buckets").over(past), none).alias("buckets"),
     )
+    # Σ over crossing pairs of (target time − source time), in buckets and in ticks within them.
+    whole = _wide(after * bucket) * _wide(n) - _wide(after) * _wide(F.col("buckets"))
+    rest = _wide(F.col("after_ticks")) * _wide(n) - _wide(after) * _wide(F.col("ticks"))
     return (
         crossing.groupBy(*step)
         .agg(
-            F.sum(_wide(F.col("pairs") + _wide(after) * _wide(n))).alias("pairs"),
-            F.sum(_wide(F.col("delay") + _wide(F.col("after_at")) * _wide(n) - _wide(after) * _wide(at))).alias("delay"),
+            F.sum(F.when(meets, _wide(after) * _wide(n))).alias("crossing_pairs"),
+            F.sum(F.when(meets, _wide(_wide(whole) * _wide(F.lit(BUCKET_MS)) + _wide(rest)))).alias("crossing_delay"),
+            F.sum("pairs").alias("pairs"),
+            F.sum("delay").alias("delay"),
         )
+        .fillna(0)
+        .withColumn("pairs", F.col("pairs") + F.col("crossing_pairs"))
+        .withColumn("delay", F.col("delay") + F.col("crossing_delay"))
         .filter("pairs > 0")
         .select(*step, F.expr("CAST(delay div pairs AS BIGINT)").alias("avg_latency_ms"))
     )
@@ -108,9 +118,10 @@ def _pair_latency(moments: DataFrame) -> DataFrame:
 
 def _latency_of(tallies: DataFrame, steps: DataFrame) -> DataFrame:
     """Latency of each step from (topic, key_value, at_ms, messages); null for first steps and unmatched ones."""
-    moments = join_by_topic(tallies.filter("key_value IS NOT NULL"), steps.select("topic", "flow", "ordinal"))
-    measured = _pair_latency(moments)
-    return steps.select("flow", "ordinal", "topic").join(measured, ["flow", "ordinal"], "left")
+    steps = steps.select("flow", "ordinal", "topic")
+    last = F.col("ordinal") == F.max("ordinal").over(Window.partitionBy("flow"))
+    moments = join_by_topic(tallies.filter("key_value IS NOT NULL"), steps.withColumn("last", last))
+    return steps.join(_pair_latency(moments), ["flow", "ordinal"], "left")
 
 
 def step_latency(log: DataFrame, steps: DataFrame, key: str | None = None, keys: DataFrame | None = None) -> DataFrame:
@@ -133,14 +144,15 @@ def flow_audit(log: DataFrame, n: int = AUDIT_SAMPLE, skip_empty: bool = False,
 
     The keys are read from the values once: the same tallies feed the counts and the latencies.
     """
-    profile = topic_profile(log, n)
+    sizes = checkpointed(topic_stats(log))
+    profile = topic_profile(log, n, topics=sizes)
     keyed = with_key_value(log, profile, stored=True).withColumn("at_ms", F.unix_millis("timestamp"))
     tallies = key_tallies(keyed, "at_ms")
     if audit is None:
         # Steps come from names alone, so finding them does not run the audit.
         layout = _steps(profile.select("topic"))
         per_key = tallies.groupBy("topic", "has_key", "key_value").agg(F.sum("messages").alias("messages"))
-        audit = audit_topics(log, profile, per_key, n)
+        audit = audit_topics(log, sizes, profile, per_key, n)
     else:
         layout = flow_steps(audit, skip_empty)
     steps = flow_steps(audit, skip_empty)

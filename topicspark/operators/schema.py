@@ -101,18 +101,22 @@ def infer_schema(log: DataFrame, n: int | None = INFERENCE_SAMPLE, formats: Data
     return _columns(samples.join(known, "topic", "left").fillna("AUTO", ["format"]))
 
 
-def topic_profile(log: DataFrame, n: int | None = INFERENCE_SAMPLE, strict: bool = False) -> DataFrame:
+def topic_profile(
+    log: DataFrame, n: int | None = INFERENCE_SAMPLE, strict: bool = False, topics: DataFrame | None = None
+) -> DataFrame:
     """Format, key column and key type of each topic; one row per topic, computed once from one set of samples.
 
-    Only JSON topics have a key column: the table over any other topic has no inferred columns.
+    ``topics`` lists the topics where that is known already.  Only JSON topics have a key column: the table over any
+    other topic has no inferred columns.
     """
-    topics = log.select("topic").distinct()
+    topics = log.select("topic").distinct() if topics is None else topics.select("topic")
     samples = _sample(log, n) if n is None else checkpointed(_sample(log, n))
-    formats = topics.join(_vote(samples), "topic", "left").fillna("AUTO", ["format"])
+    voted = _vote(samples)
+    formats = topics.join(voted, "topic", "left").fillna("AUTO", ["format"])
     if n is None:
         columns = _columns(join_by_topic(samples, formats))
     else:
-        columns = _columns(samples.join(_vote(samples), "topic", "left").fillna("AUTO", ["format"]))
+        columns = _columns(samples.join(voted, "topic", "left").fillna("AUTO", ["format"]))
     is_json = F.col("format") == "JSON"
     return checkpointed(
         formats.join(find_key_field(columns, strict), "topic", "left").select(
