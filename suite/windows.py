@@ -15,7 +15,7 @@ HOP = """SELECT start AS window_start, start + 3600000 AS window_end, count(*) A
   (SELECT unnest([epoch_us(ts) // 1800000000 * 1800000, epoch_us(ts) // 1800000000 * 1800000 - 1800000]) AS start FROM events)
   GROUP BY start"""
 SESSION = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS t FROM events),
-  marked AS (SELECT *, CASE WHEN t - lag(t) OVER w < 7200000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY key ORDER BY t)),
+  marked AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 7200000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY key ORDER BY t)),
   numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM marked)
   SELECT key, min(t) AS window_start, max(t) + 7200000 AS window_end, count(*) AS messages FROM numbered GROUP BY key, s"""
 

@@ -96,14 +96,15 @@ def test_tail_is_the_true_last_n(make_log):
     assert sorted(r["value"] for r in ts.sample_messages(log, 5).collect()) == ["28", "29"]
 
 
-def test_tail_of_a_topic_spread_over_salts(spark):
+@pytest.mark.parametrize("n", [100, 20_000])  # with and without Spark's own limit on ranks
+def test_tail_of_a_topic_spread_over_salts(spark, n):
     offsets = spark.range(0, 3_000_000, 1, 8).select(
         F.lit("hot").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"),
-        F.timestamp_millis(F.pmod(F.xxhash64("id"), F.lit(10_000_000))).alias("timestamp"),
+        F.timestamp_millis(F.pmod(F.xxhash64("id"), F.lit(10_000_000_000))).alias("timestamp"),
         F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"),
     )
-    want = offsets.orderBy(F.desc("timestamp"), F.desc("offset")).limit(100).select("offset")
-    assert rows_of(ts.tail_records(offsets, 100).select("offset")) == rows_of(want)
+    want = offsets.orderBy(F.desc("timestamp"), F.desc("offset")).limit(n).select("offset")
+    assert rows_of(ts.tail_records(offsets, n).select("offset")) == rows_of(want)
 
 
 def test_records_since_filters_every_record(make_log):
@@ -114,6 +115,14 @@ def test_records_since_filters_every_record(make_log):
     assert ts.records_since(log, 20, None, as_of).count() == 3
 
 
+def test_many_first_records(make_log):
+    log = make_log([("t", i % 2, i, (i * 37) % 3000 * 60_000, None, "v") for i in range(3000)])
+    as_of = START + timedelta(minutes=3000)
+    kept = ts.records_since(log, 2500, 1500, as_of)
+    assert sorted((i * 37) % 3000 for i in (r["offset"] for r in kept.collect())) == list(range(500, 2000))
+    assert sorted(r["offset"] for r in ts.head_sample(log, 1200).collect()) == list(range(0, 2400, 2))
+
+
 def test_head_sample_reads_partition_zero(make_log):
     log = make_log([("t", 1, 0, 0, None, "no"), ("t", 0, 0, 5, None, None), ("t", 0, 1, 1, None, "b"), ("t", 0, 2, 0, None, "c")])
     assert [r["value"] for r in ts.head_sample(log, 1).collect()] == ["b"]

@@ -1,3 +1,4 @@
+import random
 from datetime import timedelta
 
 import pytest
@@ -47,6 +48,21 @@ def test_windows_give_the_batch_rows(feed):
         assert wanted and rows_of(ts.run_available_now(window(feed.stream()))) == wanted
 
 
+def test_sessions_against_spark_own(feed):
+    rng = random.Random(1)
+    rows = [("t", rng.choice([rng.randrange(500), 20 * MINUTE * rng.randrange(200), rng.randrange(900 * MINUTE)]), k)
+            for k in ("a", "b", None) for _ in range(150)]
+    feed.add(*rows)
+    df = feed.batch()
+    aggs = [F.count("*").alias("n"), F.max("offset").alias("last"), F.avg("offset").alias("mean")]
+    for by in (["key"], []):
+        window = F.session_window("event_time", "20 minutes").alias("w")
+        own = df.groupBy(window, *by).agg(*aggs)
+        wanted = rows_of(own.select(F.col("w.start"), F.col("w.end"), *by, "n", "last", "mean"))
+        assert rows_of(ts.session(df, "20 minutes", by=by, aggs=aggs)) == wanted
+        assert rows_of(ts.session(df, "20 minutes", by=by)) == [row[: 3 + len(by)] for row in wanted]
+
+
 def test_late_records_do_not_reopen_a_closed_window(feed, tmp_path):
     def run():
         windows = ts.tumble(feed.stream(), "1 minute")

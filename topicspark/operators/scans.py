@@ -12,9 +12,14 @@ from topicspark.model import INFERENCE_SAMPLE, PREVIEW_SAMPLE
 from topicspark.operators.shared import first_per_topic
 
 
+def _hour() -> Column:
+    return F.expr("unix_millis(timestamp) div 3600000")
+
+
 def tail_records(log: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` records of each topic, by (timestamp, partition, offset)."""
-    return first_per_topic(log, [F.desc("timestamp"), F.asc("partition"), F.desc("offset")], n)
+    order = [F.desc("timestamp"), F.asc("partition"), F.desc("offset")]
+    return first_per_topic(log, order, n, _hour(), newest=True)
 
 
 def records_since(log: DataFrame, minutes: int, n: int | None, as_of: datetime) -> DataFrame:
@@ -23,12 +28,13 @@ def records_since(log: DataFrame, minutes: int, n: int | None, as_of: datetime)
     recent = log.filter(F.col("timestamp") >= start)
     if n is None:
         return recent
-    return first_per_topic(recent, [F.asc("timestamp"), F.asc("partition"), F.asc("offset")], n)
+    return first_per_topic(recent, [F.asc("timestamp"), F.asc("partition"), F.asc("offset")], n, _hour())
 
 
 def head_sample(log: DataFrame, n: int = INFERENCE_SAMPLE) -> DataFrame:
     """First ``n`` records with a value of each topic's partition 0."""
-    return first_per_topic(log.filter("partition = 0 AND value IS NOT NULL"), [F.asc("offset")], n)
+    rows = log.filter("partition = 0 AND value IS NOT NULL")
+    return first_per_topic(rows, [F.asc("offset")], n, F.expr("offset div 65536"))
 
 
 def sample_messages(log: DataFrame, n: int = PREVIEW_SAMPLE) -> DataFrame:

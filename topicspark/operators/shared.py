@@ -48,12 +48,30 @@ def join_by_topic(log: DataFrame, per_topic: DataFrame, how: str = "inner", stor
     return log.withColumn("_salt", salt()).join(spread, ["topic", "_salt"], how).drop("_salt")
 
 
-def first_per_topic(log: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` records of each topic.
+def _from_edge(log: DataFrame, block: Column, newest: bool, n: int) -> DataFrame:
+    """Records in the outermost blocks of each topic that hold at least ``n`` together.
+
+    Blocks are counted from two narrow columns; the records beyond them leave before anything is sorted.
+    """
+    counts = log.groupBy("topic", block.alias("_block")).agg(F.count("*").alias("_n"))
+    inward = Window.partitionBy("topic").orderBy(F.desc("_block") if newest else F.asc("_block"))
+    needed = counts.withColumn("_before", F.sum("_n").over(inward) - F.col("_n")).filter(F.col("_before") < n)
+    edge = F.min("_block") if newest else F.max("_block")
+    cut = join_by_topic(log.withColumn("_block", block), needed.groupBy("topic").agg(edge.alias("_edge")))
+    inside = F.col("_block") >= F.col("_edge") if newest else F.col("_block") <= F.col("_edge")
+    return cut.filter(inside).select(*log.columns)
+
+
+def first_per_topic(log: DataFrame, order: Sequence[Column], n: int, block: Column, newest: bool = False) -> DataFrame:
+    """First ``n`` records of each topic by ``order``; ``block`` is its leading part made coarse.
 
     Ranked twice: within salted parts of a topic, then over what the parts keep.  Spark limits each window before its
-    shuffle too, so a topic's last task sees at most ``n`` rows from each task of the first step.
+    shuffle too, so a topic's last task sees at most ``n`` rows from each task of the first step.  It does so up to a
+    set number of ranks; beyond that, whole blocks that cannot hold a result are cut off first.
     """
+    limited = int(log.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limited:
+        log = _from_edge(log, block, newest, n)
     within = Window.partitionBy("topic", "_salt").orderBy(*order)
     over_all = Window.partitionBy("topic").orderBy(*order)
     parts = log.withColumn("_salt", salt()).withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n)

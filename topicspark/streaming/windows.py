@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.model import LATENESS
@@ -41,5 +41,36 @@ def session(
     df: DataFrame, gap: str, by: Sequence[str] = (), aggs: Sequence[Column] = (), time_col: str = "event_time",
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """Windows that end after ``gap`` without a message."""
-    return _windowed(df, F.session_window(time_col, gap), by, aggs, time_col, lateness)
+    """Windows that end when no message comes within ``gap``; one exactly that late still belongs.
+
+    On a batch, records of one group in the same tile of the gap's length are in the same session.  So tiles are
+    counted first, combined before the shuffle, and sessions are put together from tiles; a hot key costs one row per
+    tile.  Own ``aggs`` then run per session over the records, which meet their tile's session by key and tile.
+    """
+    if df.isStreaming:
+        return _windowed(df, F.session_window(time_col, gap), by, aggs, time_col, lateness)
+    by = list(by)
+    gap_us = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {gap})")
+    rows = df.filter(F.col(time_col).isNotNull()).withColumn("_us", F.unix_micros(time_col))
+    rows = rows.withColumn("_tile", F.floor(F.col("_us") / gap_us).cast("bigint"))
+    tiles = rows.groupBy(*by, "_tile").agg(
+        F.min("_us").alias("_from"), F.max("_us").alias("_to"), F.count("*").alias("messages")
+    )
+    ordered = Window.partitionBy(*by).orderBy("_tile")
+    opens = F.coalesce(F.col("_from") - F.lag("_to").over(ordered) > gap_us, F.lit(True))
+    start = F.last(F.when(F.col("_opens"), F.col("_from")), ignorenulls=True)
+    started = tiles.withColumn("_opens", opens).withColumn("_start", start.over(ordered))
+    bounds = [
+        F.timestamp_micros("_start").alias("window_start"),
+        F.timestamp_micros(F.max("_to") + gap_us).alias("window_end"),
+    ]
+    if not aggs:
+        sessions = started.groupBy(*by, "_start").agg(bounds[1], F.sum("messages").alias("messages"))
+        return sessions.select(bounds[0], "window_end", *by, "messages")
+    same = [rows[name].eqNullSafe(started[name]) for name in [*by, "_tile"]]
+    placed = rows.join(started.select(*by, "_tile", "_start"), same).select(rows["*"], "_start")
+    counted = placed.groupBy(*by, "_start").agg(F.max("_us").alias("_to"), *aggs)
+    results = [name for name in counted.columns if name not in ("_start", "_to", *by)]
+    return counted.select(
+        bounds[0], F.timestamp_micros(F.col("_to") + gap_us).alias("window_end"), *by, *results
+    )
