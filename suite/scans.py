@@ -309,15 +309,18 @@ def join_reference(spark, sf_dir):
 
 @case(
     "run_template",
-    """SELECT 'placed' AS side, o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS at FROM orders WHERE o_orderkey >= 100
-    UNION ALL SELECT 'shipped', l_orderkey, epoch_us(min(l_shipdate)) // 1000 FROM lineitem WHERE l_orderkey >= 100
-    GROUP BY l_orderkey""",
+    """SELECT 'placed' AS side, o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS at FROM orders
+      WHERE o_orderdate >= TIMESTAMP '1996-01-01'
+    UNION ALL SELECT 'shipped', l_orderkey, epoch_us(min(l_shipdate)) // 1000 FROM lineitem GROUP BY l_orderkey
+      HAVING min(l_shipdate) >= TIMESTAMP '1996-01-01'""",
 )
 def run_template(spark, sf_dir):
-    text = "SELECT :side AS side, id, unix_millis(event_time) AS at FROM {topic} WHERE id >= :first"
+    # One text and one time range for both topics.
+    text = """SELECT :side AS side, id, unix_millis(event_time) AS at FROM {topic}
+    WHERE event_time >= timestamp_millis(:start)"""
     placed, shipped = (_typed(spark, sf_dir, topic) for topic in STEPS[:2])
-    return ts.run_template(spark, text, placed, {"side": "placed", "first": 100}).union(
-        ts.run_template(spark, text, shipped, {"side": "shipped", "first": 100})
+    return ts.run_template(spark, text, placed, {"side": "placed", "start": 820454400000}).union(
+        ts.run_template(spark, text, shipped, {"side": "shipped", "start": 820454400000})
     )
 
 

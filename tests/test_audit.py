@@ -64,6 +64,12 @@ def test_duplicates_count_repeated_values_and_null_as_one(make_log):
     assert rows_of(ts.duplicate_keys(log, {"t": "id"})) == [("t", 2), ("u", 0)]
 
 
+def test_more_key_names_than_get_a_path_of_their_own(make_log):
+    rows = [(f"t{t}", 0, i, i, None, '{"k%d": %d}' % (t, i % 2)) for t in range(20) for i in range(4)]
+    counts = ts.duplicate_keys(make_log(rows), {f"t{t}": f"k{t}" for t in range(20)})
+    assert rows_of(counts) == sorted((f"t{t}", 2) for t in range(20))
+
+
 def test_equal_keys_under_the_column_type(spark, make_log):
     log = make_log([("t", 0, 0, 0, None, '{"id": 1}'), ("t", 0, 1, 0, None, '{"id": "1"}'), ("t", 0, 2, 0, None, '{"id": 2}')])
     keys = spark.createDataFrame([("t", "id", "BIGINT")], "topic STRING, key_field STRING, key_type STRING")

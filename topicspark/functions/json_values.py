@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -25,9 +26,15 @@ def json_value(col: Column | str, path: str) -> Column:
     return F.when(~kind.rlike("^(OBJECT|ARRAY)"), F.get_json_object(text, path))
 
 
-def json_field(text: Column, field: Column) -> Column:
-    """Top-level field whose name is itself a column."""
-    return F.call_function("get_json_object", text, F.concat(F.lit("$['"), field, F.lit("']")))
+def json_field(text: Column, field: Column, common: Sequence[str] = ()) -> Column:
+    """Top-level field whose name is itself a column.
+
+    A path that differs by row is parsed for every row; names in ``common`` get a path of their own, parsed once.
+    """
+    value = F.call_function("get_json_object", text, F.concat(F.lit("$['"), field, F.lit("']")))
+    for name in common:
+        value = F.when(field == name, F.get_json_object(text, f"$['{name}']")).otherwise(value)
+    return value
 
 
 def _find_all(text: str | None, name: str) -> str | None:

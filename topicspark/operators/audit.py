@@ -13,6 +13,9 @@ from topicspark.operators.schema import topic_profile
 from topicspark.operators.shared import checkpointed, join_by_topic
 
 
+COMMON_NAMES = 16
+
+
 def exact_counts(log: DataFrame) -> DataFrame:
     """Messages of each topic, counted."""
     return log.groupBy("topic").agg(F.count("*").alias("message_count"))
@@ -32,8 +35,13 @@ def with_key_value(log: DataFrame, keys: DataFrame, stored: bool = False) -> Dat
     """Add each record's value of its topic's key column, as text; ``keys`` is (topic, key_field[, key_type])."""
     if "key_type" not in keys.columns:
         keys = keys.withColumn("key_type", F.lit("STRING"))
-    joined = join_by_topic(log, keys.select("topic", "key_field", "key_type"), "left", stored)
-    found = F.when(F.col("key_field").isNotNull(), json_field(F.col("value"), F.col("key_field")))
+    facts = keys.select("topic", "key_field", "key_type")
+    facts = facts if stored else checkpointed(facts)
+    joined = join_by_topic(log, facts, "left", stored=True)
+    # Any names will do: those left out are found too, only slower.
+    named = facts.filter("key_field IS NOT NULL").select("key_field").distinct().limit(COMMON_NAMES).collect()
+    value = json_field(F.col("value"), F.col("key_field"), [row["key_field"] for row in named])
+    found = F.when(F.col("key_field").isNotNull(), value)
     return joined.withColumn("key_value", _typed_text(found, F.col("key_type")))
 
 

@@ -79,21 +79,18 @@ def _placed(table, topics) -> DataFrame:
     )
 
 
-def _shipped(table, topics) -> DataFrame:
-    rows = table("lineitem").groupBy("l_orderkey").agg(
-        F.min("l_shipdate").alias("at"), F.count("*").alias("lines")
-    )
-    body = _json("l_orderkey AS id", "lines")
-    return _record(rows, F.lit("shop.orders.2.shipped"), "l_orderkey", millis("at"), "l_orderkey", body)
-
-
-def _closed(table, topics) -> DataFrame:
-    rows = (
-        table("lineitem").filter("l_linestatus = 'F'").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("at"))
-    )
-    return _record(
-        rows, F.lit("shop.orders.3.closed"), "l_orderkey", millis("at"), "l_orderkey", _json("l_orderkey AS id")
+def _lines(table, topics) -> DataFrame:
+    # Both topics come from one aggregate; an order without a closed line has no closing record.
+    orders = table("lineitem").groupBy("l_orderkey").agg(
+        F.min("l_shipdate").alias("shipped"),
+        F.max(F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))).alias("closed"),
+        F.count("*").alias("lines"),
     )
+    is_shipped = F.col("topic") == "shop.orders.2.shipped"
+    steps = F.explode(F.array(*[F.lit(topic) for topic in topics]))
+    rows = orders.withColumn("topic", steps).withColumn("at", F.when(is_shipped, F.col("shipped")).otherwise(F.col("closed")))
+    body = F.when(is_shipped, _json("l_orderkey AS id", "lines")).otherwise(_json("l_orderkey AS id"))
+    return _record(rows.filter("at IS NOT NULL"), F.col("topic"), "l_orderkey", millis("at"), "l_orderkey", body)
 
 
 def _customers(table, topics) -> DataFrame:
@@ -140,8 +137,8 @@ _TOPICS: dict[str, Callable] = {
     **{f"web.events.{kind}": _events for kind in EVENT_TYPES},
     "web.errors.dlt": _errors,
     "shop.orders.1.placed": _placed,
-    "shop.orders.2.shipped": _shipped,
-    "shop.orders.3.closed": _closed,
+    "shop.orders.2.shipped": _lines,
+    "shop.orders.3.closed": _lines,
     "shop.customers": _customers,
     "shop.orders.xml": _orders_xml,
     "raw.documents": _documents,
