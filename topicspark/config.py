@@ -6,13 +6,15 @@ from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
-# What the plans rely on: runtime re-planning with skew splitting, UTC, and state on disk for streams.
+# What the plans rely on: runtime re-planning with skew splitting, UTC, state on disk for streams, and streaming
+# sessions merged before the shuffle.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
