@@ -16,10 +16,11 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# The queries of the data subpackage have their own tests.
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, con, name):
-    frame = entry.queries()[name](spark, SF)
-    assert difference(frame, con, entry.oracle_sql()[name]) is None
+    frame = entry.QUERIES[name](spark, SF)
+    assert difference(frame, con, entry.ORACLES[name]) is None
 
 
 def test_entry(spark):
