@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicspark.llm import exact_dedup, mixing
+from topicspark.llm import byte_bpe, exact_dedup, mixing, simhash
 from topicspark.llm.common import read, stored
 
 
@@ -13,12 +15,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near fingerprints stays."""
+    return simhash.keep_one_of_each(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources come near their target words; a row comes as often as the mixture takes it."""
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mixed)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture's token ids, and the digest of the bytes they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN)
+    return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("encoding", encoded)]
 # Taggers, fingerprints and tokenizers are beyond SQL; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicspark.llm import exact_dedup, mixing
-from topicspark.llm.common import read
+from topicspark.llm import byte_bpe, exact_dedup, mixing, simhash, token_files
+from topicspark.llm.common import new_folder, read
 from topicspark.llm.registry import ORACLES, QUERIES, case
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -80,6 +82,28 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+@case("op3_covering_simhash")
+def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents"))
+
+
+@case("op4_orc_tokens")
+def op4_orc_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    folder = new_folder(spark, "orc-tokens")
+    tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer, end_id=2)
+    return token_files.token_digest(token_files.read_tokens(spark, folder))
+
+
+@case("op7_prefix_bpe")
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = byte_bpe.encode_texts(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return rows.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @case("op10_exact_owners", _OWNERS_SQL)
 def op10_exact_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_owners(read(spark, sf_dir, "documents"))
