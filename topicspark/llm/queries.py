@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import byte_bpe, exact_dedup, mixing, simhash, token_files
+from topicspark.llm import byte_bpe, exact_dedup, mixing, passages, simhash, token_files
 from topicspark.llm.common import new_folder, read
 from topicspark.llm.registry import ORACLES, QUERIES, case
 
@@ -95,6 +95,12 @@ def op4_orc_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return token_files.token_digest(token_files.read_tokens(spark, folder))
 
 
+@case("op5_previous_factors")
+def op5_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passages.remove_repeats(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @case("op7_prefix_bpe")
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
