@@ -6,8 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import byte_bpe, exact_dedup, mixing, passages, simhash, token_files
-from topicspark.llm.common import new_folder, read
+from topicspark.llm import (
+    byte_bpe,
+    chat_format,
+    exact_dedup,
+    mixing,
+    passages,
+    simhash,
+    token_files,
+    unigram_counts,
+    vector_dedup,
+)
+from topicspark.llm.common import new_folder, read, stored
 from topicspark.llm.registry import ORACLES, QUERIES, case
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -101,6 +111,11 @@ def op5_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@case("op6_sorted_projections")
+def op6_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @case("op7_prefix_bpe")
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -110,6 +125,25 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -
     )
 
 
+@case("op8_schema_chat")
+def op8_schema_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    formatted = chat_format.format_records(chat_format.conversation_records(turns))
+    return chat_format.digest(stored(formatted, "chat"))
+
+
+@case("op9_unigram_counts")
+def op9_unigram_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """The vocabulary is that of the 32k piece model in its order, scored by rank."""
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
+    pieces = [piece for piece, _ in unigram_counts.sentencepiece_vocabulary(model)]
+    return unigram_counts.count_tokens(read(spark, sf_dir, "documents"), unigram_counts.zipf_scores(pieces))
+
+
 @case("op10_exact_owners", _OWNERS_SQL)
 def op10_exact_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_owners(read(spark, sf_dir, "documents"))
