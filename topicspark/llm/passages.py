@@ -7,6 +7,7 @@ runs that only share their name are compared window by window, over suffix array
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ LENGTH = 50
 GRAM = 16
 BLOCK_RUNS = 1 << 20
 BLOCK_BYTES = 4 << 20
-_SPANS = 16  # spans of one name that a block sends to the name's task; more are compared by windows anyway
+SPANS = 64  # different runs of one name up to which a block sends them to the name's task
+GROUP = 50_000  # different runs of one name up to which they are compared in one task
 _LAST = (1 << 63) - 1
 
 
@@ -62,29 +64,41 @@ def window_runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     return names[firsts].view(np.int64), firsts, lasts
 
 
-def earlier_factors(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every suffix: whether its longest previous factor reaches ``length``, and the first document of its window.
+def earlier_factors(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For every suffix: whether its longest previous factor reaches ``length``.
 
     ``starts`` are suffixes of ``text`` with at least ``length`` bytes, ``docs`` their documents.  A previous factor of
     a suffix is the longest string it shares with a suffix of a smaller document.  In suffix order it is shared with
     the nearest smaller document before or after (the previous or the next smaller value), and it reaches ``length``
-    if all neighbours up to there do.  So in each stretch of neighbours sharing ``length`` bytes, the running minimum
-    from the left and from the right tells whether such a value exists.
+    if all neighbours up to there do.  So a stretch of neighbours sharing ``length`` bytes tells by its least document
+    whether such a value exists.
+
+    The order is refined eight bytes at a time.  A suffix that shares its bytes so far with no other keeps its place
+    and is done: neither neighbour can reach ``length``.
     """
+    reaches = np.zeros(len(starts), bool)
+    live = np.arange(len(starts))
+    stretch = np.zeros(len(starts), np.int64)
     words = _words(text, starts, length)
-    order = np.lexsort((docs, *words.T[::-1]))
-    words, sorted_docs = words[order], docs[order]
-    shared = np.concatenate([[False], (words[1:] == words[:-1]).all(axis=1)])
-    stretch = np.cumsum(~shared) - 1
-    heads = np.flatnonzero(~shared)
-    least = np.minimum.reduceat(sorted_docs, heads)[stretch]
-    reaches, first = np.empty(len(starts), bool), np.empty(len(starts), np.int64)
-    reaches[order] = least < sorted_docs
-    first[order] = least
-    return reaches, first
+    for i in range(words.shape[1]):
+        word = words[live, i]
+        order = np.lexsort((word, stretch))
+        live, stretch, word = live[order], stretch[order], word[order]
+        new = np.ones(len(live) + 1, bool)
+        new[1:-1] = (stretch[1:] != stretch[:-1]) | (word[1:] != word[:-1])
+        shared = ~(new[:-1] & new[1:])
+        live, stretch = live[shared], np.cumsum(new[:-1])[shared]
+        if not len(live):
+            return reaches
+    heads = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
+    sizes = np.diff(np.append(heads, len(live)))
+    least = np.repeat(np.minimum.reduceat(docs[live], heads), sizes)
+    reaches[live] = least < docs[live]
+    return reaches
 
 
 def _words(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes at each start as big-endian numbers, which compare as the bytes do."""
     windows = np.lib.stride_tricks.sliding_window_view(text, length)[starts]
     padded = np.zeros((len(starts), -(-length // 8) * 8), np.uint8)
     padded[:, :length] = windows
@@ -95,16 +109,17 @@ def _packed(columns: dict[str, np.ndarray], at: np.ndarray | slice = slice(None)
     return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in columns.values()], list(columns))
 
 
-# What becomes of a run: to be compared by name; covered as a whole; to be compared by windows.
-_ASKED, _COVERED, _WINDOWS = 0, 1, 2
+# What becomes of a run: to be compared by name; covered as a whole; compared with its name's others; by windows.
+# A run sent with _MANY is compared by windows already and tells others of its name to be.
+_ASKED, _COVERED, _TOGETHER, _WINDOWS, _MANY = 0, 1, 2, 3, 4
 _RUN = "name long, span long, doc long, tag long, run int, kind int"
 
 
-def _settle_block(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """What a block can tell by itself, so that a name is sent on at most ``_SPANS`` times for each block.
+def _settle_block(rows: dict[str, np.ndarray], limit: int) -> Iterator[pa.RecordBatch]:
+    """What a block can tell by itself, so that a name is sent on at most ``limit`` times for each block.
 
     Of equal runs those of a later document are covered.  A name with many different runs goes to the comparison by
-    windows at once; two of its runs are still sent, for other blocks to learn of them.
+    windows at once; one of its runs is still sent, for other blocks to learn of it.
     """
     order = np.lexsort((rows["doc"], rows["span"], rows["name"]))
     rows = {k: v[order] for k, v in rows.items()}
@@ -116,15 +131,17 @@ def _settle_block(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     name = np.cumsum(new_name) - 1
     heads = np.flatnonzero(new_name)
     nth = spans - spans[heads][name]
-    many = (np.maximum.reduceat(nth, heads) >= _SPANS)[name]
+    many = (np.maximum.reduceat(nth, heads) >= limit)[name]
     asked = rows["kind"] == _ASKED
     told = asked & many
-    yield _packed(rows, np.flatnonzero(~told | (nth < 2)))
+    yield _packed(rows, np.flatnonzero(~told))
+    rows["kind"][told] = _MANY
+    yield _packed(rows, np.flatnonzero(told & new_name))
     rows["kind"][told] = _WINDOWS
     yield _packed(rows, np.flatnonzero(told))
 
 
-def _find_runs(length: int, block_runs: int):
+def _find_runs(length: int, block_runs: int, limit: int):
     """Runs of the texts of a task, settled in blocks.  A text that the task has seen before is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +151,7 @@ def _find_runs(length: int, block_runs: int):
         def block() -> Iterator[pa.RecordBatch]:
             names, spans, docs, tags, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
             rows = {"name": names, "span": spans, "doc": docs, "tag": tags, "run": numbers, "kind": np.zeros(len(names), np.int32)}
-            yield from _settle_block(rows)
+            yield from _settle_block(rows, limit)
 
         for rows in batches:
             for doc, tag, text in zip(*(rows.column(i) for i in range(3)), strict=True):
@@ -160,14 +177,13 @@ def _find_runs(length: int, block_runs: int):
     return run
 
 
-def _settle_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle_names(group: int):
     """Rows in order of name, span and document: the runs of a name are looked at together.
 
     A run that equals one of an earlier document is covered.  If a name has different runs, the earliest document of
-    each is compared by windows.  A name that lacks company is dropped.
+    each is compared further.  A name that lacks company is dropped.
     """
-    fields = ("doc", "tag", "run", "kind")
-    rest = None
+    fields = ("doc", "tag", "run", "kind", "name")
 
     def settled(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not len(rows["name"]):
@@ -175,42 +191,66 @@ def _settle_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new_name = np.concatenate([[True], rows["name"][1:] != rows["name"][:-1]])
         new_span = new_name | np.concatenate([[True], rows["span"][1:] != rows["span"][:-1]])
         first_doc = rows["doc"][np.flatnonzero(new_span)][np.cumsum(new_span) - 1]
-        heads = np.flatnonzero(new_name)
-        several = (np.add.reduceat(new_span.astype(np.int64), heads) > 1)[np.cumsum(new_name) - 1]
-        kind = np.where(rows["doc"] > first_doc, _COVERED, np.where(several, _WINDOWS, _ASKED)).astype(np.int32)
-        yield _packed({k: rows[k] for k in fields[:3]} | {"kind": kind}, np.flatnonzero(kind != _ASKED))
-
-    for batch in batches:
-        rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("name", "span", *fields)}
-        done = rows["kind"] != _ASKED
-        yield _packed({k: rows[k] for k in fields}, np.flatnonzero(done))
-        rows = {k: v[~done] for k, v in rows.items()}
+        heads, name = np.flatnonzero(new_name), np.cumsum(new_name) - 1
+        told = np.maximum.reduceat((rows["kind"] == _MANY).astype(np.int64), heads)
+        spans = np.add.reduceat(new_span.astype(np.int64), heads)
+        further = np.where((told > 0) | (spans > group), _WINDOWS, np.where(spans > 1, _TOGETHER, _ASKED))[name]
+        kind = np.where(rows["doc"] > first_doc, _COVERED, further).astype(np.int32)
+        out = (kind != _ASKED) & (rows["kind"] != _MANY)
+        yield _packed({k: rows[k] for k in ("doc", "tag", "run")} | {"kind": kind, "name": rows["name"]}, np.flatnonzero(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("name", "span", *fields[:4])}
+            done = (rows["kind"] != _ASKED) & (rows["kind"] != _MANY)
+            yield _packed({k: rows[k] for k in fields}, np.flatnonzero(done))
+            rows = {k: v[~done] for k, v in rows.items()}
+            if rest is not None:
+                rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
+            cut = np.searchsorted(rows["name"], rows["name"][-1], "left") if len(rows["name"]) else 0
+            yield from settled({k: v[:cut] for k, v in rows.items()})
+            rest = {k: v[cut:] for k, v in rows.items()}
         if rest is not None:
-            rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
-        cut = np.searchsorted(rows["name"], rows["name"][-1], "left") if len(rows["name"]) else 0
-        yield from settled({k: v[:cut] for k, v in rows.items()})
-        rest = {k: v[cut:] for k, v in rows.items()}
-    if rest is not None:
-        yield from settled(rest)
+            yield from settled(rest)
+
+    return run
 
 
-_WINDOW = "code_a long, code_b long, doc long, tag long, at int, hit boolean"
+_WINDOW = "code_a long, code_b long, doc long, tag long, at int, hit boolean, span binary"
+_HIT = "doc long, tag long, first int, last int"
+
+
+def _hit_rows(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
+    """The chosen windows, those in a row together."""
+    doc, tag, at = doc[chosen], tag[chosen], at[chosen]
+    new = np.ones(len(doc) + 1, bool)
+    new[1:-1] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] != at[:-1] + 1)
+    first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+    return _packed({"doc": doc[first], "tag": tag[first], "first": at[first].astype(np.int32), "last": at[last].astype(np.int32)})
+
+
+def _laid_out(held: list[tuple[bytes, int, int, int]], length: int):
+    """Runs (bytes, doc, tag, first window) end to end: the text, and start, doc, tag and place of every window."""
+    text = np.frombuffer(b"".join([x[0] for x in held]), np.uint8)
+    begins = np.cumsum([0, *[len(x[0]) for x in held[:-1]]])
+    counts = np.array([len(x[0]) - length + 1 for x in held])
+    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    docs, tags, at = (np.repeat(np.array([x[i] for x in held], np.int64), counts) for i in (1, 2, 3))
+    return text, np.repeat(begins, counts) + inside, docs, tags, at + inside
 
 
 def _find_windows(length: int, block_bytes: int):
-    """The windows of the runs to be compared, put in suffix order block by block."""
+    """The runs to be compared with their name's others, and the windows of those to be compared by windows.
+
+    The latter are put in suffix order block by block, so that a window is sent on once per block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def block() -> Iterator[pa.RecordBatch]:
-            text = np.frombuffer(b"".join([x[0] for x in held]), np.uint8)
-            begins = np.cumsum([0, *[len(x[0]) for x in held[:-1]]])
-            counts = [len(x[0]) - length + 1 for x in held]
-            inside = np.concatenate([np.arange(n) for n in counts])
-            starts = np.repeat(begins, counts) + inside
-            docs, tags, at = (np.repeat([x[i] for x in held], counts) for i in (1, 2, 3))
-            reaches, first = earlier_factors(text, starts, docs, length)
+            text, starts, docs, tags, at = _laid_out(held, length)
             words = _words(text, starts, length)
             code = [np.full(len(starts), seed, np.uint64) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
             for i in range(words.shape[1]):
@@ -218,46 +258,81 @@ def _find_windows(length: int, block_bytes: int):
                     code[k] = (code[k] ^ words[:, i]) * np.uint64(factor)
                     code[k] ^= code[k] >> np.uint64(31 + k)
             columns = {
-                "code_a": code[0].view(np.int64), "code_b": code[1].view(np.int64), "doc": docs.astype(np.int64),
-                "tag": tags.astype(np.int64), "at": (at + inside).astype(np.int32), "hit": reaches,
+                "code_a": code[0].view(np.int64), "code_b": code[1].view(np.int64), "doc": docs, "tag": tags,
+                "at": at.astype(np.int32), "hit": earlier_factors(text, starts, docs, length),
             }
-            yield _packed(columns)
+            rows = _packed(columns)
+            yield rows.append_column("span", pa.nulls(rows.num_rows, pa.binary()))
 
         for rows in batches:
-            for doc, tag, text, runs in zip(*(rows.column(i) for i in range(4)), strict=True):
+            together = []
+            for doc, tag, text, runs, names in zip(*(rows.column(i) for i in range(5)), strict=True):
                 text, doc, tag = text.as_py(), doc.as_py(), tag.as_py()
                 _, firsts, lasts = window_runs(text, length)
-                for number in sorted(set(runs.as_py())):
+                for code, name in dict(zip(runs.as_py(), names.as_py(), strict=True)).items():
+                    number, windows = code >> 1, code & 1
                     a, b = int(firsts[number]), int(lasts[number]) + length
+                    if not windows:
+                        together.append((name, 0, doc, tag, a, False, text[a:b]))
+                        continue
                     held.append((text[a:b], doc, tag, a))
                     size += b - a
                     if size >= block_bytes:
                         yield from block()
                         held, size = [], 0
+            if together:
+                kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.binary()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*together, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["code_a", "code_b", "doc", "tag", "at", "hit", "span"])
         if held:
             yield from block()
 
     return run
 
 
-def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of window and document: all but the first document's are hits."""
-    before = None
-    fields = ("doc", "tag", "at")
-    for batch in batches:
-        rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("code_a", "code_b", *fields, "hit")}
-        yield _packed({k: rows[k] for k in fields}, np.flatnonzero(rows["hit"]))
-        rows = {k: v[~rows["hit"]] for k, v in rows.items()}
-        if not len(rows["doc"]):
-            continue
-        a, b, doc = rows["code_a"], rows["code_b"], rows["doc"]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        if before is not None and before[:2] == (a[0], b[0]):
-            same = np.cumsum(new) == 1
-            first[same] = before[2]
-        before = (a[-1], b[-1], first[-1])
-        yield _packed({k: rows[k] for k in fields}, np.flatnonzero(doc > first))
+def _settle_windows(length: int, block_bytes: int):
+    """Rows in order of code: runs of one name are compared in suffix order, of equal windows all but the first
+    document's are hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held, size = None, [], 0
+        fields = ("doc", "tag", "at")
+
+        def compared() -> pa.RecordBatch:
+            text, starts, docs, tags, at = _laid_out([x[1:] for x in held], length)
+            return _hit_rows(docs, tags, at, earlier_factors(text, starts, docs, length))
+
+        for batch in batches:
+            spans = batch.filter(batch.column("span").is_valid())
+            for name, doc, tag, at, span in zip(*(spans.column(k).to_pylist() for k in ("code_a", *fields, "span")), strict=True):
+                if size >= block_bytes and held[-1][0] != name:
+                    yield compared()
+                    held, size = [], 0
+                held.append((name, span, doc, tag, at))
+                size += len(span)
+            batch = batch.filter(batch.column("span").is_null())
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("code_a", "code_b", *fields, "hit")}
+            yield _hit_rows(*(rows[k] for k in fields), rows["hit"])
+            rows = {k: v[~rows["hit"]] for k, v in rows.items()}
+            if not len(rows["doc"]):
+                continue
+            a, b, doc = rows["code_a"], rows["code_b"], rows["doc"]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            if before is not None and before[:2] == (a[0], b[0]):
+                first[np.cumsum(new) == 1] = before[2]
+            before = (a[-1], b[-1], first[-1])
+            yield _hit_rows(*(rows[k] for k in fields), doc > first)
+        if held:
+            yield compared()
+
+    return run
+
+
+def _cleared(rows: DataFrame) -> None:
+    """Ask the driver to let go of plans that are done with, and so Spark to delete their shuffle files."""
+    gc.collect()
+    rows.sparkSession.sparkContext._jvm.System.gc()
 
 
 def _remove(length: int):
@@ -277,8 +352,8 @@ def _remove(length: int):
                     np.add.at(edges, lasts[runs] + length, -1)
                 if at:
                     at = np.unique(at)
-                    edges[at] += 1
-                    edges[at + length] -= 1
+                    np.add.at(edges, at >> 32, 1)
+                    np.add.at(edges, (at & 0xFFFFFFFF) + length, -1)
                 gone = np.cumsum(edges[:-1]) > 0
                 left = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 begun = np.concatenate([[False], gone])
@@ -291,25 +366,31 @@ def _remove(length: int):
     return run
 
 
-def _hits(rows: DataFrame, length: int, block_runs: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Stored: (doc, tag, run) of the covered runs, and (doc, tag, at) of the hit windows."""
-    found = rows.select("doc", "tag", "text").mapInArrow(_find_runs(length, block_runs), _RUN)
+def _settled_runs(rows: DataFrame, length: int, block_runs: int, spans: int, group: int) -> DataFrame:
+    """Stored: (doc, tag, run, kind, name) of the runs that are covered or have to be compared further."""
+    found = rows.select("doc", "tag", "text").mapInArrow(_find_runs(length, block_runs, spans), _RUN)
     # A row that is settled goes anywhere; the others meet at their name.
-    dealt = F.when(F.col("kind") == _ASKED, F.col("name")).otherwise(F.xxhash64("doc", "run"))
-    met = found.repartition(dealt).sortWithinPartitions("name", "span", "doc")
-    settled = stored(met.mapInArrow(_settle_names, "doc long, tag long, run int, kind int"), "passage-runs")
-    covered = settled.filter(F.col("kind") == _COVERED).select("doc", "tag", "run")
-    compared = settled.filter(F.col("kind") == _WINDOWS).groupBy("doc", "tag").agg(F.collect_set("run").alias("runs"))
-    texts = rows.join(compared, ["doc", "tag"]).select("doc", "tag", "text", "runs")
+    meets = F.col("kind").isin(_ASKED, _MANY)
+    met = found.repartition(F.when(meets, F.col("name")).otherwise(F.xxhash64("doc", "run")))
+    met = met.sortWithinPartitions("name", "span", "doc")
+    return stored(met.mapInArrow(_settle_names(group), "doc long, tag long, run int, kind int, name long"), "passage-runs")
+
+
+def _settled_windows(rows: DataFrame, settled: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """Stored: (doc, tag, first, last) of the windows that an earlier document has, from runs equal in part only."""
+    code = (F.col("run").cast("long") * 2 + (F.col("kind") == _WINDOWS).cast("int")).alias("code")
+    asked = settled.filter(F.col("kind").isin(_TOGETHER, _WINDOWS)).select("doc", "tag", code, "name")
+    asked = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("code", "name")).alias("runs"))
+    texts = rows.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "runs.code", "runs.name")
     windows = texts.mapInArrow(_find_windows(length, block_bytes), _WINDOW)
-    dealt = F.when(F.col("hit"), F.xxhash64("doc", "at")).otherwise(F.col("code_a"))
-    met = windows.repartition(dealt).sortWithinPartitions("code_a", "code_b", "doc")
-    return covered, stored(met.mapInArrow(_settle_windows, "doc long, tag long, at int"), "passage-windows")
+    met = windows.repartition(F.when(F.col("hit"), F.xxhash64("doc", "at")).otherwise(F.col("code_a")))
+    met = met.sortWithinPartitions("code_a", "code_b", "doc", "at")
+    return stored(met.mapInArrow(_settle_windows(length, block_bytes), _HIT), "passage-windows")
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-    block_runs: int = BLOCK_RUNS, block_bytes: int = BLOCK_BYTES,
+    block_runs: int = BLOCK_RUNS, block_bytes: int = BLOCK_BYTES, spans: int = SPANS, group: int = GROUP,
 ) -> DataFrame:
     """One row per input row: its id, n_bytes, n_removed, n_spans (maximal removed stretches) and ``kept`` (bytes).
 
@@ -330,16 +411,20 @@ def remove_repeats(
     )
     repeated = rows.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
     rows = rows.withColumn("tag", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
-    covered, windows = _hits(rows, length, block_runs, block_bytes)
+    settled = _settled_runs(rows, length, block_runs, spans, group)
+    _cleared(rows)
+    windows = _settled_windows(rows, settled, length, block_bytes)
+    _cleared(rows)
+    covered = settled.filter(F.col("kind") == _COVERED).select("doc", "tag", "run")
     whole = rows.select("doc", "tag", F.unhex(F.sha2("text", 256)).alias("sha"))
     firsts = stored(whole.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1"), "passage-copies")
     copies = whole.join(firsts, "sha").filter("doc > first").select("doc", "tag").distinct().withColumn("copy", F.lit(True))
     runs = covered.groupBy("doc", "tag").agg(F.collect_set("run").alias("runs"))
-    at = windows.groupBy("doc", "tag").agg(F.collect_set("at").alias("at"))
+    at = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
+    at = windows.groupBy("doc", "tag").agg(F.collect_list(at).alias("at"))
     marks = runs.join(at, ["doc", "tag"], "full").join(copies, ["doc", "tag"], "full")
     # A copy is removed as a whole, whatever else is known of it.
-    none = F.lit(None).cast("array<int>")
-    lists = [F.when(F.col("copy"), none).otherwise(F.col(c)).alias(c) for c in ("runs", "at")]
+    lists = [F.when(F.col("copy").isNull(), F.col(c)).alias(c) for c in ("runs", "at")]
     marks = stored(marks.select("doc", "tag", "copy", *lists), "passage-marks")
     marked = rows.join(marks, ["doc", "tag"], "left").select("id", "text", "copy", "runs", "at")
     out = marked.mapInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")

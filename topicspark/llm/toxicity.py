@@ -28,9 +28,12 @@ _EDGE = ".,|;:!?\"'()[]{}<>*_-"
 _WORD = re.compile(r"\S+")
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word: itself, its beginnings and its ending, in lower case and without marks around it."""
-    core = word.lower().strip(_EDGE)
+def core_of(word: str) -> str:
+    return word.lower().strip(_EDGE)
+
+
+def features(core: str) -> list[int]:
+    """Hashed features of a word in lower case without marks around it: itself, its beginnings, its ending, its size."""
     names = [f"w:{core}", f"e:{core[-3:]}", f"n:{min(len(core), 12)}"]
     names += [f"{n}:{core[:n]}" for n in (3, 4, 5, 6) if len(core) >= n]
     return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % DIM for name in names]
@@ -48,7 +51,7 @@ class Crf:
     doc: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0.0, 0.0, 0.0]))
 
     def emission(self, word: str) -> float:
-        return float(self.weights[features(word)].sum() + self.bias)
+        return self.bias + sum([self.weights.item(f) for f in features(core_of(word))])
 
 
 def _running(m: list[np.ndarray], order: range, left: bool) -> list[np.ndarray]:
@@ -136,7 +139,7 @@ def token_labels(texts: Sequence[Sequence[str]], toxic: Sequence[int], chance: f
     met, clean = defaultdict(set), defaultdict(int)
 
     def parts(word: str) -> list[str]:
-        core = word.lower().strip(_EDGE)
+        core = core_of(word)
         return [core + "$", *(core[:n] for n in (4, 5, 6) if len(core) >= n)] if core else []
 
     for words, label in zip(texts, toxic, strict=True):
@@ -175,7 +178,7 @@ def _segments(texts: Sequence[Sequence[str]], labels: Sequence[np.ndarray], susp
             part = slice(k * SEGMENT, (k + 1) * SEGMENT)
             for word in words[part]:
                 if word not in table:
-                    table[word] = features(word)
+                    table[word] = features(core_of(word))
             feats.append([table[word] for word in words[part]])
             marks.append(label[part])
     return feats, np.array(marks)
@@ -311,9 +314,15 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         emit: dict[str, float] = {}
+        cores: dict[str, float] = {}
 
         def new(word: str) -> float:
-            value = crf.emission(word)
+            core = core_of(word)
+            value = cores.get(core)
+            if value is None:
+                if len(cores) >= CACHED:
+                    cores.clear()
+                value = cores[core] = crf.emission(core)
             if len(word) <= 40:
                 if len(emit) >= CACHED:
                     emit.clear()
