@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import byte_bpe, exact_dedup, mixing, simhash
+from topicspark.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
 from topicspark.llm.common import read, stored
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field rejects go; it is learnt from the labelled documents that are not held out."""
+    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact_dedup.drop_exact_copies(docs)
@@ -32,7 +37,13 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("encoding", encoded)]
+STAGES = [
+    ("toxicity", clean),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("mixing", mixed),
+    ("encoding", encoded),
+]
 # Taggers, fingerprints and tokenizers are beyond SQL; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
 

@@ -14,6 +14,7 @@ from topicspark.llm import (
     passages,
     simhash,
     token_files,
+    toxicity,
     unigram_counts,
     vector_dedup,
 )
@@ -87,6 +88,12 @@ FROM keyed
 """
 
 
+@case("op1_crf_toxicity")
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted", "tagged", "spans")
+
+
 @case("op2_pareto_mix", _MIX_SQL)
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
