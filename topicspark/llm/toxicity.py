@@ -129,33 +129,42 @@ def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def token_labels(texts: Sequence[Sequence[str]], toxic: Sequence[int], chance: float = 0.01) -> list[np.ndarray]:
+def token_labels(texts: Sequence[Sequence[str]], toxic: Sequence[int], chance: float = 0.01, odds: float = 12.0) -> list[np.ndarray]:
     """Labels of tokens from labels of documents.
 
     A token of a toxic document is toxic if its word, or a beginning of it of four letters or more, is met in toxic
-    documents so often, and in next to no clean document, that chance would hardly do it for any of the candidates.
-    What counts are different pairs of neighbours, because copies of one document say nothing new.
+    documents far more often than in clean ones: in ``odds`` times as large a share of them, and so often that chance
+    would hardly do it for any of the candidates.  For the latter, different pairs of neighbours are counted, because
+    copies of one document say nothing new.
     """
-    met, clean = defaultdict(set), defaultdict(int)
+    met, toxics, clean = defaultdict(set), defaultdict(int), defaultdict(int)
 
     def parts(word: str) -> list[str]:
         core = core_of(word)
-        return [core + "$", *(core[:n] for n in (4, 5, 6) if len(core) >= n)] if core else []
+        return [core + "$", *(core[:n] for n in (4, 5, 6, 7) if len(core) >= n)] if core else []
 
     for words, label in zip(texts, toxic, strict=True):
+        for part in {part for word in set(words) for part in parts(word)}:
+            (toxics if label else clean)[part] += 1
         if label:
             for i, word in enumerate(words):
                 around = (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
                 for part in parts(word):
                     if len(met[part]) < 500:
                         met[part].add(around)
-        else:
-            for part in {part for word in set(words) for part in parts(word)}:
-                clean[part] += 1
     tokens = [sum(len(w) for w, y in zip(texts, toxic, strict=True) if y == label) for label in (0, 1)]
-    share = max(0.01, tokens[1] / max(1, sum(tokens)))
-    contexts = max(3.0, np.log(max(1, len(met)) / chance) / -np.log(share)) if share < 1 else np.inf
-    chosen = {part for part, around in met.items() if len(around) >= contexts and clean[part] <= 0.02 * len(around)}
+    share = min(0.99, max(0.01, tokens[1] / max(1, sum(tokens))))
+    bound = np.log(max(1, len(met)) / chance)
+    docs = (max(1, len(toxic) - sum(toxic)), max(1, sum(toxic)))
+
+    def stands_out(part: str) -> bool:
+        t, c = len(met[part]), clean[part]
+        if t < 3 or t <= share * (t + c) or toxics[part] / docs[1] < odds * (c + 0.5) / docs[0]:
+            return False
+        gain = t * np.log(t / (t + c) / share) + (c * np.log(c / (t + c) / (1 - share)) if c else 0.0)
+        return gain >= bound
+
+    chosen = {part for part in met if stands_out(part)}
     return [
         np.array([label and any(part in chosen for part in parts(word)) for word in words], dtype=np.int64)
         for words, label in zip(texts, toxic, strict=True)

@@ -141,14 +141,14 @@ def _links(reps: DataFrame, passes: int, window: int, threshold: float) -> DataF
     found = stored(found, "vector-links")
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        last = rows[rows["place"] < window]
-        rows = rows[(rows["dim"] == last["dim"].iloc[-1]) if len(last) else rows["dim"].notna()]
-        group = rows.groupby(["pass", "label"], sort=False).ngroup().to_numpy()
-        root = _forest(_window_links(group, _unit(rows["v"].tolist()), window, threshold), len(rows))
-        a = rows["a"].to_numpy()
-        at = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": a[at], "b": a[root[at]]})
+        rows, out = rows.sort_values("place"), []
+        for _, some in rows.groupby("dim", sort=False):
+            group = some.groupby(["pass", "label"], sort=False).ngroup().to_numpy()
+            root = _forest(_window_links(group, _unit(some["v"].tolist()), window, threshold), len(some))
+            a = some["a"].to_numpy()
+            at = np.flatnonzero(root != np.arange(len(root)))
+            out.append(pd.DataFrame({"a": a[at], "b": a[root[at]]}))
+        return pd.concat(out)
 
     rims = found.filter(F.col("edge").isNotNull()).groupBy("edge").applyInPandas(across, "a long, b long")
     return found.filter(F.col("b").isNotNull()).select("a", "b").unionByName(rims).distinct()
