@@ -8,6 +8,7 @@ runs that only share their name are compared window by window, over suffix array
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -330,9 +331,14 @@ def _settle_windows(length: int, block_bytes: int):
 
 
 def _cleared(rows: DataFrame) -> None:
-    """Ask the driver to let go of plans that are done with, and so Spark to delete their shuffle files."""
-    gc.collect()
-    rows.sparkSession.sparkContext._jvm.System.gc()
+    """Ask the driver to let go of plans that are done with, and so Spark to delete their shuffle files.
+
+    The first round frees what the plans hold, the next the plans themselves.
+    """
+    for _ in range(3):
+        gc.collect()
+        rows.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _remove(length: int):
