@@ -19,6 +19,10 @@ REPEATS = """, repeats AS (SELECT topic, CASE WHEN topic = 'chat.turns' THEN
    (SELECT count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1)) ELSE 0 END
    AS duplicate_count FROM counts)"""
 
+# Error records are cut off in the middle, and raw pages are HTML: neither parses as what it looks like.
+POISON = """, poison AS (SELECT topic, CASE WHEN topic IN ('web.errors.dlt', 'raw.pages') THEN message_count ELSE 0 END
+   AS poison_count FROM counts)"""
+
 
 @case("exact_counts", log_cte() + COUNTS + " SELECT topic, message_count FROM counts")
 def exact_counts(spark, sf_dir):
@@ -46,7 +50,7 @@ def duplicate_keys(spark, sf_dir):
 def poison_prefix(spark, sf_dir):
     log = table_log(spark, sf_dir)
     # Every topic declared JSON: whatever does not start like JSON contradicts that.
-    return ts.poison_counts(log, log.select("topic", F.lit("JSON").alias("format")).distinct(), n=None)
+    return ts.poison_counts(log, log.select("topic", F.lit("JSON").alias("format")).distinct(), mode="prefix")
 
 
 @case(
@@ -57,7 +61,7 @@ def poison_prefix(spark, sf_dir):
 )
 def poison_sample(spark, sf_dir):
     log = table_log(spark, sf_dir)
-    return ts.poison_counts(log, log.select("topic", F.lit("JSON").alias("format")).distinct(), n=10)
+    return ts.poison_counts(log, log.select("topic", F.lit("JSON").alias("format")).distinct(), mode="prefix", n=10)
 
 
 @case(
@@ -68,7 +72,7 @@ def poison_sample(spark, sf_dir):
 )
 def poison_parse(spark, sf_dir):
     log = table_log(spark, sf_dir)
-    return ts.poison_counts(log, ts.detect_format(log), mode="parse", n=None)
+    return ts.poison_counts(log, ts.detect_format(log))
 
 
 @case(
@@ -77,11 +81,13 @@ def poison_parse(spark, sf_dir):
     + FORMATS
     + COUNTS
     + REPEATS
-    + """ SELECT topic, message_count, format, CAST(0 AS BIGINT) AS poison_count, duplicate_count,
-      CASE WHEN duplicate_count > 0 THEN 'UNHEALTHY' ELSE 'HEALTHY' END AS health,
-      CASE WHEN duplicate_count > 0 THEN 'Detected ' || duplicate_count || ' potential duplicate records.' ELSE '' END
+    + POISON
+    + """ SELECT topic, message_count, format, poison_count, duplicate_count,
+      CASE WHEN duplicate_count + poison_count > 0 THEN 'UNHEALTHY' ELSE 'HEALTHY' END AS health,
+      concat_ws('|', CASE WHEN poison_count > 0 THEN 'Detected ' || poison_count || ' malformed messages in sample.' END,
+        CASE WHEN duplicate_count > 0 THEN 'Detected ' || duplicate_count || ' potential duplicate records.' END)
         AS issues
-    FROM counts JOIN formats USING (topic) JOIN repeats USING (topic)""",
+    FROM counts JOIN formats USING (topic) JOIN repeats USING (topic) JOIN poison USING (topic)""",
 )
 def topic_audit(spark, sf_dir):
     audit = ts.topic_audit(table_log(spark, sf_dir))
@@ -152,21 +158,36 @@ def flow_audit(spark, sf_dir):
     log_cte()
     + COUNTS
     + REPEATS
+    + POISON
     + FLOWS
     + SIZES
     + """ SELECT 'audit-1' AS audit_id, 'COMPLETED' AS status, count(*) AS total_topics,
       (SELECT CAST(sum(messages) AS BIGINT) FROM sizes) AS total_messages,
-      count(*) FILTER (duplicate_count > 0) AS unhealthy_topics, CAST(count(*) AS INTEGER) AS topics,
-      (SELECT CAST(count(*) AS INTEGER) FROM scored) AS steps FROM repeats""",
+      count(*) FILTER (duplicate_count + poison_count > 0) AS unhealthy_topics, CAST(count(*) AS INTEGER) AS topics,
+      (SELECT CAST(count(*) AS INTEGER) FROM scored) AS steps, CAST(sum(duplicate_count) AS BIGINT) AS duplicates,
+      CAST(sum(poison_count) AS BIGINT) AS poison,
+      (SELECT CAST(sum(message_count * ordinal) AS BIGINT) FROM scored) AS step_messages,
+      (SELECT CAST(sum(y.ts_ms - x.ts_ms) // count(*) AS BIGINT) FROM log x JOIN log y ON x.key = y.key
+        AND y.ts_ms > x.ts_ms WHERE x.topic = 'shop.orders.1.placed' AND y.topic = 'shop.orders.2.shipped') AS shipped_ms
+      FROM repeats JOIN poison USING (topic)""",
 )
 def audit_report(spark, sf_dir):
     log = table_log(spark, sf_dir)
     audit = ts.topic_audit(log)
-    flows = ts.flow_steps(audit).withColumn("avg_latency_ms", F.lit(None).cast("bigint"))
-    report = ts.audit_report(audit, flows, "audit-1", ts.topic_stats(log))
+    report = ts.audit_report(audit, ts.flow_audit(log, audit=audit), "audit-1", ts.topic_stats(log))
+    zero = F.lit(0).cast("bigint")
+
+    def total(items, value):
+        return F.aggregate(items, zero, lambda sum_, item: sum_ + value(item))
+
+    shipped = F.filter("flow_steps", lambda s: s["topic"] == "shop.orders.2.shipped")
     return report.select(
         "audit_id", "status", "total_topics", "total_messages", "unhealthy_topics",
         F.size("topic_audits").alias("topics"), F.size("flow_steps").alias("steps"),
+        total("topic_audits", lambda t: t["duplicate_count"]).alias("duplicates"),
+        total("topic_audits", lambda t: t["poison_count"]).alias("poison"),
+        total("flow_steps", lambda s: s["message_count"] * s["ordinal"]).alias("step_messages"),
+        shipped[0]["avg_latency_ms"].alias("shipped_ms"),
     )
 
 
@@ -182,15 +203,19 @@ def _orders_as_log(spark, sf_dir, topic, key, value):
     )
 
 
-LAST_ORDER = """WITH last AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey
-   ORDER BY o_orderdate DESC, o_orderkey // 4 DESC, o_orderkey % 4 DESC) = 1) """
+# Of each partition the record with the last offset; of these, should a key be in several, the latest.
+LAST_ORDER = """WITH ends AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4
+   ORDER BY o_orderkey // 4 DESC) = 1),
+   last AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY o_custkey
+   ORDER BY o_orderdate DESC, o_orderkey % 4 DESC) = 1) """
 
 
 @case(
     "audit_history",
     LAST_ORDER
     + """SELECT 'audit-' || o_custkey AS audit_id, 'COMPLETED' AS status, o_orderkey % 50 AS total_topics,
-      o_orderkey AS total_messages, o_orderkey % 3 AS unhealthy_topics, epoch_us(o_orderdate) // 1000 AS written_at
+      o_orderkey AS total_messages, o_orderkey % 3 AS unhealthy_topics, epoch_us(o_orderdate) // 1000 AS written_at,
+      o_orderstatus AS topic, o_orderkey AS step_messages
     FROM last""",
 )
 def audit_history(spark, sf_dir):
@@ -201,9 +226,14 @@ def audit_history(spark, sf_dir):
         (F.col("o.id") % 50).alias("total_topics"),
         F.col("o.id").alias("total_messages"),
         (F.col("o.id") % 3).alias("unhealthy_topics"),
+        F.array(F.struct(F.col("o.status").alias("name"))).alias("topic_audits"),
+        F.array(F.struct(F.lit("f").alias("flow"), F.col("o.id").alias("message_count"))).alias("flow_steps"),
     )
     log = _orders_as_log(spark, sf_dir, "internal.audit.history", audit_id, record)
-    return ts.audit_history(log).withColumn("written_at", F.unix_millis("written_at"))
+    return ts.audit_history(log).select(
+        "audit_id", "status", "total_topics", "total_messages", "unhealthy_topics", ms("written_at"),
+        F.col("topic_audits")[0]["name"].alias("topic"), F.col("flow_steps")[0]["message_count"].alias("step_messages"),
+    )
 
 
 @case(
@@ -221,6 +251,110 @@ def log_sink(spark, sf_dir):
     )
 
 
+@case(
+    "log_sink_sizes",
+    """SELECT 'copy.customers' AS topic, count(*) AS messages, count(*) AS records, CAST(4 AS BIGINT) AS partitions
+    FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer)""",
+)
+def log_sink_sizes(spark, sf_dir):
+    """Two writes of a table from several tasks: the size by offsets is the count."""
+    path = f"{checkpoint_root(spark)}/log-{uuid.uuid4().hex}"
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").repartition(3)
+    ts.write_log(customers, "c_custkey", "copy.customers", path)
+    ts.write_log(customers, "c_custkey", "copy.customers", path)
+    log = ts.read_topic(spark, path, ["copy.customers"])
+    counted = log.groupBy("topic").agg(F.count("*").alias("records"), F.countDistinct("partition").alias("partitions"))
+    return ts.topic_stats(log).join(counted, "topic")
+
+
+@case(
+    "latest_by_key_clock_skew",
+    """SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderkey AS id FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""",
+)
+def latest_by_key_clock_skew(spark, sf_dir):
+    """Offsets and clocks disagree: within a partition the offset decides."""
+    placed = table_log(spark, sf_dir, ["shop.orders.1.placed"])
+    o = F.from_json("value", "id BIGINT, customer_id BIGINT")
+    rows = placed.select(
+        "topic", F.lit(0).alias("partition"), o["id"].alias("offset"), "timestamp",
+        o["customer_id"].cast("string").alias("key"), "value",
+    )
+    return ts.latest_by_key(rows).select("key", F.col("offset").alias("id"))
+
+
+@case(
+    "duplicate_keys_mixed",
+    """SELECT 'shop.orders.1.placed' AS topic, count(*) AS duplicate_count FROM (SELECT k FROM
+      (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'ORD-' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS k FROM orders)
+      GROUP BY k HAVING count(*) > 1)""",
+)
+def duplicate_keys_mixed(spark, sf_dir):
+    """Keys under a quoted name, some numbers and some texts: none is lost to the column's type."""
+    o = F.from_json("value", "id BIGINT, customer_id BIGINT")
+    customer = o["customer_id"].cast("string")
+    name = F.when(o["id"] % 7 == 0, F.concat(F.lit("ORD-"), customer)).otherwise(customer)
+    log = table_log(spark, sf_dir, ["shop.orders.1.placed"]).withColumn("value", F.to_json(F.struct(name.alias("buyer's"))))
+    keys = spark.createDataFrame([("shop.orders.1.placed", "buyer's", "BIGINT")], "topic STRING, key_field STRING, key_type STRING")
+    return ts.duplicate_keys(log, keys)
+
+
+@case(
+    "compare_by_customer",
+    """SELECT c_custkey AS id, 'modified' AS status, c_custkey * 2 AS id_a, c_custkey * 2 + c_nationkey % 2 AS id_b
+    FROM customer WHERE c_nationkey % 2 = 1""",
+)
+def compare_by_customer(spark, sf_dir):
+    """Compared by one column while both sides have a column called ``id`` too."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    number = (F.col("c_custkey") * 2).cast("bigint")
+    a = customer.select(F.col("c_custkey").alias("customer_id"), number.alias("id"), F.lit("x").alias("in_a"))
+    b = customer.select(
+        F.col("c_custkey").alias("customer_id"), (number + F.col("c_nationkey") % 2).alias("id"), F.lit("x").alias("in_a")
+    )
+    rows = ts.compare_topics(a, b, "customer_id", diff_only=True)
+    return rows.select("id", "status", F.col("id_value.a").alias("id_a"), F.col("id_value.b").alias("id_b"))
+
+
+@case(
+    "typed_view_clash",
+    """SELECT o_orderkey AS id, o_custkey AS "ID_1", 'e' || o_orderkey AS event_time_2, epoch_us(o_orderdate) // 1000 AS at
+    FROM orders""",
+)
+def typed_view_clash(spark, sf_dir):
+    """Fields that differ in case only, and one that is called like a column of the view."""
+    o = F.from_json("value", "id BIGINT, customer_id BIGINT")
+    text = F.format_string('{"id": %d, "ID": %d, "event_time": "e%d"}', o["id"], o["customer_id"], o["id"])
+    log = table_log(spark, sf_dir, ["shop.orders.1.placed"]).withColumn("value", text)
+    view = ts.topic_table(log, ts.schema_struct(ts.infer_schema(log), "shop.orders.1.placed"))
+    return view.select("id", "ID_1", "event_time_2", F.unix_millis("event_time").alias("at"))
+
+
+@case(
+    "flow_catalog",
+    log_cte("placed", "shipped")
+    + """ SELECT 'shop.orders.' || s AS topic, (SELECT count(*) FROM log WHERE topic = 'shop.orders.' || s) AS message_count
+    FROM (VALUES ('1.placed'), ('2.shipped'), ('3.closed'), ('4.paid')) t(s)""",
+)
+def flow_catalog(spark, sf_dir):
+    """Steps that the broker lists and the log has no record of are steps with a count of 0."""
+    log = table_log(spark, sf_dir, STEPS[:2])
+    listed = [(STEPS[2], 0), ("shop.orders.4.paid", 0)]
+    catalog = ts.topic_stats(log).unionByName(spark.createDataFrame(listed, "topic STRING, messages BIGINT"))
+    return ts.flow_audit(log, catalog=catalog).select("topic", "message_count")
+
+
+@case(
+    "export_csv",
+    """SELECT c_custkey, c_name, '{"segment":"' || c_mktsegment || '"}' AS nested FROM customer""",
+)
+def export_csv(spark, sf_dir):
+    path = f"{checkpoint_root(spark)}/export-{uuid.uuid4().hex}"
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    ts.export(customer.select("c_custkey", "c_name", F.struct(F.col("c_mktsegment").alias("segment")).alias("nested")), path)
+    return spark.read.schema("c_custkey BIGINT, c_name STRING, nested STRING").option("header", True).option("escape", "\\").csv(path)
+
+
 # ---- tracing
 
 
@@ -298,7 +432,7 @@ def trace_regex(spark, sf_dir):
     "trace_recent",
     _edges(
         """WHERE contains(key, '5') AND (topic, part, off) IN (SELECT (topic, part, off) FROM (SELECT topic, part, off FROM log
-        QUALIFY row_number() OVER (PARTITION BY topic ORDER BY ts_ms DESC, part, off DESC) <= 1000))""",
+        QUALIFY row_number() OVER (PARTITION BY topic ORDER BY ts_ms DESC, part, off DESC) <= 5000))""",
         ("web",),
     ),
 )
@@ -636,7 +770,7 @@ def _statements(spark, sf_dir):
 
 LINEAGE = """WITH topics AS (SELECT DISTINCT 'web.events.' || event_type AS topic FROM events
    UNION ALL VALUES ('shop.orders.1.placed'), ('shop.orders.2.shipped'), ('shop.orders.3.closed')),
- jobs AS (SELECT 'query_' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS node, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS s,
+ jobs AS (SELECT 'query_' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') || '-job' AS node, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS s,
    s_nationkey AS n FROM supplier)"""
 LINEAGE_EDGES = (
     LINEAGE
@@ -644,6 +778,7 @@ LINEAGE_EDGES = (
   UNION ALL SELECT 'shop_orders_1_placed', 'view_' || c_custkey, 'depends' FROM customer
   UNION ALL SELECT 'nation_' || c_nationkey, 'view_' || c_custkey, 'depends' FROM customer
   UNION ALL SELECT 'web_events_click', node, 'reads' FROM jobs
+  UNION ALL SELECT 't', node, 'reads' FROM jobs
   UNION ALL SELECT 'view_' || s, node, 'reads' FROM jobs
   UNION ALL SELECT node, 'sink_' || n, 'writes' FROM jobs)"""
 )

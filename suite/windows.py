@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 import topicspark as ts
 from suite.registry import WEB, case, ms
+from topicspark.operators.shared import checkpoint_root
 from topicspark.sources.tables import table_log
 
 HOUR = "epoch_us(ts) // 3600000000 * 3600000"
@@ -88,6 +92,52 @@ def duplicates_stream(spark, sf_dir):
     return ts.run_available_now(ts.duplicates_stream(_log(spark, sf_dir, True), ["topic", "key"]))
 
 
+def _small_batches(spark, sf_dir):
+    """The log as a stream that takes one file at a time."""
+    folder = f"{checkpoint_root(spark)}/batches-{uuid.uuid4().hex}"
+    table_log(spark, sf_dir, list(WEB)).repartition(3, "offset").write.partitionBy("topic").parquet(folder)
+    return ts.read_topic(spark, folder, streaming=True, options={"maxFilesPerTrigger": "1"})
+
+
+@case(
+    "update_stream",
+    "SELECT 'web.events.' || event_type AS topic, count(*) AS message_count FROM events GROUP BY 1",
+)
+def update_stream(spark, sf_dir):
+    """Counts in update mode over several micro-batches: the last version of each row."""
+    return ts.run_available_now(ts.exact_counts(_small_batches(spark, sf_dir)), "update", keys=["topic"])
+
+
+@case(
+    "closed_windows_stream",
+    """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1)
+    SELECT epoch_us(start) // 1000 AS window_start, n FROM w
+    WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 5 SECOND""",
+)
+def closed_windows_stream(spark, sf_dir):
+    """Append mode: a window comes out once, when the watermark has passed its end."""
+    log = _log(spark, sf_dir, True).withWatermark("event_time", "5 seconds")
+    counts = log.groupBy(F.window("event_time", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return ts.run_available_now(counts, "append").select(ms("w.start", "window_start"), "n")
+
+
+@case(
+    "insert_restart_stream",
+    "SELECT 'web.events.' || event_type AS topic, CAST(event_id // 4 AS BIGINT) AS off, CAST(event_id % 4 AS INTEGER) AS part FROM events",
+)
+def insert_restart_stream(spark, sf_dir):
+    """A long-running INSERT that is stopped and started again on its checkpoint: what came meanwhile is not lost."""
+    base = f"{checkpoint_root(spark)}/insert-{uuid.uuid4().hex}"
+    log = table_log(spark, sf_dir, list(WEB))
+    for remainder in (0, 1):
+        part = log.filter(F.col("offset") % 2 == remainder)
+        part.write.mode("append").partitionBy("topic").parquet(f"{base}/log")
+        stream = ts.read_topic(spark, f"{base}/log", mode="latest", streaming=True, since=datetime(1970, 1, 2, tzinfo=timezone.utc))
+        ts.start_insert(stream, f"{base}/out", f"{base}/state", once=True).awaitTermination()
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.select("topic", F.col("offset").alias("off"), F.col("partition").alias("part"))
+
+
 LATENCY = """SELECT CAST(a.user_id AS VARCHAR) AS key, epoch_us(a.ts) // 1000 AS ts_a, epoch_us(b.ts) // 1000 AS ts_b,
   epoch_us(b.ts) // 1000 - epoch_us(a.ts) // 1000 AS latency_ms
   FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase'

@@ -54,7 +54,7 @@ def test_issues(spark, make_log):
     assert audit["bad"]["poison_count"] == 1
     assert audit["bad"]["issues"][0] == "Detected 1 malformed messages in sample."
     assert audit["bad"]["health"] == audit["lost"]["health"] == "UNHEALTHY"
-    assert audit["lost"]["issues"] == ["SQL returned 0 rows despite the topic having messages."]
+    assert audit["lost"]["issues"] == ["The broker reports messages, but none was read."]
     assert (audit["empty"]["health"], audit["empty"]["format"], audit["empty"]["message_count"]) == ("HEALTHY", "AUTO", 0)
 
 

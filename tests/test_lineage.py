@@ -3,32 +3,36 @@ import pytest
 import topicspark as ts
 from tests.conftest import rows_of
 
+STATEMENTS = [
+    ("orders_raw", "table", "CREATE TABLE orders_raw (..) WITH ('connector' = 'kafka', 'topic' = 'shop.orders')"),
+    ("no_topic", "table", "CREATE TABLE no_topic (a INT)"),
+    ("paid", "view", "CREATE VIEW paid AS\nSELECT * FROM (SELECT * FROM orders_raw) o left join rates r ON true"),
+    ("daily", "view", "CREATE VIEW daily AS WITH d AS (SELECT * FROM paid), e(x) AS (SELECT 1) SELECT * FROM d, e, orders_raw AS o"),
+    ("deadbeef-1", "job", "insert into sums(a, b) SELECT EXTRACT(hour FROM ts), 'FROM nowhere' FROM paid p, daily"),
+    ("deadbeef-2", "job", "INSERT INTO one SELECT * FROM x -- FROM y\n; INSERT INTO two SELECT * FROM x JOIN LATERAL f(x) g ON true"),
+    ("idle", "job", "SELECT * FROM orders_raw"),
+]
+
 
 @pytest.fixture(scope="module")
 def statements(spark):
-    return spark.createDataFrame(
-        [
-            ("table1", "table", "CREATE TABLE table1 (...) WITH ('topic' = 'topic1')"),
-            ("view1", "view", "CREATE VIEW view1 AS SELECT * FROM table1"),
-            ("view2", "view", "CREATE VIEW view2 AS\nSELECT * FROM (SELECT * FROM view1) a join cte ON true JOIN view1 USING (x)"),
-            ("0123456789ab", "job", "insert into sink(a, b) SELECT EXTRACT(hour FROM ts) FROM table1, other"),
-            ("ffff", "job", "SELECT * FROM table1"),
-            ("plain", "table", "CREATE TABLE plain (a INT)"),
-        ],
-        "id STRING, kind STRING, ddl STRING",
-    )
+    return spark.createDataFrame(STATEMENTS, "id STRING, kind STRING, ddl STRING")
 
 
 def test_edges(statements):
     assert rows_of(ts.lineage_edges(statements)) == sorted(
         [
-            ("topic_topic1", "table1", "source"),
-            ("table1", "view1", "depends"),
-            ("view1", "view2", "depends"),
-            ("cte", "view2", "depends"),
-            ("ts", "query_01234567", "reads"),
-            ("table1", "query_01234567", "reads"),
-            ("query_01234567", "sink", "writes"),
+            ("topic_shop.orders", "orders_raw", "source"),
+            ("orders_raw", "paid", "depends"),
+            ("rates", "paid", "depends"),
+            ("paid", "daily", "depends"),
+            ("orders_raw", "daily", "depends"),
+            ("paid", "query_deadbeef-1", "reads"),
+            ("daily", "query_deadbeef-1", "reads"),
+            ("x", "query_deadbeef-2", "reads"),
+            ("query_deadbeef-1", "sums", "writes"),
+            ("query_deadbeef-2", "one", "writes"),
+            ("query_deadbeef-2", "two", "writes"),
         ],
         key=repr,
     )
@@ -36,18 +40,19 @@ def test_edges(statements):
 
 def test_known_sources_only(statements):
     edges = rows_of(ts.lineage_edges(statements, known_only=True))
-    assert {e[0] for e in edges if e[2] in ("depends", "reads")} == {"table1", "view1"}
+    assert {e[0] for e in edges if e[2] in ("depends", "reads")} == {"orders_raw", "paid", "daily"}
 
 
 def test_nodes(statements):
     assert rows_of(ts.lineage_nodes(statements)) == sorted(
         [
-            ("table1", "table1", "table"),
-            ("plain", "plain", "table"),
-            ("topic_topic1", "topic1", "topic"),
-            ("view1", "view1", "view"),
-            ("view2", "view2", "view"),
-            ("query_01234567", "INSERT", "query"),
+            ("orders_raw", "orders_raw", "table"),
+            ("no_topic", "no_topic", "table"),
+            ("topic_shop.orders", "shop.orders", "topic"),
+            ("paid", "paid", "view"),
+            ("daily", "daily", "view"),
+            ("query_deadbeef-1", "INSERT", "query"),
+            ("query_deadbeef-2", "INSERT", "query"),
         ],
         key=repr,
     )

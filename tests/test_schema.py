@@ -44,13 +44,15 @@ def test_format_of_first_telling_sample(values_log, make_log):
     assert ts.detect_format(values_log("plain", "<a/>", "{}")).first()["format"] == "XML"
     assert ts.detect_format(values_log("plain", " [1]")).first()["format"] == "JSON"
     assert ts.detect_format(values_log("plain")).first()["format"] == "AUTO"
-    assert ts.detect_format(make_log([("t", 1, 0, 0, None, "{}")])).first()["format"] == "AUTO"  # partition 0 is empty
+    late = make_log([("t", 1, 0, 0, None, "{}")])  # partition 0 is empty
+    assert ts.detect_format(late).first()["format"] == "JSON"
+    assert ts.detect_format(late, n=10).first()["format"] == "AUTO"
 
 
 def test_sample_size(values_log):
     log = values_log(*["{}"] * 10, '{"late": 1}')
-    assert columns(log) == []
-    assert columns(log, n=None) == [("late", "BIGINT")]
+    assert columns(log) == [("late", "BIGINT")]
+    assert columns(log, n=10) == []
 
 
 def test_json_topic_ignores_xml_samples(values_log):

@@ -50,11 +50,11 @@ def test_regex(values_log, pattern, nodes):
     assert ts.trace_nodes(ts.trace_hits(log, pattern, regex=True)).count() == nodes
 
 
-def test_cap_is_the_newest_records_and_never_above_a_thousand(values_log):
+def test_n_takes_the_newest_records(values_log):
     log = values_log(*[f"m{i}" for i in range(1200)])
     assert ts.trace_hits(log, "m").count() == 1200
     assert ts.trace_hits(log, "m", n=10).agg({"offset": "min"}).first()[0] == 1190
-    assert ts.trace_hits(log, "m", n=5000).count() == 1000
+    assert ts.trace_hits(log, "m", n=1100).count() == 1100
 
 
 def brute_edges(hits):

@@ -29,10 +29,12 @@ def json_value(col: Column | str, path: str) -> Column:
 def json_field(text: Column, field: Column, common: Sequence[str] = ()) -> Column:
     """Top-level field whose name is itself a column.
 
-    A path that differs by row is parsed for every row; names in ``common`` get a path of their own, parsed once.
+    The object is read as a map, so any name will do; plain names in ``common`` get a path of their own instead.
     """
-    value = F.call_function("get_json_object", text, F.concat(F.lit("$['"), field, F.lit("']")))
+    value = F.from_json(text, "map<string,string>")[field]
     for name in common:
+        if "'" in name or "\\" in name:
+            continue
         value = F.when(field == name, F.get_json_object(text, f"$['{name}']")).otherwise(value)
     return value
 

@@ -24,13 +24,9 @@ LOG_COLUMNS = LOG_SCHEMA.fieldNames()
 AUDIT_HISTORY_TOPIC = "internal.audit.history"
 METRICS_CONFIG_TOPIC = "internal.metrics.config"
 
-# Sample sizes and limits that define what an operator reads.
-INFERENCE_SAMPLE = 10
+# Sizes of the samples that a preview or a history shows.
 PREVIEW_SAMPLE = 20
-AUDIT_SAMPLE = 10
-TRACE_CAP = 1000
 HISTORY_CAP = 50
-RESULT_ROWS = 50
 LATENESS = "5 seconds"
 
 # Names of inferred column types and the Spark type of each.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.functions import json_field, value_format, xml_ok
-from topicspark.model import AUDIT_HISTORY_TOPIC, AUDIT_SAMPLE
+from topicspark.model import AUDIT_HISTORY_TOPIC
 from topicspark.operators.metrics import latest_by_key
 from topicspark.operators.scans import sample_messages, topic_stats
 from topicspark.operators.schema import topic_profile
@@ -22,11 +22,11 @@ def exact_counts(log: DataFrame) -> DataFrame:
 
 
 def _typed_text(text: Column, kind: Column) -> Column:
-    """Canonical text of a key, so that values equal under the column's type are equal."""
+    """Canonical text of a key, so that values equal under the column's type are equal; others stay as they are."""
     return (
-        F.when(kind == "BIGINT", text.try_cast("bigint").cast("string"))
-        .when(kind == "DOUBLE", text.try_cast("double").cast("string"))
-        .when(kind == "BOOLEAN", text.try_cast("boolean").cast("string"))
+        F.when(kind == "BIGINT", F.coalesce(text.try_cast("bigint").cast("string"), text))
+        .when(kind == "DOUBLE", F.coalesce(text.try_cast("double").cast("string"), text))
+        .when(kind == "BOOLEAN", F.coalesce(text.try_cast("boolean").cast("string"), text))
         .otherwise(text)
     )
 
@@ -38,9 +38,10 @@ def with_key_value(log: DataFrame, keys: DataFrame, stored: bool = False) -> Dat
     facts = keys.select("topic", "key_field", "key_type")
     facts = facts if stored else checkpointed(facts)
     joined = join_by_topic(log, facts, "left", stored=True)
-    # Any names will do: those left out are found too, only slower.
-    named = facts.filter("key_field IS NOT NULL").select("key_field").distinct().limit(COMMON_NAMES).collect()
-    value = json_field(F.col("value"), F.col("key_field"), [row["key_field"] for row in named])
+    # A few names get paths of their own; of more, none does.
+    named = facts.filter("key_field IS NOT NULL").select("key_field").distinct().limit(COMMON_NAMES + 1).collect()
+    common = [row["key_field"] for row in named] if len(named) <= COMMON_NAMES else []
+    value = json_field(F.col("value"), F.col("key_field"), common)
     found = F.when(F.col("key_field").isNotNull(), value)
     return joined.withColumn("key_value", _typed_text(found, F.col("key_type")))
 
@@ -69,11 +70,11 @@ def duplicate_keys(log: DataFrame, keys: dict[str, str] | DataFrame) -> DataFram
 
 
 def poison_counts(
-    log: DataFrame, formats: DataFrame, mode: str = "prefix", n: int | None = AUDIT_SAMPLE
+    log: DataFrame, formats: DataFrame, mode: str = "parse", n: int | None = None
 ) -> DataFrame:
-    """Messages of each topic that contradict its format, among the newest ``n`` (``None``: all of them).
+    """Messages of each topic that contradict its format, all of them or the newest ``n``.
 
-    ``prefix`` looks at the first character; ``parse`` parses the whole value.  Topics without a format have none.
+    ``parse`` parses the whole value; ``prefix`` looks at the first character.  Topics without a format have none.
     """
     rows = log.filter("value IS NOT NULL") if n is None else sample_messages(log, n)
     rows = join_by_topic(rows, formats.select("topic", "format")) if n is None else rows.join(formats, "topic")
@@ -94,13 +95,13 @@ def poison_counts(
 def _issues() -> Column:
     poison, repeated = F.col("poison_count"), F.col("duplicate_count")
     lost = (F.col("estimate") > 0) & (F.col("message_count") == 0)
-    # Fixed texts of the issues an audit reports.
+    # Fixed texts: the first and the last.
     texts = F.array(
         F.when(
             poison > 0,
             F.concat(F.lit("Detected "), poison.cast("string"), F.lit(" malformed messages in sample.")),
         ),
-        F.when(lost, F.lit("SQL returned 0 rows despite the topic having messages.")),
+        F.when(lost, F.lit("The broker reports messages, but none was read.")),
         F.when(
             repeated > 0,
             F.concat(F.lit("Detected "), repeated.cast("string"), F.lit(" potential duplicate records.")),
@@ -114,8 +115,8 @@ def audit_topics(
     sizes: DataFrame,
     profile: DataFrame,
     tallies: DataFrame,
-    n: int = AUDIT_SAMPLE,
-    poison_mode: str = "prefix",
+    n: int | None = None,
+    poison_mode: str = "parse",
 ) -> DataFrame:
     """The audit rows, from sizes (topic, messages), a topic profile, and key tallies that other work may share."""
     poison = poison_counts(log, profile, poison_mode, n)
@@ -135,16 +136,16 @@ def audit_topics(
 
 def topic_audit(
     log: DataFrame,
-    n: int = AUDIT_SAMPLE,
+    n: int | None = None,
     catalog: DataFrame | None = None,
     strict: bool = False,
-    poison_mode: str = "prefix",
+    poison_mode: str = "parse",
 ) -> DataFrame:
     """Audit of every topic: exact count, format, malformed samples, repeated keys, health and its reasons.
 
     ``catalog`` (topic, messages) is the broker's own list of topics and sizes; without it the log's offsets serve.
-    The log is read for its sizes (offsets only), its first and its newest samples, and once in full: that pass counts
-    messages and repeated keys together.
+    Formats, key columns, malformed values and repeated keys come from all values; ``n`` takes formats and malformed
+    values from samples of that size instead.
     """
     sizes = checkpointed(topic_stats(log) if catalog is None else catalog)
     profile = topic_profile(log, n, strict, sizes)
@@ -178,11 +179,17 @@ def audit_report(audit: DataFrame, flows: DataFrame, audit_id: str, total_messag
     return report.withColumn("stats", F.create_map(F.lit("timestamp"), F.unix_millis(F.current_timestamp())))
 
 
-AUDIT_RECORD = "audit_id STRING, status STRING, total_topics BIGINT, total_messages BIGINT, unhealthy_topics BIGINT"
+AUDIT_RECORD = (
+    "audit_id STRING, status STRING, total_topics BIGINT, total_messages BIGINT, unhealthy_topics BIGINT,"
+    " topic_audits ARRAY<STRUCT<name: STRING, message_count: BIGINT, format: STRING, poison_count: BIGINT,"
+    " duplicate_count: BIGINT, health: STRING, issues: ARRAY<STRING>>>,"
+    " flow_steps ARRAY<STRUCT<flow: STRING, ordinal: INT, topic: STRING, message_count: BIGINT,"
+    " throughput_pct: DOUBLE, avg_latency_ms: BIGINT, health_score: DOUBLE>>, stats MAP<STRING, BIGINT>"
+)
 
 
 def audit_history(log: DataFrame, topic: str = AUDIT_HISTORY_TOPIC) -> DataFrame:
-    """Past audit reports, one row per audit ID: the last record written for it."""
+    """Past audit reports with their topics and flows, one row per audit ID: the last record written for it."""
     latest = latest_by_key(log.filter(F.col("topic") == topic))
     return latest.select(F.from_json("value", AUDIT_RECORD).alias("r"), F.col("timestamp").alias("written_at")).select(
         "r.*", "written_at"

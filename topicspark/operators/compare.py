@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,7 +12,7 @@ def _shared(a: DataFrame, b: DataFrame, id_col: str, cols: Sequence[str] | None)
     return list(cols) if cols is not None else [name for name in a.columns if name in b.columns and name != id_col]
 
 
-def _tagged(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _tagged(a: DataFrame, b: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     return (
         a.select(*columns, one.alias("in_a"), none.alias("in_b"))
@@ -28,15 +28,15 @@ def compare_topics(
     Equal messages are counted off against each other first, whatever their number.  Of the rest, one message on each
     side makes a ``modified`` row.  Where an ID repeats with several contents, no pairing is defined: each stands in a
     row of its own with one side null, ``modified`` if the other side has a rest too.  ``messages_a`` and
-    ``messages_b`` add up to the sizes of the two sides.  No pairs are formed, and null is an ID like any other.
+    ``messages_b`` add up to the sizes of the two sides.  No pairs are formed, and null is an ID like any other.  A
+    compared column called ``id``, ``status``, ``messages_a`` or ``messages_b`` comes as ``id_value`` and so on.
     """
     columns = _shared(a, b, id_col, cols)
-    named = [F.col(f"`{name}`") for name in columns]
-    sides = _tagged(a, b, [id_col, *columns]).withColumnRenamed(id_col, "id")
-    contents = sides.groupBy("id", *columns).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
-    common = F.least("in_a", "in_b")
-    content = F.struct(*named)
-    tallied = contents.select("id", content.alias("content"), "in_a", "in_b", common.alias("common"))
+    # Apart from the columns' own names from here on.
+    content = F.struct(*[F.col(f"`{name}`") for name in columns]) if columns else F.struct(F.lit(None).alias("_"))
+    sides = _tagged(a, b, [F.col(f"`{id_col}`").alias("id"), content.alias("content")])
+    contents = sides.groupBy("id", "content").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
+    tallied = contents.withColumn("common", F.least("in_a", "in_b"))
     nothing = F.lit(None).cast(tallied.schema["content"].dataType)
 
     equal = tallied.filter("common > 0").select(
@@ -74,14 +74,15 @@ def compare_topics(
     def both(name: str):
         left, right = F.col("a").getField(name), F.col("b").getField(name)
         same = F.col("a").isNotNull() & F.col("b").isNotNull() & left.eqNullSafe(right)
-        return F.struct(left.alias("a"), right.alias("b"), same.alias("same")).alias(name)
+        alias = name if name.lower() not in ("id", "status", "messages_a", "messages_b") else f"{name}_value"
+        return F.struct(left.alias("a"), right.alias("b"), same.alias("same")).alias(alias)
 
     return rows.select("id", "status", "messages_a", "messages_b", *[both(name) for name in columns])
 
 
 def missing_records(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
     """IDs found on one side only, with that side and the number of its messages."""
-    per_id = _tagged(a, b, [id_col]).groupBy(F.col(id_col).alias("id")).agg(
+    per_id = _tagged(a, b, [F.col(f"`{id_col}`").alias("id")]).groupBy("id").agg(
         F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b")
     )
     return per_id.filter("in_a = 0 OR in_b = 0").select(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.model import AUDIT_SAMPLE
 from topicspark.operators.audit import audit_topics, key_tallies, with_key_value
 from topicspark.operators.scans import topic_stats
 from topicspark.operators.schema import topic_profile
@@ -139,18 +138,24 @@ def step_latency(log: DataFrame, steps: DataFrame, key: str | None = None, keys:
     return _latency_of(moments, steps)
 
 
-def flow_audit(log: DataFrame, n: int = AUDIT_SAMPLE, skip_empty: bool = False, audit: DataFrame | None = None) -> DataFrame:
+def flow_audit(
+    log: DataFrame, n: int | None = None, skip_empty: bool = False, audit: DataFrame | None = None,
+    catalog: DataFrame | None = None,
+) -> DataFrame:
     """Every flow's steps with counts, throughput, loss, latency and the flow's health.
 
-    The keys are read from the values once: the same tallies feed the counts and the latencies.
+    ``catalog`` (topic, messages) is the broker's list of topics: with it a step that has no message is a step too,
+    unless ``skip_empty``.  The keys are read from the values once; their tallies are stored, and feed the counts and
+    the latencies.
     """
-    sizes = checkpointed(topic_stats(log))
+    sizes = checkpointed(topic_stats(log) if catalog is None else catalog.select("topic", "messages"))
     profile = topic_profile(log, n, topics=sizes)
     keyed = with_key_value(log, profile, stored=True).withColumn("at_ms", F.unix_millis("timestamp"))
-    tallies = key_tallies(keyed, "at_ms")
+    tallies = checkpointed(key_tallies(keyed, "at_ms"))
     if audit is None:
         # Steps come from names alone, so finding them does not run the audit.
-        layout = _steps(profile.select("topic"))
+        named = sizes.filter("messages > 0") if skip_empty else sizes
+        layout = _steps(named.select("topic"))
         per_key = tallies.groupBy("topic", "has_key", "key_value").agg(F.sum("messages").alias("messages"))
         audit = audit_topics(log, sizes, profile, per_key, n)
     else:

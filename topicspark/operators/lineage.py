@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns that find a table's topic and a statement's sources and target.
 TOPIC_PATTERN = r"'topic'\s*=\s*'([^']+)'"
-FROM_PATTERN = r"(?i)FROM\s+([^\s,;()\n]+)"
-JOIN_PATTERN = r"(?i)JOIN\s+([^\s,;()\n]+)"
-TARGET_PATTERN = r"(?i)INSERT\s+INTO\s+([^\s(]+)"
+# Comments and texts, then functions that have a FROM of their own.
+_NOT_CODE = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'"
+_INNER_FROM = r"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*\([^()]*\)"
+_NAME = r"[^\s,;()]++(?!\s*\()"
+# A table, or tables separated by commas, each with an alias or none.
+_TABLES = rf"(?i)\b(?:FROM|JOIN)\s+((?:{_NAME}(?:\s+(?:AS\s+)?\w+)?\s*,\s*)*{_NAME})"
+_CTE = r"(?i)(?:\bWITH(?:\s+RECURSIVE)?|,|\))\s*(\w+)(?:\s*\([^()]*\))?\s+AS\s*\("
+_TARGETS = r"(?i)\bINSERT\s+(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?([^\s(;]+)"
 
 
 def _sources(ddl: Column) -> Column:
-    """Distinct names after FROM and JOIN."""
-    after_from = F.regexp_extract_all(ddl, F.lit(FROM_PATTERN), 1)
-    after_join = F.regexp_extract_all(ddl, F.lit(JOIN_PATTERN), 1)
-    return F.array_union(after_from, after_join)
+    """Distinct tables that a statement reads, without the names it defines itself."""
+    code = F.regexp_replace(F.regexp_replace(ddl, _NOT_CODE, "''"), _INNER_FROM, "f()")
+    lists = F.regexp_extract_all(code, F.lit(_TABLES), 1)
+    names = F.flatten(F.transform(lists, lambda one: F.split(one, r"\s*,\s*")))
+    names = F.array_distinct(F.transform(names, lambda name: F.regexp_extract(name, r"^\S+", 0)))
+    own = F.transform(F.regexp_extract_all(code, F.lit(_CTE), 1), F.lower)
+    return F.filter(names, lambda name: ~F.array_contains(own, F.lower(name)) & ~F.lower(name).isin("lateral", "unnest"))
+
+
+def _targets(ddl: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(ddl, _NOT_CODE, "''"), F.lit(_TARGETS), 1))
 
 
 def _parts(statements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     jobs = statements.filter(F.col("kind").eqNullSafe("job") & F.upper("ddl").contains("INSERT INTO")).withColumn(
-        "node", F.concat(F.lit("query_"), F.substring("id", 1, 8))
+        "node", F.concat(F.lit("query_"), "id")
     )
     tables = statements.filter("kind = 'table'").withColumn("topic", F.regexp_extract("ddl", TOPIC_PATTERN, 1))
     return jobs, tables, statements.filter("kind = 'view'")
@@ -42,8 +53,8 @@ def lineage_edges(statements: DataFrame, known_only: bool = False) -> DataFrame:
     if known_only:
         known = statements.filter("kind IN ('table', 'view')").select(F.col("id").alias("from"))
         read = read.join(known, "from", "left_semi")
-    target = F.regexp_extract("ddl", TARGET_PATTERN, 1)
-    writes = jobs.select(F.col("node").alias("from"), target.alias("to"), F.lit("writes").alias("label")).filter("to <> ''")
+    target = F.explode(_targets(F.col("ddl")))
+    writes = jobs.select(F.col("node").alias("from"), target.alias("to"), F.lit("writes").alias("label"))
     return topics.unionByName(read).unionByName(writes)
 
 

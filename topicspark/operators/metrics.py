@@ -5,12 +5,28 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
+from pyspark.errors import (
+    AnalysisException,
+    ArithmeticException,
+    ArrayIndexOutOfBoundsException,
+    DateTimeException,
+    IllegalArgumentException,
+    NumberFormatException,
+    ParseException,
+    SparkRuntimeException,
+)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicspark.plans.sql import run_sql
-from topicspark.model import HISTORY_CAP, METRICS_CONFIG_TOPIC, RESULT_ROWS
+from topicspark.model import HISTORY_CAP, METRICS_CONFIG_TOPIC
+
+# What a query can do wrong; anything else is not the metric's fault.
+QUERY_ERRORS = (
+    AnalysisException, ParseException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
+    IllegalArgumentException, NumberFormatException, SparkRuntimeException,
+)
 
 # The marker of a deleted metric, and what an empty result reports.
 DELETED = "DELETED"
@@ -41,9 +57,16 @@ PRESETS = [
 
 
 def latest_by_key(log: DataFrame, tombstone: Column | None = None) -> DataFrame:
-    """Last record of each key of each topic; keys whose last record is a tombstone are gone."""
-    latest = log.groupBy("topic", "key").agg(
-        F.max(F.struct("timestamp", "offset", "partition", "value")).alias("last")
+    """Last record of each key of each topic; keys whose last record is a tombstone are gone.
+
+    Within a partition the offset decides, whatever the producers' clocks say; should a key be in several partitions,
+    the latest of their last records counts.
+    """
+    per_partition = log.groupBy("topic", "key", "partition").agg(
+        F.max(F.struct("offset", "timestamp", "value")).alias("r")
+    )
+    latest = per_partition.groupBy("topic", "key").agg(
+        F.max(F.struct("r.timestamp", "partition", "r.offset", "r.value")).alias("last")
     )
     rows = latest.select("topic", "last.partition", "last.offset", "last.timestamp", "key", "last.value")
     return rows if tombstone is None else rows.filter(~F.coalesce(tombstone, F.lit(False)))
@@ -71,7 +94,7 @@ def _config_fields() -> list[T.StructField]:
     return T.StructType.fromDDL(CONFIG).fields
 
 
-def eval_metric(spark: SparkSession, sql: str, max_rows: int = RESULT_ROWS, **frames: DataFrame) -> DataFrame:
+def eval_metric(spark: SparkSession, sql: str, max_rows: int | None = None, **frames: DataFrame) -> DataFrame:
     """Rows of a metric query: ``metric_value``, the other columns as labels, and the row's place.
 
     The query's column ``metric_value`` (in any case) is the value; rows without a number are left out.
@@ -87,8 +110,10 @@ def eval_metric(spark: SparkSession, sql: str, max_rows: int = RESULT_ROWS, **fr
         else:
             labels += [F.lit(field.name.lower()), F.coalesce(column.cast("string"), F.lit("null"))]
     named = F.create_map(*labels) if labels else F.create_map().cast("map<string,string>")
-    # A limited result is one partition, so these numbers follow its order.
-    numbered = result.withColumn("_seq", F.monotonically_increasing_id())
+    # The query's own order counts; without one, that of the labels, so that a rerun numbers the rows alike.
+    ordered = result._jdf.queryExecution().analyzed().getClass().getSimpleName() in ("Sort", "GlobalLimit")
+    rows = result if ordered else result.orderBy(*[F.col(f"`{name}`").cast("string") for name in result.columns])
+    numbered = rows.withColumn("_seq", F.monotonically_increasing_id())
     return numbered.select(value.alias("metric_value"), named.alias("labels"), F.col("_seq").alias("seq")).filter(
         "metric_value IS NOT NULL"
     )
@@ -146,12 +171,12 @@ def metric_history(values: DataFrame, n: int = HISTORY_CAP) -> DataFrame:
 
 def refresh_metrics(
     spark: SparkSession, registry: DataFrame, frames: Mapping[str, DataFrame], as_of: datetime,
-    max_rows: int = RESULT_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Evaluate every metric of a registry once: (id, seq, metric_value, labels, error, refreshed_at).
 
-    Query texts are needed on the driver to be planned.  A result is at most ``max_rows`` rows, and a query that fails
-    gives its metric an error row without touching the others.
+    Query texts are needed on the driver to be planned.  A query that is wrong, or fails on its data, gives its metric an error row without touching the others; a failure of
+    the platform is raised.
     """
     rows = []
     for metric in registry.select("id", "sql").toLocalIterator():
@@ -161,7 +186,7 @@ def refresh_metrics(
             if not found and _is_empty(spark, metric["sql"], frames):
                 found = [(metric["id"], 0, None, None, NO_ROWS, as_of)]
             rows += found
-        except Exception as error:
+        except (*QUERY_ERRORS, ValueError) as error:
             rows.append((metric["id"], 0, None, None, str(error).split("\n", 1)[0], as_of))
     schema = (
         "id STRING, seq BIGINT, metric_value DOUBLE, labels MAP<STRING,STRING>, error STRING, refreshed_at TIMESTAMP"

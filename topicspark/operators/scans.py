@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.model import INFERENCE_SAMPLE, PREVIEW_SAMPLE
+from topicspark.model import PREVIEW_SAMPLE
 from topicspark.operators.shared import first_per_topic
 
 
@@ -31,7 +31,7 @@ def records_since(log: DataFrame, minutes: int, n: int | None, as_of: datetime)
     return first_per_topic(recent, [F.asc("timestamp"), F.asc("partition"), F.asc("offset")], n, _hour())
 
 
-def head_sample(log: DataFrame, n: int = INFERENCE_SAMPLE) -> DataFrame:
+def head_sample(log: DataFrame, n: int = 10) -> DataFrame:
     """First ``n`` records with a value of each topic's partition 0."""
     rows = log.filter("partition = 0 AND value IS NOT NULL")
     return first_per_topic(rows, [F.asc("offset")], n, F.expr("offset div 65536"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicspark.functions import value_format, xml_children
-from topicspark.model import COLUMN_TYPES, INFERENCE_SAMPLE, LATENESS
+from topicspark.functions import json_field, value_format, xml_children
+from topicspark.model import COLUMN_TYPES, LATENESS
 from topicspark.operators.scans import head_sample
 from topicspark.operators.shared import checkpointed, join_by_topic
 
@@ -21,8 +21,11 @@ def _vote(samples: DataFrame) -> DataFrame:
     return voted.filter("format IS NOT NULL").groupBy("topic").agg(F.min_by("format", "at").alias("format"))
 
 
-def detect_format(log: DataFrame, n: int | None = INFERENCE_SAMPLE) -> DataFrame:
-    """Format of each topic: that of its first sampled value that looks like JSON or XML, else ``AUTO``."""
+def detect_format(log: DataFrame, n: int | None = None) -> DataFrame:
+    """Format of each topic: that of its first value that looks like JSON or XML, else ``AUTO``.
+
+    ``n`` looks at the first ``n`` records of each topic only, here as in the other inferences.
+    """
     topics = log.select("topic").distinct()
     return topics.join(_vote(_sample(log, n)), "topic", "left").fillna("AUTO", ["format"])
 
@@ -86,7 +89,7 @@ def _columns(samples: DataFrame) -> DataFrame:
     return merged.select("topic", place.alias("ordinal"), "column", "type")
 
 
-def infer_schema(log: DataFrame, n: int | None = INFERENCE_SAMPLE, formats: DataFrame | None = None) -> DataFrame:
+def infer_schema(log: DataFrame, n: int | None = None, formats: DataFrame | None = None) -> DataFrame:
     """Columns of each topic over its samples, in order of first appearance, each with its widened type.
 
     ``formats`` (topic, format) is the format of each topic where it is known already.  The samples of a topic
@@ -102,7 +105,7 @@ def infer_schema(log: DataFrame, n: int | None = INFERENCE_SAMPLE, formats: Data
 
 
 def topic_profile(
-    log: DataFrame, n: int | None = INFERENCE_SAMPLE, strict: bool = False, topics: DataFrame | None = None
+    log: DataFrame, n: int | None = None, strict: bool = False, topics: DataFrame | None = None
 ) -> DataFrame:
     """Format, key column and key type of each topic; one row per topic, computed once from one set of samples.
 
@@ -155,13 +158,24 @@ def topic_table(
     """Typed view of a topic: its columns, the raw value, processing time, and event time with a watermark.
 
     Values that do not parse give nulls.  An XML topic has the raw value and the time columns only.  ``keep`` names
-    further columns of the log to carry along.
+    further columns of the log to carry along.  A field whose name another column has already, in any case, gets its
+    place in the schema after an underscore (``id``, ``ID`` become ``id``, ``ID_1``).
     """
     rows = log.withColumn("event_time", F.col("timestamp")).withWatermark("event_time", lateness)
     columns: list[Column] = []
     if format != "XML" and len(schema):
-        rows = rows.withColumn("_row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-        columns = [F.col("_row").getField(field.name).alias(field.name) for field in schema]
+        names = [field.name.lower() for field in schema]
+        alone = T.StructType([field for field in schema if names.count(field.name.lower()) == 1])
+        rows = rows.withColumn("_row", F.from_json("value", alone, {"mode": "PERMISSIVE"}))
+        taken = {"raw_value", "proc_time", "event_time", *(name.lower() for name in keep)}
+        for place, field in enumerate(schema):
+            if field in alone.fields:
+                column = F.col("_row").getField(field.name)
+            else:  # names that differ in case only
+                column = json_field(F.col("value"), F.lit(field.name)).try_cast(field.dataType)
+            name = field.name if field.name.lower() not in taken else f"{field.name}_{place}"
+            taken.add(name.lower())
+            columns.append(column.alias(name))
     return rows.select(
         *columns,
         F.col("value").alias("raw_value"),

@@ -14,10 +14,12 @@ BUCKET_MS = 3_600_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for reliable checkpoints: the cluster's, or a fresh local one where none is named."""
+    """Shared folder for reliable checkpoints: the cluster's, or in local mode a fresh one where none is named."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="topicspark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.functions import match_path
-from topicspark.model import TRACE_CAP
 from topicspark.operators.scans import records_since, tail_records
 from topicspark.operators.shared import BUCKET_MS, with_previous
 
@@ -27,16 +26,15 @@ def trace_hits(
     """Records that match ``key``.
 
     Every record of the (given) topics is searched.  ``minutes`` narrows the search to the time before ``as_of``;
-    ``n`` to the newest ``n`` records of each topic (the oldest ``n`` of the time range), never more than 1,000.
+    ``n`` to the newest ``n`` records of each topic (the oldest ``n`` of the time range).
     """
     rows = log if topics is None else log.filter(F.col("topic").isin(list(topics)))
-    cap = None if n is None else min(n, TRACE_CAP)
     if minutes is not None and minutes > 0:
         if as_of is None:
             raise ValueError("a trace over the last minutes needs `as_of`, the time they end at")
-        rows = records_since(rows, minutes, cap, as_of)
-    elif cap is not None:
-        rows = tail_records(rows, cap)
+        rows = records_since(rows, minutes, n, as_of)
+    elif n is not None:
+        rows = tail_records(rows, n)
     hits = rows.filter(match_path("value", key, regex, path))
     return hits.select("topic", "partition", "offset", "timestamp")
 
@@ -71,9 +69,12 @@ def _moves(hits: DataFrame, group: list[str], bucket_ms: int = BUCKET_MS) -> Dat
     )
 
 
-def trace_edges(hits: DataFrame) -> DataFrame:
-    """An edge for every hit in another topic than the hit before; repeats are kept, (to_ts, to) is their order."""
-    return _moves(hits, []).select("from", "to", F.lit("flow").alias("label"), "from_ts", "to_ts")
+def trace_edges(hits: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """An edge for every hit in another topic than the hit before; repeats are kept, (to_ts, to) is their order.
+
+    ``bucket_ms`` is the length of the time buckets the hits are split into: shorter where more topics are searched.
+    """
+    return _moves(hits, [], bucket_ms).select("from", "to", F.lit("flow").alias("label"), "from_ts", "to_ts")
 
 
 def edge_counts(edges: DataFrame) -> DataFrame:

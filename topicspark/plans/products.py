@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.model import INFERENCE_SAMPLE, PREVIEW_SAMPLE
+from topicspark.model import PREVIEW_SAMPLE
 from topicspark.operators.scans import sample_messages, topic_descriptor, topic_state, topic_stats
 from topicspark.operators.schema import detect_format, infer_schema
 
 
-def topic_detail(log: DataFrame, samples: int = PREVIEW_SAMPLE, n: int = INFERENCE_SAMPLE) -> DataFrame:
+def topic_detail(log: DataFrame, samples: int = PREVIEW_SAMPLE, n: int | None = None) -> DataFrame:
     """One row per topic: descriptor, format, inferred columns in order, and the newest messages."""
     formats = detect_format(log, n)
     columns = infer_schema(log, n, formats).groupBy("topic").agg(

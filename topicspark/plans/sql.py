@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicspark.model import RESULT_ROWS
+
+def _only_query(spark: SparkSession, sql: str) -> None:
+    jvm = spark._jvm
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    for kind in ("Command", "ParsedStatement"):
+        if jvm.java.lang.Class.forName(logical + kind, True, jvm.Thread.currentThread().getContextClassLoader()).isInstance(plan):
+            raise ValueError(f"not a query: {sql[:80]!r}")
 
 
 def run_sql(
     spark: SparkSession,
     sql: str,
-    max_rows: int | None = RESULT_ROWS,
+    max_rows: int | None = None,
     args: Mapping[str, Any] | None = None,
     **frames: DataFrame,
 ) -> DataFrame:
-    """Result of a query over ``{name}`` frames and temp views, limited to ``max_rows`` (``None``: whole).
+    """Result of a query over ``{name}`` frames and temp views; ``max_rows`` limits it where given.
 
-    The read mode is the frames' own: see ``read_topic``.  ``args`` fills ``:name`` markers.
+    The read mode is the frames' own: see ``read_topic``.  ``args`` fills ``:name`` markers.  Commands and INSERT are
+    refused before anything runs: Spark's parser tells what the text is.
     """
+    _only_query(spark, re.sub(r"\{\w+\}", "frame", sql))
     result = spark.sql(sql, args=dict(args) if args else None, **frames)
     return result if max_rows is None else result.limit(max_rows)
 

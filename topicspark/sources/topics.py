@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicspark.model import LOG_COLUMNS, LOG_SCHEMA
+from topicspark.operators.shared import checkpointed
 
 
 def kafka_options(
@@ -39,7 +41,9 @@ def kafka_options(
             "ssl.key.password": key_password,
         }
         client.update({name: text for name, text in stores.items() if text is not None})
-    elif mode == "CONFLUENT_CLOUD":
+    elif mode not in ("PLAIN", "CONFLUENT_CLOUD"):
+        raise ValueError(f"unknown security mode {mode!r}; use 'PLAIN', 'SSL' or 'CONFLUENT_CLOUD'")
+    if mode == "CONFLUENT_CLOUD":
         client["security.protocol"] = "SASL_SSL"
         client["sasl.mechanism"] = "PLAIN"
         client["sasl.jaas.config"] = (
@@ -61,12 +65,14 @@ def read_topic(
     """Topic log of ``topics`` (all when None), as a batch or streaming frame.
 
     ``source`` is ``"kafka"`` or the path of a Parquet log partitioned by topic.  ``mode="latest"`` reads new
-    records only: a stream starts at the end, a batch at ``since``.  Any other mode reads from the start.
+    records only: a stream from Kafka starts at the end and goes on from its checkpoint; anything else starts at
+    ``since``, which a restarted stream has to be given again.  Any other mode reads from the start.
     On Parquet the topic list prunes directories and ``since`` reaches the row groups' statistics.
     """
     latest = mode == "latest"
-    if latest and not streaming and since is None:
-        raise ValueError("a batch read with mode='latest' needs `since`, the time its records start at")
+    if latest and since is None and not (streaming and source == "kafka"):
+        # The clock at a restart would pass over what came while the query was down.
+        raise ValueError("mode='latest' needs `since`, the time its records start at")
     reader = (spark.readStream if streaming else spark.read).options(**(options or {}))
     if source == "kafka":
         reader = reader.format("kafka")
@@ -77,10 +83,10 @@ def read_topic(
             reader = reader.option("subscribePattern", "(?!__consumer_offsets$|__transaction_state$).*")
         if since is not None:
             reader = reader.option("startingTimestamp", str(int(since.timestamp() * 1000)))
-            reader = reader.option("startingOffsetsByTimestampStrategy", "latest" if streaming else "error")
+            reader = reader.option("startingOffsetsByTimestampStrategy", "latest")
         else:
             reader = reader.option("startingOffsets", "latest" if latest else "earliest")
-        return reader.load().select(
+        records = reader.load().select(
             "topic",
             "partition",
             "offset",
@@ -88,14 +94,12 @@ def read_topic(
             F.col("key").cast("string").alias("key"),
             F.col("value").cast("string").alias("value"),
         )
+        return records if since is None else records.filter(F.col("timestamp") >= F.lit(since))
     log = reader.schema(LOG_SCHEMA).parquet(source).select(*LOG_COLUMNS)
     if topics:
         log = log.filter(F.col("topic").isin(list(topics)))
     if since is not None:
         log = log.filter(F.col("timestamp") >= F.lit(since))
-    elif latest:
-        # A fixed start: the clock is read once, when the stream is declared.
-        log = log.filter(F.col("timestamp") >= F.lit(datetime.now().astimezone()))
     return log
 
 
@@ -106,39 +110,51 @@ def write_log(
     sink: str,
     options: Mapping[str, str] | None = None,
     timestamp: Column | None = None,
+    partitions: int = 4,
 ) -> None:
     """Append one keyed JSON record per row of ``df`` to ``topic``.
 
     ``sink`` is ``"kafka"`` or the path of a Parquet log.  A tombstone is a row whose own columns say so.
-    On Parquet the offsets follow the topic's last one; they rise but may have gaps, as on a compacted topic.
+    On Parquet a record's partition follows from its key, and each partition's offsets go on without gaps from its
+    last one: the tasks' counts are summed first, and each task numbers its own records.  A topic has one writer at a
+    time.
     """
     key_column = F.col(key) if isinstance(key, str) else key
-    records = df.select(key_column.cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
     if sink == "kafka":
+        records = df.select(key_column.cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
         records.write.format("kafka").options(**(options or {})).option("topic", topic).save()
         return
-    first = _next_offset(df.sparkSession, sink, topic)
+    at = (F.current_timestamp() if timestamp is None else timestamp).alias("timestamp")
+    place = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(partitions)), F.lit(0)).cast("int").alias("partition")
+    records = df.select(key_column.cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"), at)
+    placed = checkpointed(
+        records.select("*", place, F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_row"))
+    )
+    counts = placed.groupBy("partition", "_task").agg(F.count("*").alias("_n"))
+    tasks = Window.partitionBy("partition").orderBy("_task")
+    counts = counts.withColumn("_before", F.sum("_n").over(tasks) - F.col("_n")).drop("_n")
+    begun = _next_offsets(df.sparkSession, sink, topic)
+    counts = counts.join(begun, "partition", "left") if begun is not None else counts.withColumn("_next", F.lit(0))
+    own = F.row_number().over(Window.partitionBy("partition", "_task").orderBy("_row")) - 1
+    offset = (F.coalesce("_next", F.lit(0)) + F.col("_before") + F.col("_own")).cast("long").alias("offset")
     (
-        records.withColumn("topic", F.lit(topic))
-        .withColumn("partition", F.lit(0))
-        .withColumn("offset", F.lit(first) + F.monotonically_increasing_id())
-        .withColumn("timestamp", F.current_timestamp() if timestamp is None else timestamp)
-        .select(*LOG_COLUMNS)
+        placed.withColumn("_own", own).join(checkpointed(counts), ["partition", "_task"])
+        .select(F.lit(topic).alias("topic"), "partition", offset, "timestamp", "key", "value")
         .write.mode("append")
         .partitionBy("topic")
         .parquet(sink)
     )
 
 
-def _next_offset(spark: SparkSession, path: str, topic: str) -> int:
+def _next_offsets(spark: SparkSession, path: str, topic: str) -> DataFrame | None:
     try:
         log = spark.read.schema(LOG_SCHEMA).parquet(path)
-    except Exception as error:
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            return 0
+            return None
         raise
-    last = log.filter(F.col("topic") == topic).agg(F.max("offset")).first()[0]
-    return 0 if last is None else last + 1
+    last = log.filter(F.col("topic") == topic).groupBy("partition").agg((F.max("offset") + 1).alias("_next"))
+    return checkpointed(last)
 
 
 def export(df: DataFrame, path: str, format: str = "csv") -> None:

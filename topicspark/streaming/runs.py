@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from topicspark.operators.shared import checkpoint_root
@@ -41,11 +43,14 @@ def start_refresh(
     )
 
 
-def run_available_now(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def run_available_now(stream: DataFrame, mode: str = "complete", keys: Sequence[str] | None = None) -> DataFrame:
     """Run a streaming query over all that its sources hold now, stop, and return what it wrote.
 
+    In ``update`` mode ``keys`` names the columns by which a later batch's row replaces an earlier one.
     Each micro-batch replaces its own folder below the shared checkpoint folder, so a repeated batch changes nothing.
     """
+    if mode == "update" and not keys:
+        raise ValueError("mode='update' needs `keys`, the columns that tell a row's later version")
     spark = stream.sparkSession
     base = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     written: list[int] = []
@@ -64,5 +69,11 @@ def run_available_now(stream: DataFrame, mode: str = "complete") -> DataFrame:
     query.awaitTermination()
     if not written:
         return spark.createDataFrame([], stream.schema)
+    if mode == "update":
+        schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+        rows = spark.read.schema(schema).parquet(f"{base}/out")
+        columns = F.struct(*[field.name for field in stream.schema.fields])
+        last = rows.groupBy(*keys).agg(F.max_by(columns, "batch").alias("_last"))
+        return last.select("_last.*")
     kept = written if mode == "append" else written[-1:]
     return spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={batch_id}" for batch_id in sorted(set(kept))])
