@@ -67,19 +67,28 @@ def _from_edge(log: DataFrame, block: Column, newest: bool, n: int) -> DataFrame
 def first_per_topic(log: DataFrame, order: Sequence[Column], n: int, block: Column, newest: bool = False) -> DataFrame:
     """First ``n`` records of each topic by ``order``; ``block`` is its leading part made coarse.
 
-    Ranked twice: within salted parts of a topic, then over what the parts keep.  Spark limits each window before its
-    shuffle too, so a topic's last task sees at most ``n`` rows from each task of the first step.  It does so up to a
-    set number of ranks; beyond that, whole blocks that cannot hold a result are cut off first.
+    Places (topic, partition, offset, timestamp) are ranked, not records, so no value is sorted or shuffled: within
+    salted parts of a topic, then over what the parts keep.  Spark limits each window before its shuffle too, so a
+    topic's last task sees at most ``n`` rows from each task of the first step.  It does so up to a set number of
+    ranks; beyond that, whole blocks that cannot hold a result are cut off first.  The places are stored, and the log
+    is read again for their records only, within their span of time: up to ``BROADCAST_ROWS`` places are broadcast.
     """
+    place = ["topic", "partition", "offset"]
+    places = log.select(*place, "timestamp")
     limited = int(log.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n > limited:
-        log = _from_edge(log, block, newest, n)
+        places = _from_edge(places, block, newest, n)
     within = Window.partitionBy("topic", "_salt").orderBy(*order)
     over_all = Window.partitionBy("topic").orderBy(*order)
-    parts = log.withColumn("_salt", salt()).withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n)
-    return (
-        parts.withColumn("_rank", F.row_number().over(over_all)).filter(F.col("_rank") <= n).drop("_rank", "_salt")
+    parts = places.withColumn("_salt", salt()).withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n)
+    kept = checkpointed(
+        parts.withColumn("_rank", F.row_number().over(over_all)).filter(F.col("_rank") <= n).select(*place, "timestamp")
     )
+    facts = kept.agg(F.count("*"), F.count("timestamp"), F.min("timestamp"), F.max("timestamp")).first()
+    if facts[0] and facts[0] == facts[1]:
+        log = log.filter(F.col("timestamp").between(F.lit(facts[2]), F.lit(facts[3])))
+    wanted = kept.select(*place)
+    return log.join(F.broadcast(wanted) if facts[0] <= BROADCAST_ROWS else wanted, place, "left_semi")
 
 
 def with_previous(
