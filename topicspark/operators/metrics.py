@@ -138,7 +138,8 @@ def metric_state(config: DataFrame, values: DataFrame) -> DataFrame:
     """Configurations after a refresh.
 
     ``values`` is (id, seq, metric_value, error, refreshed_at).  The first row's value is the metric's; an error keeps
-    the last value; a metric whose rows hold neither value nor error stays as it is.
+    the last value; a metric whose rows hold neither value nor error stays as it is.  A new value is added to the end
+    of ``history``, which keeps its last ``HISTORY_CAP`` values.
     """
     told = values.filter("metric_value IS NOT NULL OR error IS NOT NULL")
     primary = told.groupBy("id").agg(
@@ -147,6 +148,8 @@ def metric_state(config: DataFrame, values: DataFrame) -> DataFrame:
         F.max("refreshed_at").alias("new_time"),
     )
     refreshed = F.col("new_time").isNotNull()
+    longer = F.concat(F.coalesce("history", F.array().cast("array<double>")), F.array("new_value"))
+    kept = F.slice(longer, F.greatest(F.size(longer) - HISTORY_CAP + 1, F.lit(1)), HISTORY_CAP)
     return config.join(primary, "id", "left").select(
         *[
             F.coalesce("new_value", "lastValue").alias("lastValue")
@@ -155,6 +158,8 @@ def metric_state(config: DataFrame, values: DataFrame) -> DataFrame:
             if name == "lastUpdateTime"
             else F.when(refreshed, F.col("new_error")).otherwise(F.col("errorMessage")).alias("errorMessage")
             if name == "errorMessage"
+            else F.when(F.col("new_value").isNull(), F.col("history")).otherwise(kept).alias("history")
+            if name == "history"
             else F.col(name)
             for name in config.columns
         ]
