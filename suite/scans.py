@@ -260,12 +260,31 @@ def json_value_kinds(spark, sf_dir):
 )
 def xml_extract(spark, sf_dir):
     log = table_log(spark, sf_dir, ["shop.orders.xml"])
-    return log.select(
-        ts.xml_extract("value", "/Order/@id").alias("id"),
-        ts.xml_extract("value", "/Order/Customer").alias("customer"),
-        ts.xml_extract("value", "/Order/Status").alias("status"),
-        ts.xml_extract("value", "/Order/Nothing").alias("missing"),
-    )
+    paths = {"id": "/Order/@id", "customer": "/Order/Customer", "status": "/Order/Status", "missing": "/Order/Nothing"}
+    return log.select(ts.xml_extract_all("value", paths).alias("x")).select("x.*")
+
+
+@case(
+    "sql_xml_extract",
+    """SELECT CAST(o_custkey AS VARCHAR) AS customer, o_orderstatus AS status FROM orders
+    WHERE epoch_us(o_orderdate) // 86400000000 > 11000""",
+)
+def sql_xml_extract(spark, sf_dir):
+    sql = """SELECT XmlExtract(value, '/Order/Customer') AS customer, XmlExtract(value, '//Status') AS status FROM {topic}
+    WHERE XmlExtract(value, '/Order/Days') > 11000"""
+    return ts.run_template(spark, sql, table_log(spark, sf_dir, ["shop.orders.xml"]))
+
+
+@case(
+    "sql_json_value",
+    """SELECT CAST(event_id AS VARCHAR) AS id, event_type, CAST(CAST(props ->> '$.k' AS INTEGER) AS VARCHAR) AS k,
+    CAST(NULL AS VARCHAR) AS whole FROM events WHERE CAST(props ->> '$.k' AS INTEGER) > 95""",
+)
+def sql_json_value(spark, sf_dir):
+    sql = """SELECT JSON_VALUE(value, '$.id') AS id, JSON_VALUE(value, '$.event_type') AS event_type,
+    JSON_VALUE(value, '$.props.k') AS k, JSON_VALUE(value, '$.props') AS whole FROM {topic}
+    WHERE JSON_VALUE(value, '$.props.k') > 95"""
+    return ts.run_template(spark, sql, table_log(spark, sf_dir, WEB))
 
 
 @case(

@@ -1,6 +1,6 @@
 """topicspark: message topics as tables, on PySpark."""
 
-from topicspark.functions import json_value, match_path, value_format, value_matches, xml_extract
+from topicspark.functions import json_value, match_path, value_format, value_matches, xml_extract, xml_extract_all
 from topicspark.model import LOG_COLUMNS, LOG_SCHEMA
 from topicspark.operators import (
     audit_history,
@@ -47,7 +47,7 @@ from topicspark.operators import (
     trace_hits,
     trace_nodes,
 )
-from topicspark.plans import dashboard, run_sql, run_template, topic_detail
+from topicspark.plans import dashboard, register_functions, run_sql, run_template, topic_detail
 from topicspark.sources import export, kafka_options, read_topic, write_log
 from topicspark.streaming import (
     duplicates_stream,

@@ -1,6 +1,6 @@
 from topicspark.functions.json_values import json_field, json_text, json_value
 from topicspark.functions.match import match_path, value_format, value_matches
-from topicspark.functions.xml_values import xml_children, xml_extract, xml_ok, xml_text
+from topicspark.functions.xml_values import xml_children, xml_extract, xml_extract_all, xml_ok, xml_text
 
 __all__ = [
     "json_field",
@@ -11,6 +11,7 @@ __all__ = [
     "value_matches",
     "xml_children",
     "xml_extract",
+    "xml_extract_all",
     "xml_ok",
     "xml_text",
 ]

@@ -1,4 +1,4 @@
 from topicspark.plans.products import dashboard, topic_detail
-from topicspark.plans.sql import run_sql, run_template
+from topicspark.plans.sql import register_functions, run_sql, run_template
 
-__all__ = ["dashboard", "run_sql", "run_template", "topic_detail"]
+__all__ = ["dashboard", "register_functions", "run_sql", "run_template", "topic_detail"]

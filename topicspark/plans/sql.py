@@ -8,6 +8,20 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from topicspark.functions.xml_values import xml_extract_sql
+
+
+# Values of JSON and XML text under the names that query texts use.  Arguments are expanded in place.
+_JSON_VALUE = """CREATE OR REPLACE TEMPORARY FUNCTION JSON_VALUE(text STRING, path STRING) RETURNS STRING
+RETURN CASE WHEN NOT regexp(schema_of_variant(try_variant_get(try_parse_json(text), path, 'variant')), '^(OBJECT|ARRAY)')
+  THEN get_json_object(text, path) END"""
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``JSON_VALUE(text, path)`` and ``XmlExtract(text, path)`` callable in the session's SQL."""
+    spark.sql(_JSON_VALUE)
+    spark.udf.register("XmlExtract", xml_extract_sql)
+
 
 def _only_query(spark: SparkSession, sql: str) -> None:
     jvm = spark._jvm
@@ -28,8 +42,10 @@ def run_sql(
     """Result of a query over ``{name}`` frames and temp views; ``max_rows`` limits it where given.
 
     The read mode is the frames' own: see ``read_topic``.  ``args`` fills ``:name`` markers.  Commands and INSERT are
-    refused before anything runs: Spark's parser tells what the text is.
+    refused before anything runs: Spark's parser tells what the text is.  ``JSON_VALUE`` and ``XmlExtract`` can be called.
     """
+    if not spark.catalog.functionExists("JSON_VALUE") or not spark.catalog.functionExists("XmlExtract"):
+        register_functions(spark)
     _only_query(spark, re.sub(r"\{\w+\}", "frame", sql))
     result = spark.sql(sql, args=dict(args) if args else None, **frames)
     return result if max_rows is None else result.limit(max_rows)
