@@ -98,3 +98,16 @@ def test_history_keeps_the_last_fifty(spark):
     )
     history = {r["id"]: r["history"] for r in ts.metric_history(values).collect()}
     assert history == {"m": [float(i) for i in range(10, 60)], "k": [5.0]}
+
+
+def test_a_refresh_extends_the_history(spark):
+    config = spark.createDataFrame(
+        [("new", None, None, None, None), ("full", 1.0, 1, None, [float(i) for i in range(50)]), ("failed", 3.0, 1, None, [3.0])],
+        "id STRING, lastValue DOUBLE, lastUpdateTime BIGINT, errorMessage STRING, history ARRAY<DOUBLE>",
+    )
+    values = spark.createDataFrame(
+        [("new", 0, 4.0, None, START), ("full", 0, 50.0, None, START), ("full", 1, 99.0, None, START), ("failed", 0, None, "no", START)],
+        "id STRING, seq BIGINT, metric_value DOUBLE, error STRING, refreshed_at TIMESTAMP",
+    )
+    after = {r["id"]: r["history"] for r in ts.metric_state(config, values).collect()}
+    assert after == {"new": [4.0], "full": [float(i) for i in range(1, 51)], "failed": [3.0]}

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import topicspark as ts
+from topicspark.functions import json_text
 
 DOCTYPE = '<!DOCTYPE foo [<!ENTITY xxe SYSTEM "file:///etc/passwd">]><foo>&xxe;</foo>'
 
@@ -14,31 +15,31 @@ def evaluate(spark, values, column):
 
 XML_CASES = {
     # Plain paths are followed in the same parse as the check; the others go to Spark's XPath functions.
-    "/root/child": [
-        ("<root><child>value</child></root>", "value"),
-        ("<root><child/></root>", ""),
-        ("<root><child>first</child><child>second</child></root>", "first"),
-        ("<root><child>A<name>lice</name> &amp; <![CDATA[<Bob>]]><!-- no --></child><child>x</child></root>", "Alice & <Bob>"),
-        ("<root><other><child>deeper</child></other><child>own</child></root>", "own"),
-        ("<root><root><child>deeper</child></root></root>", None),
-        ("<child><root><child>x</child></root></child>", None),
-        ("<root><other>value</other></root>", None),
+    "/trip/stop": [
+        ("<trip><stop>Lyon</stop></trip>", "Lyon"),
+        ("<trip><stop/></trip>", ""),
+        ("<trip><stop>first</stop><stop>second</stop></trip>", "first"),
+        ("<trip><stop>Saint-<b>Malo</b> &amp; <![CDATA[<Dol>]]><!-- no --></stop><stop>x</stop></trip>", "Saint-Malo & <Dol>"),
+        ("<trip><other><stop>deeper</stop></other><stop>own</stop></trip>", "own"),
+        ("<trip><trip><stop>deeper</stop></trip></trip>", None),
+        ("<stop><trip><stop>x</stop></trip></stop>", None),
+        ("<trip><other>Lyon</other></trip>", None),
         (None, None),
         ("  \n ", None),
-        ("\n <root><child>padded</child></root> ", "padded"),
-        ("<root><child>early</child>", "Error: malformed XML"),
+        ("\n <trip><stop>padded</stop></trip> ", "padded"),
+        ("<trip><stop>early</stop>", "Error: malformed XML"),
         ("plain", "Error: malformed XML"),
-        ("<root><child>1</child></root><b/>", "Error: malformed XML"),
-        ("<!DOCTYPE root><root><child>1</child></root>", "Error: malformed XML"),
+        ("<trip><stop>1</stop></trip><b/>", "Error: malformed XML"),
+        ("<!DOCTYPE trip><trip><stop>1</stop></trip>", "Error: malformed XML"),
     ],
-    "/root/child/@id": [
-        ('<root><child id="123">value</child></root>', "123"),
-        ('<root><child/><child id="2"/><child id="3"/></root>', "2"),
-        ('<root id="1"><child/></root>', None),
+    "/trip/stop/@id": [
+        ('<trip><stop id="B7">Lyon</stop></trip>', "B7"),
+        ('<trip><stop/><stop id="2"/><stop id="3"/></trip>', "2"),
+        ('<trip id="1"><stop/></trip>', None),
     ],
-    "/order/customer/name": [("<order><customer><name>Alice</name></customer></order>", "Alice")],
+    "/trip/crew/lead": [("<trip><crew><lead>Ida</lead></crew></trip>", "Ida")],
     "/foo": [(DOCTYPE, "Error: malformed XML")],
-    "//name": [("<order><customer><name>Alice</name></customer></order>", "Alice"), ("<a/>", None), ("<a", "Error: malformed XML")],
+    "//lead": [("<trip><crew><lead>Ida</lead></crew></trip>", "Ida"), ("<a/>", None), ("<a", "Error: malformed XML")],
     "/a/b[2]": [("<a><b>1</b><b>2</b></a>", "2"), ("<a><b>1</b><b/></a>", ""), ("<a><b>1</b></a>", None), (None, None)],
     "/a[@k='v']/b": [("<a k='v'><b>1</b></a>", "1"), ("<a k='w'><b>1</b></a>", None)],
 }
@@ -52,12 +53,31 @@ def test_xml_extract(spark):
 
 def test_plain_paths_agree_with_spark(spark):
     documents = [text for cases in XML_CASES.values() for text, _ in cases if text and text.startswith("<")]
-    for path in ("/root/child", "/root/child/@id", "/order/customer", "/order", "/a/b"):
+    for path in ("/trip/stop", "/trip/stop/@id", "/trip/crew", "/trip", "/a/b"):
         # The same nodes by a path that is not plain.
         native = evaluate(spark, documents, ts.xml_extract("value", f"{path}[true()]" if "@" not in path else path + "[.!='?']"))
         assert evaluate(spark, documents, ts.xml_extract("value", path)) == native, path
 
 
+def test_several_paths_share_a_parse(spark):
+    paths = {"stop": "/trip/stop", "id": "/trip/stop/@id", "lead": "/trip/crew/lead", "crew": "/trip/crew", "second": "/a/b[2]"}
+    values = [text for cases in XML_CASES.values() for text, _ in cases] + ["<trip><crew><lead>Ida</lead>!</crew><stop/></trip>"]
+    got = evaluate(spark, values, ts.xml_extract_all("value", paths))
+    for name, path in paths.items():
+        assert [row[name] for row in got] == evaluate(spark, values, ts.xml_extract("value", path)), path
+
+
+def test_functions_in_sql_texts(spark):
+    for path, cases in XML_CASES.items():
+        frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i INT, value STRING")
+        rows = ts.run_sql(spark, "SELECT i, XmlExtract(value, :path) AS x FROM {topic} ORDER BY i", args={"path": path}, topic=frame)
+        assert [row["x"] for row in rows.collect()] == [expected for _, expected in cases], path
+    for path, cases in JSON_CASES.items():
+        frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i INT, value STRING")
+        rows = ts.run_sql(spark, "SELECT i, JSON_VALUE(value, :path) AS x FROM {topic} ORDER BY i", args={"path": path}, topic=frame)
+        assert [row["x"] for row in rows.collect()] == [expected for _, expected in cases], path
+
+
 @pytest.mark.parametrize("path", ["count(/a)", "/a[", "'text'"])
 def test_xml_extract_refuses_paths_without_nodes(spark, path):
     with pytest.raises(ValueError):
@@ -139,9 +159,23 @@ def test_match_path(spark):
     assert [row[f"c{row['i']}"] for row in got] == [hit for *_, hit in PATH_CASES]
 
 
-def test_match_path_refuses_filters(spark):
+@pytest.mark.parametrize("path", ["$.items[?(@.sku == 'A')]", "$..", "$..*", "$.items.size()", "$.items[a]"])
+def test_match_path_refuses_other_steps(spark, path):
     with pytest.raises(ValueError):
-        ts.match_path("value", "x", path="$.items[?(@.sku == 'A')]")
+        ts.match_path("value", "x", path=path)
+
+
+JSON_TEXT = '{"d": {"k": 1, "z": "é"}, "l": [1, 2, 3], "m": [{"q": 7}, {"q": null}], "\\u0061b": 5}'
+JSON_PATHS = [
+    ("$.d.*", '[1,"é"]'), ("$.l[-1]", "3"), ("$.l[-4]", None), ("$.l[0:2]", "[1,2]"), ("$.l[1:]", "[2,3]"), ("$.l[0,2]", "[1,3]"),
+    ("$.l.length()", "3"), ("$.d.length()", "2"), ("$..q", "[7,null]"), ("$.m[-1].q", None), ("$.m[0:1].q", "[7]"), ("$.d.k", "1"),
+    ("$.none[-1]", None), ("$..ab", "[5]"), ("/d/k", None),
+]
+
+
+def test_json_paths(spark):
+    for path, expected in JSON_PATHS:
+        assert evaluate(spark, [JSON_TEXT, "{broken", None], json_text("value", path)) == [expected, None, None], path
 
 
 @pytest.mark.parametrize(

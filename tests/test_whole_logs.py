@@ -72,3 +72,11 @@ def test_skipped_and_kept_empty_steps(spark, make_log):
     steps = ts.flow_audit(log, catalog=catalog).select("topic", "message_count", "drop_off")
     assert rows_of(steps) == [("a.b.1", 1, None), ("a.b.2", 1, 0), ("a.b.3", 0, 1)]
     assert ts.flow_audit(log, catalog=catalog, skip_empty=True).count() == 2
+
+
+def test_no_value_is_sorted_for_the_newest_records(make_log):
+    log = make_log([("t", i % 3, i, i, None, f"v{i}") for i in range(200)] + [("u", 0, 0, 5, None, None)])
+    newest = ts.tail_records(log, 4)
+    assert sorted((r["topic"], r["offset"]) for r in newest.collect()) == [("t", i) for i in range(196, 200)] + [("u", 0)]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
