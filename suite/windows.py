@@ -92,6 +92,19 @@ def duplicates_stream(spark, sf_dir):
     return ts.run_available_now(ts.duplicates_stream(_log(spark, sf_dir, True), ["topic", "key"]))
 
 
+@case(
+    "duplicates_window_stream",
+    """WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, user_id, count(*) AS n FROM events
+      GROUP BY ALL HAVING count(*) > 1)
+    SELECT epoch_us(start) // 1000 AS window_start, 'web.events.' || event_type AS topic, CAST(user_id AS VARCHAR) AS key,
+      n AS messages FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 5 SECOND""",
+)
+def duplicates_window_stream(spark, sf_dir):
+    """Repeats within a day, from closed days: state is kept for the open ones only."""
+    repeats = ts.duplicates_stream(_log(spark, sf_dir, True), ["topic", "key"], within="1 day", lateness="5 seconds")
+    return ts.run_available_now(repeats, "append").select(ms("window_start"), "topic", "key", "messages")
+
+
 def _small_batches(spark, sf_dir):
     """The log as a stream that takes one file at a time."""
     folder = f"{checkpoint_root(spark)}/batches-{uuid.uuid4().hex}"
