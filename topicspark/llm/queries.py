@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from topicspark.llm import (
     byte_bpe,
     chat_format,
+    divergence,
     exact_dedup,
+    line_dedup,
     mixing,
     passages,
     simhash,
+    spelling,
     token_files,
     toxicity,
     unigram_counts,
@@ -87,6 +90,101 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY key ORDER BY weight DESC,
 FROM keyed
 """
 
+_LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, nr, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS nr
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+keys AS (
+  SELECT key, max(doc_id) AS owner FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT l.doc_id, nr, line, coalesce(l.doc_id <> owner, false) AS dropped FROM lines l LEFT JOIN keys k ON l.key = k.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+_DIVERGENCE_SQL = """
+WITH found AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents),
+vocabulary AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM found GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM vocabulary GROUP BY lang),
+groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+counts AS (
+  SELECT f.lang, f.source, f.term, count(*)::HUGEINT AS n
+  FROM found f JOIN vocabulary v ON f.lang = v.lang AND f.term = v.term GROUP BY f.lang, f.source, f.term),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY lang, source),
+every AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+    1 + (1000000000 * (v.n + 2)) // (l.total + 2 * l.v) AS q
+  FROM groups g JOIN langs l ON g.lang = l.lang JOIN vocabulary v ON g.lang = v.lang
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM every WHERE n > 0 AND p > q),
+gaps AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(g.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM terms UNION ALL SELECT * FROM pairs) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+# The checksum's table and the bytes of a run (U+00C0 to U+00FF are 195 and the code less 64 in UTF-8) come from rules.
+_FORMS_SQL = """
+WITH RECURSIVE step AS (
+  SELECT range AS i, 0 AS k, range::BIGINT AS c FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END FROM step WHERE k < 8),
+codes AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+bytes AS (
+  SELECT doc_id, run, n, [4294967295::BIGINT] || flatten(list_transform(
+    string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)) AS bytes
+  FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda acc, b: xor(t[1 + (xor(acc, b) & 255)], acc >> 8)), 4294967295::BIGINT) AS h
+  FROM bytes, codes),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT)
+      || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shorter AS (
+  SELECT word, n, nr, substr(word, 1, nr - 1) || substr(word, nr + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS nr FROM words)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.nr = b.nr AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-n, encode(other))) AS form, max(n) AS form_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form,
+    CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON k.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk k ON f.word = k.word JOIN forms e ON k.root = e.word AND e.form IS NULL
+"""
+
 
 @case("op1_crf_toxicity")
 def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,3 +252,19 @@ def op9_unigram_counts(spark: SparkSession, sf_dir: str, model: str | None = Non
 @case("op10_exact_owners", _OWNERS_SQL)
 def op10_exact_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_owners(read(spark, sf_dir, "documents"))
+
+
+@case("op11_range_lines", _LINES_SQL)
+def op11_range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@case("op12_source_divergence", _DIVERGENCE_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+@case("op13_spelling_forms", _FORMS_SQL)
+def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(read(spark, sf_dir, "documents"))
