@@ -214,7 +214,8 @@ def drop_repeated_lines(
     """
     rows = _rows(docs, id_col, text_col)
     bits = stored(keep_bitmaps(rows, least, enough, block_lines), "line-bitmaps")
-    marked = rows.join(bits, ["doc", "tag"], "left")
+    # Bitmaps grow with the texts, so they are merged at every size.
+    marked = rows.join(bits.hint("merge"), ["doc", "tag"], "left")
     done = _without(F.when(F.col("bits").isNotNull(), F.col("text")), "bits").alias("done")
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return marked.select("id", "text", breaks.cast("long").alias("breaks"), done).select(
