@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from topicspark.llm.common import text_of
 
-CACHED = 200_000
+CACHED = 150_000
 _ADJACENT_SPACE = regex.compile(r"^\s|\s\s|\s$")
 
 
@@ -97,19 +99,37 @@ class PrefixBpe:
                     return True
                 left_until, left = min(left, right_until, left_until), halves[1]
 
-    def extend(self, text: bytes, last: list[int]) -> None:
-        """Append the last tokens of all prefixes of ``text`` longer than those ``last`` covers (``last[0]`` is -1)."""
-        ranks, longest = self.ranks, self.longest
-        for end in range(len(last), len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(text[start:end])
-                if token is None:
-                    continue
-                if self.stands(token) if start == 0 else self.may_follow(last[start], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"the ranks lack the byte {text[end - 1]:#x}")
+    @cached_property
+    def matches(self) -> ahocorasick.Automaton:
+        """Finds all tokens in a text; bytes are written as Latin-1 characters."""
+        found = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            found.add_word(token.decode("latin-1"), (len(token), rank))
+        found.make_automaton()
+        return found
+
+    def extend(self, text: bytes, last: list[int], upto: int | None = None) -> None:
+        """Append the last tokens of all prefixes of ``text`` (up to ``upto`` bytes) longer than those ``last`` covers;
+        ``last[0]`` is -1.  Only tokens that occur in the text are tried, each where it ends."""
+        done, upto = len(last), len(text) if upto is None else upto
+        begin = max(0, done - self.longest)
+        last += [-1] * (upto + 1 - done)
+        followed, may_follow = self.followed, self.may_follow
+        # A position is one less than the length of the prefix that ends there.
+        for at, (size, token) in self.matches.iter(text[begin:upto].decode("latin-1")):
+            end = begin + at + 1
+            if end < done or last[end] >= 0:
+                continue
+            start = end - size
+            if start:
+                left = last[start]
+                known = followed.get((left, token))
+                if known if known is not None else may_follow(left, token):
+                    last[end] = token
+            elif self.stands(token):
+                last[end] = token
+        if -1 in last[done:]:
+            raise ValueError(f"the ranks lack the byte {text[last.index(-1, done) - 1]:#x}")
 
     def read_off(self, last: list[int]) -> list[int]:
         """The encoding of the longest prefix in ``last``."""
@@ -139,10 +159,24 @@ class EditedText:
         self.bpe.extend(self.text, self.last)
 
     def replace(self, start: int, end: int, text: bytes) -> None:
-        """Put ``text`` in place of bytes start to end; entries before ``start`` are used again."""
-        tail = self.text[end:]
-        self.text, self.last = self.text[:start], self.last[: start + 1]
-        self.append(text + tail)
+        """Put ``text`` in place of bytes start to end.
+
+        Entries before ``start`` are used again.  An entry follows from those as far back as the longest token, so
+        behind the new bytes, once that many in a row are as they were, all others are.
+        """
+        old, shift = self.last, start + len(text) - end
+        self.text = self.text[:start] + text + self.text[end:]
+        self.last = old[: start + 1]
+        same, longest = 0, self.bpe.longest
+        self.bpe.extend(self.text, self.last, start + len(text))
+        while len(self.last) <= len(self.text):
+            known = len(self.last)
+            self.bpe.extend(self.text, self.last, min(len(self.text), known - 1 + longest))
+            for at in range(known, len(self.last)):
+                same = same + 1 if at - shift > 0 and self.last[at] == old[at - shift] else 0
+                if same == longest:
+                    self.last[at + 1 :] = old[at + 1 - shift :]
+                    return
 
     def ids(self) -> list[int]:
         return self.bpe.read_off(self.last)
@@ -160,20 +194,24 @@ class TextEncoder:
 
     Between two characters that are not white space, a single space opens a match; so where no two white-space
     characters meet, a text is cut at its spaces and equal parts are looked up.  Other texts are matched as a whole.
-    Both tables are emptied when full.
+    A full table becomes the old one, and what is met again moves from there to the new one.
     """
 
     def __init__(self, bpe: PrefixBpe, pattern: str, cached: int = CACHED):
         self.bpe, self.pattern, self.cached = bpe, regex.compile(pattern), cached
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.bpe.encode(piece.encode("utf-8"))
-        packed = b"".join([i.to_bytes(4, "little") for i in ids])
+        packed = self.old_pieces.get(piece)
+        if packed is None:
+            ids = self.bpe.encode(piece.encode("utf-8"))
+            packed = array("I", ids).tobytes()
         if len(piece) <= 40:
             if len(self.pieces) >= self.cached:
-                self.pieces.clear()
+                self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[piece] = packed
         return packed
 
@@ -182,10 +220,12 @@ class TextEncoder:
         return b"".join([known.get(p) or self._piece(p) for p in self.pattern.findall(text)])
 
     def _part(self, part: str) -> bytes:
-        packed = self._matched(part)
+        packed = self.old_parts.get(part)
+        if packed is None:
+            packed = self._matched(part)
         if len(part) <= 40:
             if len(self.parts) >= self.cached:
-                self.parts.clear()
+                self.old_parts, self.parts = self.parts, {}
             self.parts[part] = packed
         return packed
 
