@@ -32,6 +32,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def stored_tidily(df: DataFrame, name: str) -> DataFrame:
+    """``stored``; the shuffle files of the write go as soon as it has ended, since nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        # The setting is read when a frame is made.
+        return stored(df.select("*"), name)
+    finally:
+        conf.set(key, before)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

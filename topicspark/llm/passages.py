@@ -2,13 +2,12 @@
 
 Every window of ``length`` bytes is named by the smallest hash of the short strings in it, so equal windows have equal
 names.  Consecutive windows of one name form a run.  Runs equal as a whole in two documents are settled by their hash;
-runs that only share their name are compared window by window, over suffix arrays.
+runs that only share their name are laid out in blocks, where suffix arrays with the previous and the next smaller
+document give longest-previous-factor arrays.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import stored, text_of
+from topicspark.llm.common import stored_tidily, text_of
 
 LENGTH = 50
 GRAM = 16
@@ -65,37 +64,84 @@ def window_runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     return names[firsts].view(np.int64), firsts, lasts
 
 
-def earlier_factors(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """For every suffix: whether its longest previous factor reaches ``length``.
+# The least numbers of one to eight bytes.
+_BYTES = np.array([1 << 8 * k for k in range(8)], np.uint64)
 
-    ``starts`` are suffixes of ``text`` with at least ``length`` bytes, ``docs`` their documents.  A previous factor of
-    a suffix is the longest string it shares with a suffix of a smaller document.  In suffix order it is shared with
-    the nearest smaller document before or after (the previous or the next smaller value), and it reaches ``length``
-    if all neighbours up to there do.  So a stretch of neighbours sharing ``length`` bytes tells by its least document
-    whether such a value exists.
 
-    The order is refined eight bytes at a time.  A suffix that shares its bytes so far with no other keeps its place
-    and is done: neither neighbour can reach ``length``.
+def suffix_array(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes given as rows of big-endian words, and the bytes that each shares with the one before.
+
+    The order is refined a word at a time, and only among suffixes that are equal so far.
     """
-    reaches = np.zeros(len(starts), bool)
-    live = np.arange(len(starts))
-    stretch = np.zeros(len(starts), np.int64)
-    words = _words(text, starts, length)
+    order = np.argsort(words[:, 0], kind="stable")
+    ties = words[order[1:], 0] == words[order[:-1], 0]
+    for i in range(1, words.shape[1]):
+        tied = np.concatenate([[False], ties]) | np.concatenate([ties, [False]])
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        group = np.cumsum(~np.concatenate([[False], ties]))[at]
+        some = order[at]
+        order[at] = some[np.lexsort((words[some, i], group))]
+        ties &= words[order[1:], i] == words[order[:-1], i]
+    shared = np.zeros(len(order), np.int32)
+    going = np.arange(1, len(order))
     for i in range(words.shape[1]):
-        word = words[live, i]
-        order = np.lexsort((word, stretch))
-        live, stretch, word = live[order], stretch[order], word[order]
-        new = np.ones(len(live) + 1, bool)
-        new[1:-1] = (stretch[1:] != stretch[:-1]) | (word[1:] != word[:-1])
-        shared = ~(new[:-1] & new[1:])
-        live, stretch = live[shared], np.cumsum(new[:-1])[shared]
-        if not len(live):
-            return reaches
-    heads = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
-    sizes = np.diff(np.append(heads, len(live)))
-    least = np.repeat(np.minimum.reduceat(docs[live], heads), sizes)
-    reaches[live] = least < docs[live]
-    return reaches
+        apart = words[order[going], i] ^ words[order[going - 1], i]
+        shared[going] += 8 - np.searchsorted(_BYTES, apart, "right")
+        going = going[apart == 0]
+    return order, shared
+
+
+def _smaller_before(docs: np.ndarray, shared: np.ndarray, least_length: int) -> np.ndarray:
+    """For each place of the suffix order: what it shares with the nearest place before whose document is smaller.
+
+    A place that points to one with no smaller document takes over where that one points, which lies beyond only
+    documents as large; so pointers double their reach, and carry the least shared length on their way.  One that has
+    fallen below ``least_length`` stops.
+    """
+    n = len(docs)
+    to, least = np.arange(-1, n - 1), shared.copy()
+    going = np.flatnonzero((to >= 0) & (least >= least_length))
+    while True:
+        going = going[docs[to[going]] >= docs[going]]
+        if not len(going):
+            break
+        via = to[going]
+        least[going] = np.minimum(least[going], least[via])
+        to[going] = to[via]
+        going = going[(to[going] >= 0) & (least[going] >= least_length)]
+        # A place without anything smaller before it shares nothing.
+        least[via[to[via] < 0]] = 0
+    least[to < 0] = 0
+    return np.where(docs[np.maximum(to, 0)] < docs, least, 0)
+
+
+def longest_previous_factors(
+    text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int, least_length: int = 1
+) -> np.ndarray:
+    """For every suffix: the length, up to ``length``, of its longest previous factor; where that is less than
+    ``least_length``, some smaller length.
+
+    ``starts`` are suffixes of ``text`` with at least ``length`` bytes, ``docs`` their documents.  A previous factor of
+    a suffix is the longest string it shares with a suffix of a smaller document.  In suffix order it is shared with
+    the nearest smaller document before or after: the previous or the next smaller value.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int32)
+    order, shared = suffix_array(_words(text, starts, length))
+    shared = np.minimum(shared, length)
+    docs = docs[order]
+    before = _smaller_before(docs, shared, least_length)
+    after = _smaller_before(docs[::-1], np.concatenate([[0], shared[:0:-1]]), least_length)[::-1]
+    factors = np.empty(len(order), np.int32)
+    factors[order] = np.maximum(before, after)
+    return factors
+
+
+def earlier_factors(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For every suffix: whether its longest previous factor reaches ``length``."""
+    return longest_previous_factors(text, starts, docs, length, length) >= length
 
 
 def _words(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -143,35 +189,44 @@ def _settle_block(rows: dict[str, np.ndarray], limit: int) -> Iterator[pa.Record
 
 
 def _find_runs(length: int, block_runs: int, limit: int):
-    """Runs of the texts of a task, settled in blocks.  A text that the task has seen before is passed over."""
+    """Runs of the texts of a task, settled in blocks.
+
+    Equal texts of a block are one, under their smallest document: as sources of matches the others add nothing, and
+    they are removed as copies anyway, whatever order the rows come in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, seen = [], 0, set()
+        held, owners, count = [], [], 0
+        known: dict[bytes, int] = {}
         code = xxhash.xxh3_64_intdigest
 
         def block() -> Iterator[pa.RecordBatch]:
-            names, spans, docs, tags, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, spans = (np.concatenate(x) for x in zip(*held, strict=True))
+            sizes = [len(x[0]) for x in held]
+            docs, tags = (np.repeat(np.array(x, np.int64), sizes) for x in zip(*owners, strict=True))
+            numbers = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
             rows = {"name": names, "span": spans, "doc": docs, "tag": tags, "run": numbers, "kind": np.zeros(len(names), np.int32)}
             yield from _settle_block(rows, limit)
 
         for rows in batches:
-            for doc, tag, text in zip(*(rows.column(i) for i in range(3)), strict=True):
+            for doc, tag, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
                 view = memoryview(text.as_buffer())
                 if len(view) < length:
                     continue
-                whole = xxhash.xxh3_128_digest(view)
-                if whole in seen:
+                at = known.setdefault(xxhash.xxh3_128_digest(view), len(held))
+                if at < len(held):
+                    owners[at] = min(owners[at], (doc, tag))
                     continue
-                seen.add(whole)
                 names, firsts, lasts = window_runs(view, length)
                 ends = (lasts + length).tolist()
                 codes = np.array([code(view[a:b]) for a, b in zip(firsts.tolist(), ends, strict=True)], np.uint64)
-                n = len(names)
-                held.append((names, codes.view(np.int64), np.full(n, doc.as_py()), np.full(n, tag.as_py()), np.arange(n, dtype=np.int32)))
-                count += n
+                held.append((names, codes.view(np.int64)))
+                owners.append((doc, tag))
+                count += len(names)
                 if count >= block_runs:
                     yield from block()
-                    held, count = [], 0
+                    held, owners, count = [], [], 0
+                    known.clear()
         if held:
             yield from block()
 
@@ -330,17 +385,6 @@ def _settle_windows(length: int, block_bytes: int):
     return run
 
 
-def _cleared(rows: DataFrame) -> None:
-    """Ask the driver to let go of plans that are done with, and so Spark to delete their shuffle files.
-
-    The first round frees what the plans hold, the next the plans themselves.
-    """
-    for _ in range(3):
-        gc.collect()
-        rows.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -379,7 +423,7 @@ def _settled_runs(rows: DataFrame, length: int, block_runs: int, spans: int, gro
     meets = F.col("kind").isin(_ASKED, _MANY)
     met = found.repartition(F.when(meets, F.col("name")).otherwise(F.xxhash64("doc", "run")))
     met = met.sortWithinPartitions("name", "span", "doc")
-    return stored(met.mapInArrow(_settle_names(group), "doc long, tag long, run int, kind int, name long"), "passage-runs")
+    return stored_tidily(met.mapInArrow(_settle_names(group), "doc long, tag long, run int, kind int, name long"), "passage-runs")
 
 
 def _settled_windows(rows: DataFrame, settled: DataFrame, length: int, block_bytes: int) -> DataFrame:
@@ -391,7 +435,7 @@ def _settled_windows(rows: DataFrame, settled: DataFrame, length: int, block_byt
     windows = texts.mapInArrow(_find_windows(length, block_bytes), _WINDOW)
     met = windows.repartition(F.when(F.col("hit"), F.xxhash64("doc", "at")).otherwise(F.col("code_a")))
     met = met.sortWithinPartitions("code_a", "code_b", "doc", "at")
-    return stored(met.mapInArrow(_settle_windows(length, block_bytes), _HIT), "passage-windows")
+    return stored_tidily(met.mapInArrow(_settle_windows(length, block_bytes // 4), _HIT), "passage-windows")
 
 
 def remove_repeats(
@@ -418,12 +462,10 @@ def remove_repeats(
     repeated = rows.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
     rows = rows.withColumn("tag", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     settled = _settled_runs(rows, length, block_runs, spans, group)
-    _cleared(rows)
     windows = _settled_windows(rows, settled, length, block_bytes)
-    _cleared(rows)
     covered = settled.filter(F.col("kind") == _COVERED).select("doc", "tag", "run")
     whole = rows.select("doc", "tag", F.unhex(F.sha2("text", 256)).alias("sha"))
-    firsts = stored(whole.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1"), "passage-copies")
+    firsts = stored_tidily(whole.groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1"), "passage-copies")
     copies = whole.join(firsts, "sha").filter("doc > first").select("doc", "tag").distinct().withColumn("copy", F.lit(True))
     runs = covered.groupBy("doc", "tag").agg(F.collect_set("run").alias("runs"))
     at = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
@@ -431,7 +473,7 @@ def remove_repeats(
     marks = runs.join(at, ["doc", "tag"], "full").join(copies, ["doc", "tag"], "full")
     # A copy is removed as a whole, whatever else is known of it.
     lists = [F.when(F.col("copy").isNull(), F.col(c)).alias(c) for c in ("runs", "at")]
-    marks = stored(marks.select("doc", "tag", "copy", *lists), "passage-marks")
+    marks = stored_tidily(marks.select("doc", "tag", "copy", *lists), "passage-marks")
     marked = rows.join(marks, ["doc", "tag"], "left").select("id", "text", "copy", "runs", "at")
     out = marked.mapInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
