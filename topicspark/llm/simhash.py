@@ -39,16 +39,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint's bits as a signed long) of every row, without a shuffle."""
+    """``id``, ``fp`` (the fingerprint's bits as a signed long) and ``tag`` (a hash of the text) of every row, without a
+    shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             codes = [fingerprint(text.as_py(), shingle) for text in rows.column(1)]
             fps = np.array(codes, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps), rows.column(2)], ["id", "fp", "tag"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "utf-8").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    text = F.encode(text_of(text_col), "utf-8").alias("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text, F.xxhash64(text_of(text_col)).alias("tag"))
+    return rows.mapInArrow(run, "id long, fp long, tag long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -102,6 +104,12 @@ def near_groups(
     Null and empty texts have fingerprint zero and are linked like any other.  Rows with a null id belong to their
     class; a component of null ids only has the component number null.  Repeated rows come back as often as they came.
     """
+    code = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return _placed(docs, id_col, text_col, shingle).select(F.col("id").alias(id_col), code, "component_id")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, tag, component_id) of every row."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-classes")
     tied = components(_links(classes.select("fp")), "fp", "least")
@@ -110,16 +118,20 @@ def near_groups(
     )
     numbers = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_class = placed.join(numbers, "component").select("fp", "component_id")
-    code = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(by_class, "fp").select(F.col("id").alias(id_col), code, "component_id")
+    return prints.join(by_class, "fp")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """``docs``, all columns, without the rows whose component has a smaller id.
 
-    A component of null ids only stays whole, since nothing tells its rows apart; a null id beside others goes.
+    A row is found again by its id and a hash of its text, so where an id repeats, or is null, each text is judged by
+    itself.  Rows under the smallest id of their component all stay.  A component of null ids only stays whole, since
+    nothing tells which to keep; a null id beside others goes.
     """
-    groups = near_groups(docs, id_col, text_col)
-    lost = groups.filter(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    lost = lost.select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["_lost"]), "left_anti")
+    groups = _placed(docs, id_col, text_col, shingle)
+    lost = groups.filter(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id")))
+    lost = lost.select(F.col("id").alias("_lost_id"), F.col("tag").alias("_lost_tag")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(lost["_lost_id"]) & (F.xxhash64(text_of(text_col)) == lost["_lost_tag"])
+    return docs.join(lost, same, "left_anti")

@@ -23,6 +23,7 @@ SEGMENT = 24
 THRESHOLD = 0.7
 CACHED = 400_000
 SUSPECT = -2.5
+MET = 500  # different neighbours of a word that are told apart while learning
 CHUNK = 1 << 19
 _EDGE = ".,|;:!?\"'()[]{}<>*_-"
 _WORD = re.compile(r"\S+")
@@ -135,7 +136,7 @@ def token_labels(texts: Sequence[Sequence[str]], toxic: Sequence[int], chance: f
     A token of a toxic document is toxic if its word, or a beginning of it of four letters or more, is met in toxic
     documents far more often than in clean ones: in ``odds`` times as large a share of them, and so often that chance
     would hardly do it for any of the candidates.  For the latter, different pairs of neighbours are counted, because
-    copies of one document say nothing new.
+    copies of one document say nothing new; beyond ``MET`` of them, documents.
     """
     met, toxics, clean = defaultdict(set), defaultdict(int), defaultdict(int)
 
@@ -150,7 +151,7 @@ def token_labels(texts: Sequence[Sequence[str]], toxic: Sequence[int], chance: f
             for i, word in enumerate(words):
                 around = (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
                 for part in parts(word):
-                    if len(met[part]) < 500:
+                    if len(met[part]) < MET:
                         met[part].add(around)
     tokens = [sum(len(w) for w, y in zip(texts, toxic, strict=True) if y == label) for label in (0, 1)]
     share = min(0.99, max(0.01, tokens[1] / max(1, sum(tokens))))
@@ -158,7 +159,7 @@ def token_labels(texts: Sequence[Sequence[str]], toxic: Sequence[int], chance: f
     docs = (max(1, len(toxic) - sum(toxic)), max(1, sum(toxic)))
 
     def stands_out(part: str) -> bool:
-        t, c = len(met[part]), clean[part]
+        t, c = max(len(met[part]), toxics[part]), clean[part]
         if t < 3 or t <= share * (t + c) or toxics[part] / docs[1] < odds * (c + 0.5) / docs[0]:
             return False
         gain = t * np.log(t / (t + c) / share) + (c * np.log(c / (t + c) / (1 - share)) if c else 0.0)
@@ -172,17 +173,20 @@ def token_labels(texts: Sequence[Sequence[str]], toxic: Sequence[int], chance: f
 
 
 def _segments(texts: Sequence[Sequence[str]], labels: Sequence[np.ndarray], suspects: set[str], rng: np.random.Generator):
-    """Stretches of ``SEGMENT`` tokens: those with a toxic or a suspect token, and one or two of every document."""
+    """Stretches of up to ``SEGMENT`` tokens: those with a toxic or a suspect token, and one or two of every document.
+
+    A document's last stretch is as long as what is left, so every token can be learnt from.
+    """
     table: dict[str, list[int]] = {}
     feats, marks = [], []
     for words, label in zip(texts, labels, strict=True):
-        whole = len(words) // SEGMENT
-        if not whole:
+        stretches = -(-len(words) // SEGMENT)
+        if not stretches:
             continue
-        chosen = {int(x) for x in np.flatnonzero(label[: whole * SEGMENT]) // SEGMENT}
-        chosen |= {int(x) for x in rng.integers(0, whole, 2)}
+        chosen = {int(x) for x in np.flatnonzero(label) // SEGMENT}
+        chosen |= {int(x) for x in rng.integers(0, stretches, 2)}
         if suspects:
-            chosen |= {i // SEGMENT for i, word in enumerate(words[: whole * SEGMENT]) if word in suspects}
+            chosen |= {i // SEGMENT for i, word in enumerate(words) if word in suspects}
         for k in sorted(chosen):
             part = slice(k * SEGMENT, (k + 1) * SEGMENT)
             for word in words[part]:
@@ -190,7 +194,7 @@ def _segments(texts: Sequence[Sequence[str]], labels: Sequence[np.ndarray], susp
                     table[word] = features(core_of(word))
             feats.append([table[word] for word in words[part]])
             marks.append(label[part])
-    return feats, np.array(marks)
+    return feats, marks
 
 
 def fit(texts: Sequence[str], toxic: Sequence[int], rounds: int = 30, ridge: float = 1e-4, seed: int = 5) -> Crf:
@@ -208,10 +212,14 @@ def fit(texts: Sequence[str], toxic: Sequence[int], rounds: int = 30, ridge: flo
             break
         widest = max(len(f) for segment in feats for f in segment)
         table = np.full((len(feats), SEGMENT, widest), DIM, np.int64)
+        known = np.zeros((len(feats), SEGMENT), bool)
+        wanted = np.zeros((len(feats), SEGMENT), np.int64)
         for i, segment in enumerate(feats):
+            known[i, : len(segment)] = True
+            wanted[i, : len(segment)] = marks[i]
             for j, f in enumerate(segment):
                 table[i, j, : len(f)] = f
-        _climb(crf, table, marks, rounds, ridge)
+        _climb(crf, table, wanted, known, rounds, ridge)
         clean = {w for text, label in zip(words, toxic, strict=True) if not label for w in text}
         suspects = {w for w in sorted(clean) if crf.emission(w) > SUSPECT}
     emit = {}
@@ -240,7 +248,8 @@ def fit(texts: Sequence[str], toxic: Sequence[int], rounds: int = 30, ridge: flo
     return crf
 
 
-def _climb(crf: Crf, table: np.ndarray, marks: np.ndarray, rounds: int, ridge: float) -> None:
+def _climb(crf: Crf, table: np.ndarray, marks: np.ndarray, known: np.ndarray, rounds: int, ridge: float) -> None:
+    """Gradient steps; ``known`` marks the tokens of each stretch, which come first in its row."""
     weights = np.append(crf.weights, 0.0)
     squares = {name: 1e-8 for name in ("weights", "bias", "start", "moves")}
     n, length = marks.shape
@@ -252,12 +261,12 @@ def _climb(crf: Crf, table: np.ndarray, marks: np.ndarray, rounds: int, ridge: f
 
     for _ in range(rounds):
         emissions = weights[table].sum(axis=2) + crf.bias
-        p, pairs = _expected(crf, emissions)
+        p, pairs = _expected(crf, emissions, known)
         off = (marks - p) / n
         slope = np.bincount(flat, np.repeat(off.reshape(-1), table.shape[2]), DIM + 1) - ridge * weights
         slope[DIM] = 0
         seen = np.zeros((2, 2))
-        np.add.at(seen, (marks[:, :-1].reshape(-1), marks[:, 1:].reshape(-1)), 1)
+        np.add.at(seen, (marks[:, :-1][known[:, 1:]], marks[:, 1:][known[:, 1:]]), 1)
         began = np.array([(marks[:, 0] == 0).sum() - (1 - p[:, 0]).sum(), (marks[:, 0] == 1).sum() - p[:, 0].sum()])
         weights = step("weights", weights, slope)
         crf.bias = float(step("bias", np.array(crf.bias), off.sum()))
@@ -266,21 +275,24 @@ def _climb(crf: Crf, table: np.ndarray, marks: np.ndarray, rounds: int, ridge: f
     crf.weights = weights[:DIM]
 
 
-def _expected(crf: Crf, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of equally long segments, and the expected number of each move over all of them."""
+def _expected(crf: Crf, emissions: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the known tokens of each segment (0 elsewhere), and the expected number of each move over all."""
     n, length = emissions.shape
     node = np.stack([np.zeros_like(emissions), emissions], axis=2)
     alpha, beta = np.empty((n, length, 2)), np.zeros((n, length, 2))
     alpha[:, 0] = crf.start + node[:, 0]
     for t in range(1, length):
-        alpha[:, t] = np.logaddexp(alpha[:, t - 1, :1] + crf.moves[0], alpha[:, t - 1, 1:] + crf.moves[1]) + node[:, t]
+        moved = np.logaddexp(alpha[:, t - 1, :1] + crf.moves[0], alpha[:, t - 1, 1:] + crf.moves[1]) + node[:, t]
+        alpha[:, t] = np.where(known[:, t, None], moved, alpha[:, t - 1])
     for t in range(length - 2, -1, -1):
         after = beta[:, t + 1] + node[:, t + 1]
-        beta[:, t] = np.logaddexp(crf.moves[:, 0] + after[:, :1], crf.moves[:, 1] + after[:, 1:])
+        moved = np.logaddexp(crf.moves[:, 0] + after[:, :1], crf.moves[:, 1] + after[:, 1:])
+        beta[:, t] = np.where(known[:, t + 1, None], moved, 0)
     total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-    p = np.exp(alpha[..., 1] + beta[..., 1] - total[:, None])
+    p = np.where(known, np.exp(np.minimum(alpha[..., 1] + beta[..., 1] - total[:, None], 0)), 0)
     after = (beta + node)[:, 1:]
-    pairs = np.exp(alpha[:, :-1, :, None] + crf.moves + after[:, :, None, :] - total[:, None, None, None]).sum(axis=(0, 1))
+    each = alpha[:, :-1, :, None] + crf.moves + after[:, :, None, :] - total[:, None, None, None]
+    pairs = np.exp(each[known[:, 1:]]).sum(axis=0)
     return p, pairs
 
 
@@ -311,7 +323,8 @@ def learn(
 
 
 def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``score`` (0 to 1), ``spans`` (code point offsets of tagged words in a row) and ``tagged`` words.
+    """``id_col``, ``score`` (0 to 1), ``spans`` (code point offsets of tagged words in a row), ``tagged`` words and
+    ``tag``, a hash of the text.
 
     Whole texts, in one pass without a shuffle; the field goes out as a broadcast variable of a fixed size.  A word's
     score depends on the word alone and is looked up.  Null and empty texts have no words and score as such; repeated
@@ -338,7 +351,7 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
                 emit[word] = value
             return value
 
-        def scored(ids: list, texts: list[str], counts: list[int], values: list[float]) -> pa.RecordBatch:
+        def scored(ids: list, tags: list, texts: list[str], counts: list[int], values: list[float]) -> pa.RecordBatch:
             begins = np.cumsum([0, *counts])
             firsts = np.zeros(len(values), bool)
             firsts[begins[:-1][np.array(counts) > 0]] = True
@@ -359,27 +372,29 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
                             found.append({"start": places[k][0], "end": places[k][1], "last": k})
                 spans.append([{"start": x["start"], "end": x["end"]} for x in found])
             columns = [pa.array(ids, kind), pa.array(scores), pa.array(spans, spans_kind), pa.array(tagged, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["id", "score", "spans", "tagged"])
+            columns.append(pa.array(tags, pa.int64()))
+            return pa.RecordBatch.from_arrays(columns, ["id", "score", "spans", "tagged", "tag"])
 
         for rows in batches:
             kind = rows.schema.field(0).type
-            ids, texts, counts, values = [], [], [], []
-            for number, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            ids, tags, texts, counts, values = [], [], [], [], []
+            for number, tag, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(1), strict=True):
                 text = text.as_py()
                 words = text.split()
                 values += [emit[w] if w in emit else new(w) for w in words]
                 ids.append(number)
+                tags.append(tag)
                 texts.append(text)
                 counts.append(len(words))
                 if len(values) >= CHUNK:
-                    yield scored(ids, texts, counts, values)
-                    ids, texts, counts, values = [], [], [], []
+                    yield scored(ids, tags, texts, counts, values)
+                    ids, tags, texts, counts, values = [], [], [], [], []
             if ids:
-                yield scored(ids, texts, counts, values)
+                yield scored(ids, tags, texts, counts, values)
 
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("tag"))
     kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, score double, spans array<struct<start:long,end:long>>, tagged long"
+    schema = f"id {kind}, score double, spans array<struct<start:long,end:long>>, tagged long, tag long"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -392,7 +407,16 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without those whose text scores ``threshold`` or more; equal texts fare alike."""
-    toxic = score(docs, learn(docs, labels)).filter(F.col("score") >= threshold)
-    lost = toxic.select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+    """``docs``, all columns, without the rows whose text scores ``threshold`` or more.
+
+    A row is found again by its id and a hash of its text: under an id that repeats, or is null, each text is judged by
+    itself, and equal texts fare alike.
+    """
+    return without(docs, score(docs, learn(docs, labels)).filter(F.col("score") >= threshold))
+
+
+def without(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that have the id and the text of a row of ``lost`` (``id_col`` and ``tag``)."""
+    lost = lost.select(F.col(id_col).alias("_lost_id"), F.col("tag").alias("_lost_tag")).distinct()
+    same = docs[id_col].eqNullSafe(lost["_lost_id"]) & (F.xxhash64(text_of(text_col)) == lost["_lost_tag"])
+    return docs.join(lost, same, "left_anti")
