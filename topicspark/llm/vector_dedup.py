@@ -13,24 +13,30 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import stored
+from topicspark.llm.common import join_facts, stored
 from topicspark.llm.components import components
 
 THRESHOLD = 0.93
 WINDOW = 16
 MISSED = 0.02
+LEAST_COSINE = 0.5  # of centred vectors at the threshold; below it passes are added by what they find
+FRESH = 0.01  # share of links that a further round of passes must add to be followed by another
 SEED = 7
 BLOCK = 1024
 _BITS = 63
 
 
-def passes_for(group: int, window: int = WINDOW, threshold: float = THRESHOLD, missed: float = MISSED) -> int:
+def passes_for(
+    group: int, window: int = WINDOW, threshold: float = THRESHOLD, missed: float = MISSED, common: float = 0.0
+) -> int:
     """Passes after which a pair at the threshold has been missed with a probability of at most ``missed``.
 
     In a group of that many vectors, two vectors stand within a window if they agree in their first log2(group/window)
-    bits; each bit agrees with the probability 1 - angle / pi.
+    bits; each bit agrees with the probability 1 - angle / pi.  Bits are signs of centred vectors: with ``common``, the
+    squared length of the mean of the unit vectors, taken out, a cosine at the threshold is smaller.
     """
     bits = max(1, math.ceil(math.log2(max(2, group / window))))
+    threshold = max(LEAST_COSINE, (threshold - common) / max(1e-9, 1 - common))
     met = (1 - math.acos(threshold) / math.pi) ** bits
     return max(2, math.ceil(math.log(missed) / math.log(1 - met)))
 
@@ -46,8 +52,8 @@ def _unit(rows: list) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _keys(passes: int):
-    """Each vector once per pass, with the signs of its projections as one number, first projection first."""
+def _keys(numbers: range):
+    """Each vector once per pass, with the signs of its centred projections as one number, first projection first."""
     weights = 1 << np.arange(_BITS - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +61,8 @@ def _keys(passes: int):
             sizes = np.diff(rows.column("v").offsets.to_numpy())
             for dim in np.unique(sizes):
                 some = rows.take(pa.array(np.flatnonzero(sizes == dim)))
-                unit = _unit(some.column("v").to_pylist())
-                for number in range(passes):
+                unit = _unit(some.column("v").to_pylist()) - np.array(some.column("mean").to_pylist(), np.float64)
+                for number in numbers:
                     key = ((unit @ _planes(number, int(dim))) > 0) @ weights
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(key), number, np.int32)), some.column("label"),
@@ -67,6 +73,29 @@ def _keys(passes: int):
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per label and size: the sum and the number of a batch's unit vectors."""
+    for rows in batches:
+        frame = rows.to_pandas()
+        frame["dim"] = frame["v"].map(len).astype("int32")
+        out = [(label, dim, _unit(some["v"].tolist()).sum(axis=0), len(some)) for (label, dim), some in frame.groupby(["label", "dim"])]
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int64()]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["label", "dim", "sum", "n"])
+
+
+def _means(reps: DataFrame) -> DataFrame:
+    """Stored: label, dim, ``n``, the ``mean`` of the unit vectors and its squared length ``common``."""
+    sums = reps.select("label", "v").mapInArrow(_sums, "label long, dim int, sum array<double>, n long")
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        n = rows["n"].sum()
+        mean = np.sum(rows["sum"].tolist(), axis=0) / n
+        return pd.DataFrame({"label": rows["label"].iloc[:1], "dim": rows["dim"].iloc[:1], "n": [n], "mean": [mean], "common": [mean @ mean]})
+
+    return stored(sums.groupBy("label", "dim").applyInPandas(total, "label long, dim int, n long, mean array<double>, common double"), "vector-means")
+
+
 def _forest(links: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
     """For each of n rows the first row it is connected to by the links."""
     root = np.arange(n)
@@ -129,11 +158,12 @@ def _compare(window: int, threshold: float):
     return run
 
 
-def _links(reps: DataFrame, passes: int, window: int, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) that connect what the passes' windows found."""
+def _links(centred: DataFrame, numbers: range, window: int, threshold: float) -> DataFrame:
+    """Stored: verified pairs (a, b) that connect what the windows of the passes of these numbers found."""
     order = ["pass", "label", "dim", "key", "rep"]
-    keyed = reps.select("rep", "label", "v").mapInArrow(
-        _keys(passes), "pass int, label long, dim int, key long, rep long, v array<double>"
+    kind = centred.schema["v"].dataType
+    keyed = centred.select("rep", "label", "v", "mean").mapInArrow(
+        _keys(numbers), f"pass int, label long, dim int, key long, rep long, v {kind.simpleString()}"
     )
     found = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         _compare(window, threshold), "a long, b long, edge long, place int, pass int, label long, dim int, v array<double>"
@@ -154,6 +184,35 @@ def _links(reps: DataFrame, passes: int, window: int, threshold: float) -> DataF
     return found.filter(F.col("b").isNotNull()).select("a", "b").unionByName(rims).distinct()
 
 
+def _all_links(reps: DataFrame, window: int, threshold: float, missed: float) -> DataFrame:
+    """Stored: the links of as many passes as the largest and the most crowded label need.
+
+    Further rounds of passes follow until one adds less than ``FRESH`` to the united vectors: what the count of passes
+    takes for granted, that directions spread evenly about their mean, need not hold.
+    """
+    means = _means(reps)
+    crowds = means.groupBy(F.ceil(F.log2("n")).alias("size")).agg(F.max("n").alias("n"), F.max("common").alias("common")).collect()
+    passes = max((passes_for(c["n"], window, threshold, missed, c["common"]) for c in crowds), default=2)
+    spread = F.col("rep")
+    keyed = reps.withColumn("dim", F.size("v")).withColumn("place", F.struct("label", "dim"))
+    means = stored(means.select(F.struct("label", "dim").alias("place"), "mean"), "vector-centres")
+    centred = stored(join_facts(keyed, means, "place", spread).select("rep", "label", "v", "mean"), "vector-centred")
+    done, step = passes, max(2, passes // 4)
+    forest = _stars(_links(centred, range(passes), window, threshold))
+    while True:
+        size = forest.count()
+        forest = _stars(forest.unionByName(_links(centred, range(done, done + step), window, threshold)))
+        done += step
+        if forest.count() - size <= FRESH * size:
+            return forest
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Stored: each united vector's link (a, b) to the smallest of its component, one row less than vectors."""
+    tied = components(links, "a", "b").filter("node <> component")
+    return stored(tied.select(F.col("node").alias("a"), F.col("component").alias("b")), "vector-stars")
+
+
 def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """``rep`` and ``links``: the vectors linked to each, over all pairs within a component.
 
@@ -187,6 +246,12 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return counted.groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def _carried(vectors: DataFrame, vector_col: str) -> Column:
+    """Vectors are carried as they are if they are floats or doubles; all sums are in double precision."""
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    return F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+
+
 def _usable(id_col: str, vector_col: str, label_col: str) -> Column:
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     nonzero = F.exists(vector_col, lambda x: x != 0)
@@ -200,10 +265,11 @@ def near_vectors(
     """One row per vector: its id, ``n_links`` (other vectors linked directly), ``component_id``, ``kept``.
 
     Two vectors of one label link when their cosine in double precision reaches the threshold.  Equal vectors are one
-    class.  In each pass the classes are put in the order of their concatenated random projection signs, and every one
-    is compared with its next ``window`` neighbours; pairs that reach the threshold are united over all passes.  The
-    number of passes follows the largest label, so that a pair at the threshold is missed with a probability of at
-    most ``missed``.  Within each united component all pairs are then compared in blocks, so the counts there are exact
+    class.  In each pass the classes are put in the order of their concatenated random projection signs, taken about the
+    mean of their label, and every one is compared with its next ``window`` neighbours; pairs that reach the threshold
+    are united over all passes.  The number of passes follows the largest label and the common direction of its
+    vectors, so that a pair at the threshold is missed with a probability of at most ``missed`` while directions spread
+    evenly about the mean; rounds of passes are added as long as they find more.  Within each united component all pairs are then compared in blocks, so the counts there are exact
     however dense it is; no pair below the threshold is linked.
 
     Null ids or labels, and vectors that are null, empty, zero, or hold null or non-finite components, link with
@@ -213,12 +279,16 @@ def near_vectors(
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"),
-        F.col(vector_col).cast("array<double>").alias("v"),
+        _carried(vectors, vector_col).alias("v"),
     ).withColumn("usable", _usable("id", "v", "label"))
     usable = rows.filter("usable")
     reps = stored(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    united = stored(components(_links(reps, passes_for(largest, window, threshold, missed), window, threshold), "a", "b"), "vector-components")
+    stars = _all_links(reps, window, threshold, missed)
+    united = stored(
+        stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        .unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()),
+        "vector-components",
+    )
     members = reps.join(united, reps["rep"] == united["node"]).select("component", "rep", "n", "v")
     links = _count_links(members, threshold, block)
     facts = reps.join(united, reps["rep"] == united["node"], "left").join(links, "rep", "left").select(
