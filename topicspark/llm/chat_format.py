@@ -107,7 +107,11 @@ def canonical_turns(record: object, table: Mapping[int, Layout]) -> list[tuple[s
         return None
     if mapping.turns:
         roles = dict(mapping.roles)
-        pairs = [(t[mapping.role], t[mapping.text]) for t in _at(record, mapping.turns)]
+        listed = _at(record, mapping.turns)
+        # The paths of a list's items are united, so each item is looked at.
+        if any(not isinstance(t, Mapping) or set(t) != {mapping.role, mapping.text} for t in listed):
+            return None
+        pairs = [(t[mapping.role], t[mapping.text]) for t in listed]
         pairs = [(roles.get(role, role), text) for role, text in pairs]
     else:
         pairs = [(role, _at(record, path)) for role, path in mapping.fields]
@@ -144,8 +148,9 @@ def format_records(
     Control strings inside roles and texts are escaped with a backslash, and backslashes doubled, so ``parse`` gives
     back the turns and no text can open or close a turn.  Assistant texts are under the mask.
 
-    Null records, text that is not JSON, and layouts without a mapping give ``known`` false and an empty text; null
-    fields count as empty.  One pass, no shuffle; ties and repeated rows play no part.
+    Null records, text that is not JSON, layouts without a mapping, lists in which an item lacks a field of its layout,
+    lone surrogates and nesting beyond what a parser can follow give ``known`` false and an empty text; null fields
+    count as empty.  One pass, no shuffle; ties and repeated rows play no part.
     """
     table = _table(mappings)
 
@@ -156,9 +161,10 @@ def format_records(
             for text in rows.column(1).to_pylist():
                 try:
                     turns = canonical_turns(json.loads(text), table) if text is not None else None
-                except ValueError:
-                    turns = None
-                formatted, mask = render(turns or [])
+                    formatted, mask = render(turns or [])
+                    formatted.encode("utf-8")
+                except (ValueError, RecursionError):  # no JSON, a lone surrogate, or nested too deeply
+                    turns, formatted, mask = None, "", []
                 known.append(turns is not None)
                 texts.append(formatted)
                 masks.append([{"start": a, "end": b} for a, b in mask])

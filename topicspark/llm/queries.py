@@ -90,6 +90,63 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY key ORDER BY weight DESC,
 FROM keyed
 """
 
+_PASSAGES_SQL = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (
+  SELECT doc_id, nr, substr(h, 2 * nr + 1, 100) AS w
+  FROM (SELECT doc_id, h, unnest(range(n - 49)) AS nr FROM texts WHERE n >= 50)),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+hits AS (SELECT doc_id, nr FROM windows JOIN firsts USING (w) WHERE doc_id > first),
+spans AS (
+  SELECT doc_id, min(nr) AS s, max(nr) + 50 AS e
+  FROM (SELECT doc_id, nr, sum(CASE WHEN nr <= last + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY nr) AS k
+    FROM (SELECT doc_id, nr, lag(nr) OVER (PARTITION BY doc_id ORDER BY nr) AS last FROM hits))
+  GROUP BY doc_id, k),
+pieces AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM spans
+  UNION ALL SELECT t.doc_id, coalesce(max(e), 0), any_value(n) FROM texts t LEFT JOIN spans s ON t.doc_id = s.doc_id GROUP BY t.doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS left_over
+  FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(left_over)) AS kept_sha256
+FROM texts JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+_VECTORS_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+  least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id, e.vec_id <= coalesce(m.b, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN least m ON e.vec_id = m.a
+"""
+
+_CHAT_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) s(t)),
+sized AS (
+  SELECT *, length(r || x) + length(r) - length(replace(r, chr(10), ''))
+    + list_sum(list_transform(['<|turn|>', '<|end|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>',
+      '<|im_start|>', '<|im_end|>', '<|startoftext|>', '<|endoftext|>', '<|system|>', '<|user|>', '<|assistant|>',
+      '<|eot_id|>', chr(92)], lambda c: (length(r) - length(replace(r, c, '')) + length(x) - length(replace(x, c, '')))
+        // length(c))) AS size
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size + 8 + 1 + 7) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 _LINES_SQL = """
 WITH lines AS (
   SELECT doc_id, nr, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -210,13 +267,13 @@ def op4_orc_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return token_files.token_digest(token_files.read_tokens(spark, folder))
 
 
-@case("op5_previous_factors")
+@case("op5_previous_factors", _PASSAGES_SQL)
 def op5_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = passages.remove_repeats(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@case("op6_sorted_projections")
+@case("op6_sorted_projections", _VECTORS_SQL)
 def op6_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -230,7 +287,7 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -
     )
 
 
-@case("op8_schema_chat")
+@case("op8_schema_chat", _CHAT_SQL)
 def op8_schema_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame(
