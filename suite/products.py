@@ -75,8 +75,7 @@ def poison_parse(spark, sf_dir):
     return ts.poison_counts(log, ts.detect_format(log))
 
 
-@case(
-    "topic_audit",
+AUDIT = (
     log_cte()
     + FORMATS
     + COUNTS
@@ -87,13 +86,25 @@ def poison_parse(spark, sf_dir):
       concat_ws('|', CASE WHEN poison_count > 0 THEN 'Detected ' || poison_count || ' malformed messages in sample.' END,
         CASE WHEN duplicate_count > 0 THEN 'Detected ' || duplicate_count || ' potential duplicate records.' END)
         AS issues
-    FROM counts JOIN formats USING (topic) JOIN repeats USING (topic) JOIN poison USING (topic)""",
+    FROM counts JOIN formats USING (topic) JOIN repeats USING (topic) JOIN poison USING (topic)"""
 )
+
+
+@case("topic_audit", AUDIT)
 def topic_audit(spark, sf_dir):
     audit = ts.topic_audit(table_log(spark, sf_dir))
     return audit.withColumn("issues", F.array_join("issues", "|"))
 
 
+@case("audit_from_parts", AUDIT)
+def audit_from_parts(spark, sf_dir):
+    """The audit from stored scans of two halves of the log: an added half costs its own scan only."""
+    log = table_log(spark, sf_dir)
+    halves = [ts.scan_values(log.filter(F.col("partition") % 2 == half)) for half in (0, 1)]
+    audit = ts.topic_audit(log, parts=halves[0].unionByName(halves[1]))
+    return audit.withColumn("issues", F.array_join("issues", "|"))
+
+
 FLOWS = """, named AS (SELECT topic, message_count, split_part(topic, '.', 1) || '.' || split_part(topic, '.', 2) AS flow
    FROM counts WHERE contains(topic, '.')),
  grouped AS (SELECT * FROM named QUALIFY count(*) OVER (PARTITION BY flow) >= 2),

@@ -31,6 +31,7 @@ from topicspark.operators import (
     records_since,
     refresh_metrics,
     sample_messages,
+    scan_values,
     schema_mismatch,
     schema_struct,
     step_latency,

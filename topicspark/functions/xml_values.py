@@ -171,6 +171,17 @@ def _child_names_udf(text: pd.Series) -> pd.Series:
     return text.map(_child_names)
 
 
+@F.pandas_udf(T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("names", T.ArrayType(T.StringType()))]))
+def _outline_udf(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"ok": text.map(_well_formed).astype("object"), "names": text.map(_child_names)})
+
+
+def xml_outline(col: Column | str) -> Column:
+    """``ok`` (as ``xml_ok``) and ``names`` (as ``xml_children``) of a text that starts like XML, null for others."""
+    text = F.col(col) if isinstance(col, str) else col
+    return _outline_udf(_markup(text))
+
+
 def _markup(col: Column) -> Column:
     """The text if it starts like XML: nothing else needs to travel to the check."""
     return F.when(value_format(col) == "XML", col)

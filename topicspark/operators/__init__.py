@@ -27,6 +27,7 @@ from topicspark.operators.metrics import (
     metric_status,
     refresh_metrics,
 )
+from topicspark.operators.profile import scan_values
 from topicspark.operators.scans import (
     filter_topics,
     head_sample,

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from topicspark.functions import json_field, value_format, xml_ok
 from topicspark.model import AUDIT_HISTORY_TOPIC
 from topicspark.operators.metrics import latest_by_key
+from topicspark.operators.profile import candidate_tallies, merged_columns, scan_values, topic_facts
 from topicspark.operators.scans import sample_messages, topic_stats
-from topicspark.operators.schema import topic_profile
+from topicspark.operators.schema import profile_of, topic_profile
 from topicspark.operators.shared import checkpointed, join_by_topic
 
 
@@ -76,8 +77,9 @@ def poison_counts(
 
     ``parse`` parses the whole value; ``prefix`` looks at the first character.  Topics without a format have none.
     """
+    formats = checkpointed(formats.select("topic", "format"))
     rows = log.filter("value IS NOT NULL") if n is None else sample_messages(log, n)
-    rows = join_by_topic(rows, formats.select("topic", "format")) if n is None else rows.join(formats, "topic")
+    rows = join_by_topic(rows, formats, stored=True) if n is None else rows.join(formats, "topic")
     if mode == "prefix":
         fits_json, fits_xml = value_format("value") == "JSON", value_format("value") == "XML"
     elif mode == "parse":
@@ -92,6 +94,48 @@ def poison_counts(
     return formats.select("topic").join(counted, "topic", "left").fillna(0, ["poison_count"])
 
 
+class ValueScan:
+    """What one scan of the values gives an audit: ``profile``, ``tallies`` of the key columns, and ``poison``.
+
+    ``tallies`` is (topic, has_key, key_value, messages), with ``at_ms`` if ``moments`` are kept; a null key value
+    stands for the messages of a topic without a text in the key column.  Only topics whose key column is a first
+    column that some value has in another place are read a second time.
+    """
+
+    def __init__(
+        self, log: DataFrame, topics: DataFrame, strict: bool = False, moments: bool = False,
+        partial: DataFrame | None = None,
+    ):
+        partial = scan_values(log, moments=moments) if partial is None else partial
+        facts = checkpointed(topic_facts(partial))
+        self.profile = profile_of(facts, merged_columns(partial, facts), strict, topics)
+        self.poison = facts.select("topic", "poison_count")
+        told, partly = candidate_tallies(partial, self.profile)
+        partly = checkpointed(partly)
+        again = partly.limit(1).count() > 0
+        moment = ["at_ms"] if moments else []
+        if again:
+            told = told.join(partly, "topic", "left_anti")
+        told = told.withColumn("key_value", _typed_text(F.col("key_text"), F.col("key_type")))
+        told = told.groupBy("topic", "key_value", *moment).agg(F.sum("messages").alias("messages"))
+        told = checkpointed(told) if moments else told
+        count = told.groupBy("topic").agg(F.sum("messages").alias("told"))
+        keyed = self.profile.select("topic", F.col("key_field").isNotNull().alias("has_key"))
+        rest = facts.join(count, "topic", "left").join(keyed, "topic")
+        if again:
+            rest = rest.join(partly, "topic", "left_anti")
+        untold = (F.col("message_count") - F.coalesce("told", F.lit(0))).alias("messages")
+        nothing = [F.lit(None).cast("string").alias("key_value"), *[F.lit(None).cast("long").alias(m) for m in moment]]
+        rest = rest.select("topic", "has_key", *nothing, untold).filter("messages > 0")
+        tallies = told.withColumn("has_key", F.lit(True)).unionByName(rest)
+        if again:
+            values = log.withColumn("at_ms", F.unix_millis("timestamp")) if moments else log
+            values = join_by_topic(values, partly.withColumn("_partly", F.lit(True)), stored=True).drop("_partly")
+            keys = self.profile.join(partly, "topic", "left_semi")
+            tallies = tallies.unionByName(key_tallies(with_key_value(values, keys), *moment))
+        self.tallies = tallies
+
+
 def _issues() -> Column:
     poison, repeated = F.col("poison_count"), F.col("duplicate_count")
     lost = (F.col("estimate") > 0) & (F.col("message_count") == 0)
@@ -117,9 +161,14 @@ def audit_topics(
     tallies: DataFrame,
     n: int | None = None,
     poison_mode: str = "parse",
+    poison: DataFrame | None = None,
 ) -> DataFrame:
-    """The audit rows, from sizes (topic, messages), a topic profile, and key tallies that other work may share."""
-    poison = poison_counts(log, profile, poison_mode, n)
+    """The audit rows, from sizes (topic, messages), a topic profile, and key tallies that other work may share.
+
+    ``poison`` (topic, poison_count) is given where the malformed messages are counted already.
+    """
+    if poison is None:
+        poison = poison_counts(log, profile, poison_mode, n)
     rows = sizes.withColumnRenamed("messages", "estimate").join(profile, "topic", "left")
     rows = rows.join(_key_counts(tallies), "topic", "left").join(poison, "topic", "left")
     rows = rows.fillna(0, ["message_count", "duplicate_count", "poison_count"]).fillna("AUTO", ["format"])
@@ -140,14 +189,20 @@ def topic_audit(
     catalog: DataFrame | None = None,
     strict: bool = False,
     poison_mode: str = "parse",
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """Audit of every topic: exact count, format, malformed samples, repeated keys, health and its reasons.
 
     ``catalog`` (topic, messages) is the broker's own list of topics and sizes; without it the log's offsets serve.
     Formats, key columns, malformed values and repeated keys come from all values; ``n`` takes formats and malformed
-    values from samples of that size instead.
+    values from samples of that size instead.  The values are read once; with ``parts``, the stored results of
+    ``scan_values`` over the files of the log, united, they are not read at all.
     """
     sizes = checkpointed(topic_stats(log) if catalog is None else catalog)
+    if n is None:
+        scan = ValueScan(log, sizes, strict, partial=parts)
+        poison = scan.poison if poison_mode == "parse" else None
+        return audit_topics(log, sizes, scan.profile, scan.tallies, None, poison_mode, poison)
     profile = topic_profile(log, n, strict, sizes)
     tallies = key_tallies(with_key_value(log, profile, stored=True))
     return audit_topics(log, sizes, profile, tallies, n, poison_mode)

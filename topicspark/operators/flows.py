@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.operators.audit import audit_topics, key_tallies, with_key_value
+from topicspark.operators.audit import ValueScan, audit_topics, key_tallies, with_key_value
 from topicspark.operators.scans import topic_stats
 from topicspark.operators.schema import topic_profile
 from topicspark.operators.shared import BUCKET_MS, checkpointed, join_by_topic
@@ -149,15 +149,19 @@ def flow_audit(
     the latencies.
     """
     sizes = checkpointed(topic_stats(log) if catalog is None else catalog.select("topic", "messages"))
-    profile = topic_profile(log, n, topics=sizes)
-    keyed = with_key_value(log, profile, stored=True).withColumn("at_ms", F.unix_millis("timestamp"))
-    tallies = checkpointed(key_tallies(keyed, "at_ms"))
+    if n is None:
+        scan = ValueScan(log, sizes, moments=True)
+        profile, tallies, poison = scan.profile, scan.tallies, scan.poison
+    else:
+        profile, poison = topic_profile(log, n, topics=sizes), None
+        keyed = with_key_value(log, profile, stored=True).withColumn("at_ms", F.unix_millis("timestamp"))
+        tallies = checkpointed(key_tallies(keyed, "at_ms"))
     if audit is None:
         # Steps come from names alone, so finding them does not run the audit.
         named = sizes.filter("messages > 0") if skip_empty else sizes
         layout = _steps(named.select("topic"))
         per_key = tallies.groupBy("topic", "has_key", "key_value").agg(F.sum("messages").alias("messages"))
-        audit = audit_topics(log, sizes, profile, per_key, n)
+        audit = audit_topics(log, sizes, profile, per_key, n, poison=poison)
     else:
         layout = flow_steps(audit, skip_empty)
     steps = flow_steps(audit, skip_empty)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from topicspark.functions import json_field, value_format, xml_children
 from topicspark.model import COLUMN_TYPES, LATENESS
+from topicspark.operators.profile import json_type, merged_columns, scan_values, topic_facts
 from topicspark.operators.scans import head_sample
 from topicspark.operators.shared import checkpointed, join_by_topic
 
@@ -30,20 +31,6 @@ def detect_format(log: DataFrame, n: int | None = None) -> DataFrame:
     return topics.join(_vote(_sample(log, n)), "topic", "left").fillna("AUTO", ["format"])
 
 
-def _json_type(kind: Column) -> Column:
-    """Column type of a JSON value, from its variant type.
-
-    A variant keeps ``10.0`` as a decimal without fraction digits; only integers wider than 18 digits stay text.
-    """
-    wide_integer = kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
-    return (
-        F.when(kind == "BIGINT", F.lit("BIGINT"))
-        .when((kind == "DOUBLE") | (kind.startswith("DECIMAL") & ~wide_integer), F.lit("DOUBLE"))
-        .when(kind == "BOOLEAN", F.lit("BOOLEAN"))
-        .otherwise(F.lit("STRING"))
-    )
-
-
 def _json_columns(rows: DataFrame) -> DataFrame:
     """(topic, at, place, column, type) of each top-level field of each JSON value."""
     parsed = rows.select(
@@ -56,7 +43,7 @@ def _json_columns(rows: DataFrame) -> DataFrame:
     )
     return fields.select(
         "topic", "at", (F.array_position("names", F.col("column")) - 1).cast("int").alias("place"), "column",
-        _json_type(F.col("kind")).alias("type"),
+        json_type(F.col("kind")).alias("type"),
     )
 
 
@@ -93,11 +80,14 @@ def infer_schema(log: DataFrame, n: int | None = None, formats: DataFrame | None
     """Columns of each topic over its samples, in order of first appearance, each with its widened type.
 
     ``formats`` (topic, format) is the format of each topic where it is known already.  The samples of a topic
-    without a format are read each by its own first character.
+    without a format are read each by its own first character.  Without ``n`` and ``formats`` the values are read once.
     """
+    if n is None and formats is None:
+        partial = scan_values(log, keys=False)
+        return merged_columns(partial, topic_facts(partial))
     samples = _sample(log, n)
     if n is None:
-        return _columns(join_by_topic(samples, detect_format(log, n) if formats is None else formats))
+        return _columns(join_by_topic(samples, formats))
     # Ten samples a topic: read once, then joined as they are.
     samples = checkpointed(samples)
     known = _vote(samples) if formats is None else formats
@@ -112,14 +102,24 @@ def topic_profile(
     ``topics`` lists the topics where that is known already.  Only JSON topics have a key column: the table over any
     other topic has no inferred columns.
     """
+    if n is None:
+        partial = scan_values(log, keys=False)
+        facts = checkpointed(topic_facts(partial))
+        return profile_of(facts, merged_columns(partial, facts), strict, topics)
     topics = log.select("topic").distinct() if topics is None else topics.select("topic")
-    samples = _sample(log, n) if n is None else checkpointed(_sample(log, n))
+    samples = checkpointed(_sample(log, n))
     voted = _vote(samples)
     formats = topics.join(voted, "topic", "left").fillna("AUTO", ["format"])
-    if n is None:
-        columns = _columns(join_by_topic(samples, formats))
-    else:
-        columns = _columns(samples.join(voted, "topic", "left").fillna("AUTO", ["format"]))
+    columns = _columns(samples.join(voted, "topic", "left").fillna("AUTO", ["format"]))
+    return profile_of(formats, columns, strict)
+
+
+def profile_of(
+    formats: DataFrame, columns: DataFrame, strict: bool = False, topics: DataFrame | None = None
+) -> DataFrame:
+    """The profile from formats and columns, checkpointed; ``topics`` adds topics without a message."""
+    if topics is not None:
+        formats = topics.select("topic").join(formats.select("topic", "format"), "topic", "left").fillna("AUTO", ["format"])
     is_json = F.col("format") == "JSON"
     return checkpointed(
         formats.join(find_key_field(columns, strict), "topic", "left").select(
