@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import topicspark as ts
@@ -262,6 +263,22 @@ def log_sink(spark, sf_dir):
     )
 
 
+@case(
+    "log_sink_repeated",
+    """SELECT CAST(c_custkey AS VARCHAR) AS key, CAST(1 AS BIGINT) AS records, true AS dense FROM customer""",
+)
+def log_sink_repeated(spark, sf_dir):
+    """Two batches, each written twice: every record is there once, and each partition's offsets have no gaps."""
+    path = f"{checkpoint_root(spark)}/log-{uuid.uuid4().hex}"
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").repartition(3)
+    for batch in (0, 1, 1, 0):
+        some = customers.filter(F.col("c_custkey") % 2 == batch)
+        ts.write_log(some, "c_custkey", "copy.customers", path, batch=f"copy-{batch}")
+    log = ts.read_topic(spark, path)
+    gaps = log.groupBy("partition").agg((F.max("offset") - F.min("offset") + 1 == F.count("*")).alias("dense"))
+    return log.join(F.broadcast(gaps), "partition").groupBy("key").agg(F.count("*").alias("records"), F.bool_and("dense").alias("dense"))
+
+
 @case(
     "log_sink_sizes",
     """SELECT 'copy.customers' AS topic, count(*) AS messages, count(*) AS records, CAST(4 AS BIGINT) AS partitions
@@ -404,6 +421,25 @@ def trace_hits(spark, sf_dir):
     return hits.withColumn("timestamp", F.unix_millis("timestamp"))
 
 
+@case(
+    "trace_hits_indexed",
+    """SELECT 'web.events.' || event_type AS topic, CAST(event_id % 4 AS INTEGER) AS "partition", event_id // 4 AS "offset",
+      epoch_us(ts) // 1000 AS timestamp FROM events WHERE user_id = 77""",
+)
+def trace_hits_indexed(spark, sf_dir):
+    """A search through the index of a stored log: half of it is indexed, the other half came later."""
+    path = f"{checkpoint_root(spark)}/log-{uuid.uuid4().hex}"
+    log = table_log(spark, sf_dir, list(WEB))
+    half = F.max("offset").over(Window.partitionBy("topic", "partition")) / 2
+    laid_out = log.repartition("topic", "partition").withColumn("_half", half).sortWithinPartitions("topic", "partition", "offset")
+    laid_out.drop("_half").write.partitionBy("topic").parquet(f"{path}/log")
+    laid_out.filter(F.col("offset") < F.col("_half")).drop("_half").write.parquet(f"{path}/first")
+    ts.trace_index(spark.read.parquet(f"{path}/first"), block=256).write.parquet(f"{path}/index")
+    stored = ts.read_topic(spark, f"{path}/log")
+    hits = ts.trace_hits(stored, '"user_id":77,', index=spark.read.parquet(f"{path}/index"))
+    return hits.withColumn("timestamp", F.unix_millis("timestamp"))
+
+
 @case(
     "trace_nodes",
     log_cte("documents", "pages", "turns")
@@ -418,8 +454,7 @@ def trace_nodes(spark, sf_dir):
 @case("trace_edges", _edges("WHERE key = '77'", ("web", "dlt")).replace("before_ms AS", "'flow' AS label, before_ms AS"))
 def trace_edges(spark, sf_dir):
     log = table_log(spark, sf_dir, [*WEB, "web.errors.dlt"])
-    hits = ts.trace_hits(log.withColumn("value", F.lit(None).cast("string")), "^77$", regex=True)
-    return _with_ms(ts.trace_edges(hits), "label")
+    return _with_ms(ts.trace_edges(ts.trace_hits(log, "^77$", regex=True)), "label")
 
 
 @case("trace_path", _edges("WHERE contains(key, '77')", ("web",)))

@@ -151,6 +151,23 @@ def insert_restart_stream(spark, sf_dir):
     return rows.select("topic", F.col("offset").alias("off"), F.col("partition").alias("part"))
 
 
+@case(
+    "latest_restart",
+    """SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey % 3 AS batch FROM customer WHERE c_custkey % 3 > 0""",
+)
+def latest_restart(spark, sf_dir):
+    """A stream from the end of a log, stopped and started again without being told a time: it gives what came after
+    its first start, also what came while it was down."""
+    base = f"{checkpoint_root(spark)}/latest-{uuid.uuid4().hex}"
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 3).alias("batch"))
+    for batch in range(3):
+        ts.write_log(customers.filter(F.col("batch") == batch), "c_custkey", "copy.customers", f"{base}/log", batch=f"b-{batch}")
+        stream = ts.read_topic(spark, f"{base}/log", mode="latest", streaming=True)
+        ts.start_insert(stream, f"{base}/out", f"{base}/state", once=True).awaitTermination()
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.select("key", F.get_json_object("value", "$.batch").cast("long").alias("batch"))
+
+
 LATENCY = """SELECT CAST(a.user_id AS VARCHAR) AS key, epoch_us(a.ts) // 1000 AS ts_a, epoch_us(b.ts) // 1000 AS ts_b,
   epoch_us(b.ts) // 1000 - epoch_us(a.ts) // 1000 AS latency_ms
   FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase'

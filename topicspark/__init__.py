@@ -46,6 +46,7 @@ from topicspark.operators import (
     trace_all,
     trace_edges,
     trace_hits,
+    trace_index,
     trace_nodes,
 )
 from topicspark.plans import dashboard, register_functions, run_sql, run_template, topic_detail
@@ -56,6 +57,8 @@ from topicspark.streaming import (
     run_available_now,
     session,
     start_insert,
+    start_log_insert,
+    start_refresh,
     step_latency_stream,
     tumble,
 )

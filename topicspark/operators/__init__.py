@@ -42,5 +42,6 @@ from topicspark.operators.scans import (
 )
 from topicspark.operators.schema import detect_format, find_key_field, infer_schema, schema_struct, topic_profile, topic_table
 from topicspark.operators.trace import edge_counts, trace_all, trace_edges, trace_hits, trace_nodes
+from topicspark.operators.trace_blocks import trace_index
 
 __all__ = [name for name in dir() if not name.startswith("_")]

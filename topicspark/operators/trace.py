@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from topicspark.functions import match_path
 from topicspark.operators.scans import records_since, tail_records
 from topicspark.operators.shared import BUCKET_MS, with_previous
+from topicspark.operators.trace_blocks import may_hold
 
 
 def trace_hits(
@@ -22,13 +23,19 @@ def trace_hits(
     as_of: datetime | None = None,
     n: int | None = None,
     topics: Sequence[str] | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Records that match ``key``.
 
     Every record of the (given) topics is searched.  ``minutes`` narrows the search to the time before ``as_of``;
-    ``n`` to the newest ``n`` records of each topic (the oldest ``n`` of the time range).
+    ``n`` to the newest ``n`` records of each topic (the oldest ``n`` of the time range).  With an ``index``
+    (``trace_index``) only the blocks that may hold the key are searched; a regular expression, or ``n``, searches
+    without it.
     """
     rows = log if topics is None else log.filter(F.col("topic").isin(list(topics)))
+    if index is not None and key is not None and not regex and n is None:
+        known = index if topics is None else index.filter(F.col("topic").isin(list(topics)))
+        rows = may_hold(rows, known, key, path)
     if minutes is not None and minutes > 0:
         if as_of is None:
             raise ValueError("a trace over the last minutes needs `as_of`, the time they end at")

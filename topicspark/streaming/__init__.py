@@ -1,6 +1,6 @@
 from topicspark.streaming.duplicates import duplicates_stream
 from topicspark.streaming.latency import step_latency_stream
-from topicspark.streaming.runs import run_available_now, start_insert
+from topicspark.streaming.runs import run_available_now, start_insert, start_log_insert, start_refresh
 from topicspark.streaming.windows import hop, session, tumble
 
 __all__ = [
@@ -9,6 +9,8 @@ __all__ = [
     "run_available_now",
     "session",
     "start_insert",
+    "start_log_insert",
+    "start_refresh",
     "step_latency_stream",
     "tumble",
 ]

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from topicspark.operators.shared import checkpoint_root
+from topicspark.sources import write_log
 
 
 def start_insert(
@@ -28,6 +29,22 @@ def start_insert(
     return writer.option("topic", target).start() if format == "kafka" else writer.start(target)
 
 
+def start_log_insert(
+    stream: DataFrame, key: str, topic: str, sink: str, checkpoint: str, name: str, partitions: int = 4, once: bool = False
+) -> StreamingQuery:
+    """Append a stream's rows to a log as keyed records, each exactly once.
+
+    A micro-batch is written under ``name`` and its number, so one that is repeated after a failure adds nothing.  A
+    query that starts from a new checkpoint needs a new name.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_log(batch, key, topic, sink, partitions=partitions, batch=f"{name}-{batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def start_refresh(
     stream: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 seconds"
 ) -> StreamingQuery:
