@@ -151,6 +151,33 @@ def insert_restart_stream(spark, sf_dir):
     return rows.select("topic", F.col("offset").alias("off"), F.col("partition").alias("part"))
 
 
+@case(
+    "tumble_text",
+    """SELECT 'web.events.' || event_type AS kind, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS window_start,
+      epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 + 3600000 AS window_end, count(*) AS metric_value
+    FROM events GROUP BY ALL""",
+)
+def tumble_text(spark, sf_dir):
+    """A metric in the text that streaming SQL has for windows."""
+    sql = """SELECT topic AS kind, window_start, window_end, COUNT(*) AS metric_value
+      FROM TABLE(TUMBLE(TABLE {events}, DESCRIPTOR(event_time), INTERVAL '1' HOUR))
+      GROUP BY topic, window_start, window_end"""
+    rows = ts.run_sql(spark, sql, events=_log(spark, sf_dir, False))
+    return rows.select("kind", ms("window_start"), ms("window_end"), "metric_value")
+
+
+@case(
+    "hop_text",
+    """SELECT epoch_us(start) // 1000 AS window_start, count(*) AS metric_value
+    FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events)
+    GROUP BY ALL""",
+)
+def hop_text(spark, sf_dir):
+    sql = """SELECT window_start, COUNT(*) AS metric_value
+      FROM TABLE(HOP(TABLE {events}, DESCRIPTOR(event_time), INTERVAL '30' MINUTES, INTERVAL '1' HOUR)) GROUP BY window_start"""
+    return ts.run_sql(spark, sql, events=_log(spark, sf_dir, False)).select(ms("window_start"), "metric_value")
+
+
 @case(
     "latest_restart",
     """SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey % 3 AS batch FROM customer WHERE c_custkey % 3 > 0""",

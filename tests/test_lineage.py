@@ -56,3 +56,22 @@ def test_nodes(statements):
         ],
         key=repr,
     )
+
+
+@pytest.mark.parametrize(
+    ("ddl", "reads", "writes"),
+    [
+        ("INSERT INTO s SELECT * FROM (SELECT * FROM t1) x, t2", {"t1", "t2"}, {"s"}),
+        ("INSERT INTO s SELECT * FROM (SELECT * FROM t1) AS x, t2 y, `t 3` WHERE a = 1", {"t1", "t2", "t 3"}, {"s"}),
+        ("insert  into s2 SELECT 1 FROM a", {"a"}, {"s2"}),
+        ("INSERT\nINTO TABLE s2 SELECT 1 FROM a", {"a"}, {"s2"}),
+        ("INSERT OVERWRITE TABLE `my sink` SELECT 1 FROM `my table` m, db.`b,c` JOIN d ON true", {"my table", "db.b,c", "d"}, {"my sink"}),
+        ("INSERT INTO s SELECT sum(a) x, b FROM t GROUP BY f(c), d ORDER BY sum(a) DESC, b", {"t"}, {"s"}),
+        ("INSERT INTO s SELECT f(g(a), b), row_number() OVER (PARTITION BY h(x), y) r, z FROM t", {"t"}, {"s"}),
+        ("SELECT 'INSERT INTO s' FROM t", set(), set()),
+    ],
+)
+def test_texts(spark, ddl, reads, writes):
+    rows = rows_of(ts.lineage_edges(spark.createDataFrame([("j", "job", ddl)], "id STRING, kind STRING, ddl STRING")))
+    assert {r[0] for r in rows if r[2] == "reads"} == reads
+    assert {r[1] for r in rows if r[2] == "writes"} == writes

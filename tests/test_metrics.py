@@ -111,3 +111,16 @@ def test_a_refresh_extends_the_history(spark):
     )
     after = {r["id"]: r["history"] for r in ts.metric_state(config, values).collect()}
     assert after == {"new": [4.0], "full": [float(i) for i in range(1, 51)], "failed": [3.0]}
+
+
+def test_window_texts():
+    from topicspark.plans.sql import with_windows
+
+    plain = "SELECT * FROM {events} WHERE x = 'TABLE(x)'"
+    assert with_windows(plain) == plain
+    text = with_windows("SELECT 1 FROM table(hop(data => TABLE `my`.t, timecol => DESCRIPTOR(ts), slide => INTERVAL '5' MINUTES, size => INTERVAL '1' HOUR)) w")
+    assert "window(ts, '1 HOUR', '5 MINUTES')" in text and "FROM `my`.t" in text and text.endswith(" w")
+    with pytest.raises(ValueError):
+        with_windows("SELECT 1 FROM TABLE(HOP(TABLE t, DESCRIPTOR(ts), INTERVAL '5' MINUTES))")
+    with pytest.raises(ValueError):
+        with_windows("SELECT 1 FROM TABLE(TUMBLE(TABLE t, DESCRIPTOR(ts), INTERVAL '5' MINUTES, INTERVAL '1' HOUR))")

@@ -9,29 +9,46 @@ TOPIC_PATTERN = r"'topic'\s*=\s*'([^']+)'"
 # Comments and texts, then functions that have a FROM of their own.
 _NOT_CODE = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'"
 _INNER_FROM = r"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*\([^()]*\)"
-_NAME = r"[^\s,;()]++(?!\s*\()"
+# A name's parts may stand in backquotes, with anything in them.
+_QUOTED = r"`(?:[^`]|``)*`"
+_NAME = rf"(?:{_QUOTED}|[^\s,;()`])++(?!\s*\()"
+# Words that follow a table, or an expression, and are no alias of it.
+_WORDS = (
+    "WHERE|JOIN|ON|USING|LEFT|RIGHT|FULL|INNER|CROSS|NATURAL|LATERAL|GROUP|ORDER|SORT|CLUSTER|DISTRIBUTE|HAVING|LIMIT|"
+    "OFFSET|WINDOW|UNION|EXCEPT|INTERSECT|MINUS|FROM|SELECT|SET|VALUES|ASC|DESC|NULLS|AND|OR"
+)
+_NAMED = rf"\s+(?:AS\s+)?(?!(?:{_WORDS})\b)(?:\w+|{_QUOTED})(?:\s*\([^()]*\))?"
+_LIST = rf"((?:{_NAME}(?:{_NAMED})?\s*,\s*)*{_NAME})"
 # A table, or tables separated by commas, each with an alias or none.
-_TABLES = rf"(?i)\b(?:FROM|JOIN)\s+((?:{_NAME}(?:\s+(?:AS\s+)?\w+)?\s*,\s*)*{_NAME})"
+_TABLES = rf"(?i)\b(?:FROM|JOIN)\s+{_LIST}"
+# How such a list goes on behind a subquery and its alias.
+_GOES_ON = rf"(?i)\){_NAMED}\s*,\s*{_LIST}(?:{_NAMED})?\s*(?=$|[;)]|\b(?:{_WORDS.replace('FROM|SELECT|', '').replace('|ASC|DESC|NULLS|AND|OR', '')})\b)"
+_EACH = rf"(?:^|,)\s*({_NAME})"
 _CTE = r"(?i)(?:\bWITH(?:\s+RECURSIVE)?|,|\))\s*(\w+)(?:\s*\([^()]*\))?\s+AS\s*\("
-_TARGETS = r"(?i)\bINSERT\s+(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?([^\s(;]+)"
+_TARGETS = rf"(?i)\bINSERT\s+(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?((?:{_QUOTED}|[^\s(;`])+)"
+
+
+def _unquoted(name: Column) -> Column:
+    return F.regexp_replace(name, "`", "")
 
 
 def _sources(ddl: Column) -> Column:
     """Distinct tables that a statement reads, without the names it defines itself."""
     code = F.regexp_replace(F.regexp_replace(ddl, _NOT_CODE, "''"), _INNER_FROM, "f()")
-    lists = F.regexp_extract_all(code, F.lit(_TABLES), 1)
-    names = F.flatten(F.transform(lists, lambda one: F.split(one, r"\s*,\s*")))
-    names = F.array_distinct(F.transform(names, lambda name: F.regexp_extract(name, r"^\S+", 0)))
+    lists = F.concat(*[F.regexp_extract_all(code, F.lit(found), 1) for found in (_TABLES, _GOES_ON)])
+    names = F.flatten(F.transform(lists, lambda one: F.regexp_extract_all(one, F.lit(_EACH), 1)))
+    names = F.array_distinct(F.transform(names, _unquoted))
     own = F.transform(F.regexp_extract_all(code, F.lit(_CTE), 1), F.lower)
     return F.filter(names, lambda name: ~F.array_contains(own, F.lower(name)) & ~F.lower(name).isin("lateral", "unnest"))
 
 
 def _targets(ddl: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(ddl, _NOT_CODE, "''"), F.lit(_TARGETS), 1))
+    found = F.regexp_extract_all(F.regexp_replace(ddl, _NOT_CODE, "''"), F.lit(_TARGETS), 1)
+    return F.array_distinct(F.transform(found, _unquoted))
 
 
 def _parts(statements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    jobs = statements.filter(F.col("kind").eqNullSafe("job") & F.upper("ddl").contains("INSERT INTO")).withColumn(
+    jobs = statements.filter(F.col("kind").eqNullSafe("job") & (F.size(_targets(F.col("ddl"))) > 0)).withColumn(
         "node", F.concat(F.lit("query_"), "id")
     )
     tables = statements.filter("kind = 'table'").withColumn("topic", F.regexp_extract("ddl", TOPIC_PATTERN, 1))

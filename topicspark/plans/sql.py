@@ -23,6 +23,36 @@ def register_functions(spark: SparkSession) -> None:
     spark.udf.register("XmlExtract", xml_extract_sql)
 
 
+# Window functions over a table as streaming SQL writes them: TABLE(TUMBLE(TABLE t, DESCRIPTOR(c), INTERVAL '1' HOUR)).
+_WINDOWS = re.compile(
+    r"""TABLE\s*\(\s*(TUMBLE|HOP)\s*\(\s*(?:DATA\s*=>\s*)?TABLE\s+([\w.`{}]+)\s*,\s*(?:TIMECOL\s*=>\s*)?
+    DESCRIPTOR\s*\(\s*([\w.`]+)\s*\)\s*,\s*(?:\w+\s*=>\s*)?(INTERVAL\s+'[^']+'\s+\w+)
+    (?:\s*,\s*(?:\w+\s*=>\s*)?(INTERVAL\s+'[^']+'\s+\w+))?\s*\)\s*\)""",
+    re.IGNORECASE | re.VERBOSE,
+)
+
+
+def with_windows(sql: str) -> str:
+    """The text with table-valued TUMBLE and HOP as Spark's ``window``: the table's rows with ``window_start`` and
+    ``window_end``; one row per window for HOP, whose intervals are the slide and the size.  Texts without them stay
+    as they are."""
+
+    def written(found: re.Match) -> str:
+        kind, table, column, first, second = found.groups()
+        if (kind.upper() == "HOP") != (second is not None):
+            raise ValueError(f"TUMBLE takes one interval and HOP two: {found[0]!r}")
+        lengths = [re.sub(r"(?i)^INTERVAL\s+'([^']+)'\s+(\w+)$", r"\1 \2", x) for x in (second, first) if x]
+        if kind.upper() == "TUMBLE":
+            lengths = lengths[:1]
+        spans = ", ".join(f"'{x}'" for x in lengths)
+        return (
+            f"(SELECT * EXCEPT (_window), _window.start AS window_start, _window.end AS window_end"
+            f" FROM (SELECT *, window({column}, {spans}) AS _window FROM {table}))"
+        )
+
+    return _WINDOWS.sub(written, sql)
+
+
 def _only_query(spark: SparkSession, sql: str) -> None:
     jvm = spark._jvm
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
@@ -42,8 +72,10 @@ def run_sql(
     """Result of a query over ``{name}`` frames and temp views; ``max_rows`` limits it where given.
 
     The read mode is the frames' own: see ``read_topic``.  ``args`` fills ``:name`` markers.  Commands and INSERT are
-    refused before anything runs: Spark's parser tells what the text is.  ``JSON_VALUE`` and ``XmlExtract`` can be called.
+    refused before anything runs: Spark's parser tells what the text is.  ``JSON_VALUE`` and ``XmlExtract`` can be called,
+    and ``TABLE(TUMBLE(TABLE t, DESCRIPTOR(c), INTERVAL '1' HOUR))`` and ``HOP`` are read as in ``with_windows``.
     """
+    sql = with_windows(sql)
     if not spark.catalog.functionExists("JSON_VALUE") or not spark.catalog.functionExists("XmlExtract"):
         register_functions(spark)
     _only_query(spark, re.sub(r"\{\w+\}", "frame", sql))
