@@ -22,6 +22,7 @@ LENGTH = 50
 GRAM = 16
 BLOCK_RUNS = 1 << 20
 BLOCK_BYTES = 4 << 20
+_ROWS = 1 << 15
 SPANS = 64  # different runs of one name up to which a block sends them to the name's task
 GROUP = 50_000  # different runs of one name up to which they are compared in one task
 _LAST = (1 << 63) - 1
@@ -64,32 +65,16 @@ def window_runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     return names[firsts].view(np.int64), firsts, lasts
 
 
-# The least numbers of one to eight bytes.
-_BYTES = np.array([1 << 8 * k for k in range(8)], np.uint64)
-
-
-def suffix_array(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of suffixes given as rows of big-endian words, and the bytes that each shares with the one before.
-
-    The order is refined a word at a time, and only among suffixes that are equal so far.
-    """
-    order = np.argsort(words[:, 0], kind="stable")
-    ties = words[order[1:], 0] == words[order[:-1], 0]
-    for i in range(1, words.shape[1]):
-        tied = np.concatenate([[False], ties]) | np.concatenate([ties, [False]])
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        group = np.cumsum(~np.concatenate([[False], ties]))[at]
-        some = order[at]
-        order[at] = some[np.lexsort((words[some, i], group))]
-        ties &= words[order[1:], i] == words[order[:-1], i]
-    shared = np.zeros(len(order), np.int32)
-    going = np.arange(1, len(order))
-    for i in range(words.shape[1]):
-        apart = words[order[going], i] ^ words[order[going - 1], i]
-        shared[going] += 8 - np.searchsorted(_BYTES, apart, "right")
-        going = going[apart == 0]
+def suffix_array(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes, given as rows of as many bytes, and the bytes that each shares with the one before."""
+    n, length = suffixes.shape
+    order = np.argsort(suffixes.view(f"S{length}").ravel(), kind="stable")
+    shared = np.zeros(n, np.int32)
+    for at in range(1, n, _ROWS):
+        now, before = order[at : at + _ROWS], order[at - 1 : min(at + _ROWS, n) - 1]
+        apart = suffixes[now] != suffixes[before]
+        first = apart.argmax(axis=1)
+        shared[at : at + _ROWS] = np.where(apart[np.arange(len(now)), first], first, length)
     return order, shared
 
 
@@ -129,8 +114,8 @@ def longest_previous_factors(
     """
     if not len(starts):
         return np.zeros(0, np.int32)
-    order, shared = suffix_array(_words(text, starts, length))
-    shared = np.minimum(shared, length)
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
+    order, shared = suffix_array(np.ascontiguousarray(windows[starts]))
     docs = docs[order]
     before = _smaller_before(docs, shared, least_length)
     after = _smaller_before(docs[::-1], np.concatenate([[0], shared[:0:-1]]), least_length)[::-1]
