@@ -73,6 +73,18 @@ def hop_stream(spark, sf_dir):
     return _with_ms(ts.run_available_now(ts.hop(_log(spark, sf_dir, True), "1 hour", "30 minutes")))
 
 
+@case(
+    "session_all",
+    """WITH e AS (SELECT epoch_us(ts) // 1000 AS t FROM events),
+    marked AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 60000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (ORDER BY t)),
+    numbered AS (SELECT *, sum(fresh) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+    SELECT min(t) AS window_start, max(t) + 60000 AS window_end, count(*) AS messages FROM numbered GROUP BY s""",
+)
+def session_all(spark, sf_dir):
+    """Sessions of the whole log, without a key."""
+    return _with_ms(ts.session(_log(spark, sf_dir), "1 minute"))
+
+
 @case("session_stream", SESSION)
 def session_stream(spark, sf_dir):
     return _with_ms(ts.run_available_now(ts.session(_log(spark, sf_dir, True), "2 hours", by=["key"])))

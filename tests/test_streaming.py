@@ -115,3 +115,26 @@ def test_nothing_to_read(feed):
     feed.add(("t", 0, "a"))
     none = feed.stream(["other"]).select("key")
     assert ts.run_available_now(none, "append").count() == 0
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 14])
+def test_sessions_without_keys(spark, monkeypatch, stretch):
+    from topicspark.streaming import windows
+
+    monkeypatch.setattr(windows, "STRETCH", stretch)
+    draw = random.Random(stretch)
+    for gaps in ([1], [61], [1, 30, 59, 60, 61, 200], [60], [59, 5000]):
+        at, rows = 0, []
+        for _ in range(150):
+            at += draw.choice(gaps)
+            rows += [(START + timedelta(seconds=at),)] * draw.randrange(1, 3)
+        frame = spark.createDataFrame(draw.sample(rows, len(rows)), "event_time TIMESTAMP").repartition(3)
+        own = frame.groupBy(F.session_window("event_time", "1 minute").alias("w")).agg(F.count("*").alias("n"))
+        want = rows_of(own.select("w.start", "w.end", "n"))
+        found = ts.session(frame, "1 minute")
+        assert rows_of(found) == want
+        assert rows_of(ts.session(frame, "1 minute", aggs=[F.count("*").alias("n")])) == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange SinglePartition") == 1
+    under = plan[plan.index("Exchange SinglePartition") :].splitlines()[1]
+    assert "Aggregate(keys=[_stretch" in under
