@@ -163,6 +163,16 @@ def insert_restart_stream(spark, sf_dir):
     return rows.select("topic", F.col("offset").alias("off"), F.col("partition").alias("part"))
 
 
+@case(
+    "bounded_read_stream",
+    "SELECT 'web.events.' || event_type AS topic, CAST(event_id // 4 AS BIGINT) AS off, CAST(event_id % 4 AS INTEGER) AS part FROM events",
+)
+def bounded_read_stream(spark, sf_dir):
+    """The first rows of a running query, in whole micro-batches: the files that are there make up the first."""
+    stream = _log(spark, sf_dir, True).select("topic", F.col("offset").alias("off"), F.col("partition").alias("part"))
+    return ts.read_bounded(stream, rows=1)
+
+
 @case(
     "tumble_text",
     """SELECT 'web.events.' || event_type AS kind, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS window_start,

@@ -138,3 +138,24 @@ def test_sessions_without_keys(spark, monkeypatch, stretch):
     assert plan.count("Exchange SinglePartition") == 1
     under = plan[plan.index("Exchange SinglePartition") :].splitlines()[1]
     assert "Aggregate(keys=[_stretch" in under
+
+
+def test_bounded_reads(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for i in range(4):
+        spark.range(i * 10, i * 10 + 10, 1, 1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("id LONG").option("maxFilesPerTrigger", 1).parquet(path)
+    for rows, batches in ((1, 1), (10, 1), (11, 2), (40, 4)):
+        assert ts.read_bounded(stream, rows=rows).count() == 10 * batches
+    assert ts.read_bounded(stream, rows=1000, seconds=6).count() in (10, 20, 30, 40)
+    assert ts.read_bounded(stream, seconds=0).count() in (0, 10)
+    with pytest.raises(ValueError):
+        ts.read_bounded(stream)
+
+
+def test_a_failing_bounded_read_is_raised(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(5).write.parquet(path)
+    broken = spark.readStream.schema("id LONG").parquet(path).select(F.raise_error(F.lit("broken")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="broken"):
+        ts.read_bounded(broken, rows=1, seconds=60)

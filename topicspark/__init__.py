@@ -54,6 +54,7 @@ from topicspark.sources import export, kafka_options, read_topic, write_log
 from topicspark.streaming import (
     duplicates_stream,
     hop,
+    read_bounded,
     run_available_now,
     session,
     start_insert,

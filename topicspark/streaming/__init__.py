@@ -1,11 +1,12 @@
 from topicspark.streaming.duplicates import duplicates_stream
 from topicspark.streaming.latency import step_latency_stream
-from topicspark.streaming.runs import run_available_now, start_insert, start_log_insert, start_refresh
+from topicspark.streaming.runs import read_bounded, run_available_now, start_insert, start_log_insert, start_refresh
 from topicspark.streaming.windows import hop, session, tumble
 
 __all__ = [
     "duplicates_stream",
     "hop",
+    "read_bounded",
     "run_available_now",
     "session",
     "start_insert",

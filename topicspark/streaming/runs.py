@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -94,3 +95,39 @@ def run_available_now(stream: DataFrame, mode: str = "complete", keys: Sequence[
         return last.select("_last.*")
     kept = written if mode == "append" else written[-1:]
     return spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={batch_id}" for batch_id in sorted(set(kept))])
+
+
+def read_bounded(stream: DataFrame, rows: int | None = None, seconds: float | None = None) -> DataFrame:
+    """The first results of a running query: it is stopped after ``rows`` rows or ``seconds``, whichever comes first.
+
+    The cut lies between micro-batches, so it is the same however the query is timed: with ``rows``, the batch that
+    reaches the number is the last, and given whole (``limit`` cuts further).  What a batch had written when the time
+    was up, but not finished, is left out.  A failure of the query is raised.
+    """
+    if rows is None and seconds is None:
+        raise ValueError("a bounded read needs `rows` or `seconds`")
+    spark = stream.sparkSession
+    base = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    finished: list[tuple[str, int]] = []
+
+    def enough() -> bool:
+        return rows is not None and sum(n for _, n in finished) >= rows
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if enough():
+            return
+        folder = f"{base}/out/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        finished.append((folder, batch.sparkSession.read.schema(stream.schema).parquet(folder).count()))
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").start()
+    ends = None if seconds is None else time.monotonic() + seconds
+    try:
+        # Returns early when the query ends by itself, and raises its failure.
+        while not enough() and (ends is None or time.monotonic() < ends) and not query.awaitTermination(0.1):
+            pass
+    finally:
+        query.stop()
+    if not finished:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[folder for folder, _ in finished])
