@@ -173,6 +173,27 @@ def bounded_read_stream(spark, sf_dir):
     return ts.read_bounded(stream, rows=1)
 
 
+@case(
+    "metric_refresh_stream",
+    """SELECT event_type AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total, min(user_id) AS first_user, max(user_id) AS last_user,
+      round(avg(user_id), 6) AS mean_user FROM events GROUP BY event_type""",
+)
+def metric_refresh_stream(spark, sf_dir):
+    """A metric kept up to date over three starts of a stream: each merges the files that came since the last."""
+    base = f"{checkpoint_root(spark)}/metric-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("event_type").alias("kind"))
+    view = ts.MetricView(["kind"], {
+        "n": ("count", None), "total": ("sum", "event_id"), "first_user": ("min", "user_id"), "last_user": ("max", "user_id"),
+        "mean_user": ("avg", "user_id"),
+    })
+    for batch in range(3):
+        events.filter(F.col("event_id") % 3 == batch).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        ts.start_metric(stream, view, f"{base}/state", f"{base}/checkpoint", once=True).awaitTermination()
+    rows = view.read(spark, f"{base}/state")
+    return rows.withColumn("mean_user", F.round("mean_user", 6))
+
+
 @case(
     "tumble_text",
     """SELECT 'web.events.' || event_type AS kind, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS window_start,

@@ -159,3 +159,32 @@ def test_a_failing_bounded_read_is_raised(spark, tmp_path):
     broken = spark.readStream.schema("id LONG").parquet(path).select(F.raise_error(F.lit("broken")).cast("int").alias("x"))
     with pytest.raises(Exception, match="broken"):
         ts.read_bounded(broken, rows=1, seconds=60)
+
+
+def test_a_metric_view_merges_each_batch_once(spark, tmp_path):
+    path, state, checkpoint = (str(tmp_path / name) for name in ("in", "state", "checkpoint"))
+    view = ts.MetricView(["k"], {"n": ("count", None), "v": ("count", "v"), "s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "m": ("avg", "v")})
+    assert view.read(spark, state) is None
+    draw, rows = random.Random(6), []
+    for size in (20, 1, 30):
+        new = [(draw.choice(["a", "b", None]), draw.choice([None, 1.0, 2.5, -4.0])) for _ in range(size)]
+        rows += new
+        spark.createDataFrame(new, "k STRING, v DOUBLE").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("k STRING, v DOUBLE").parquet(path)
+        for _ in range(2):  # the second start finds nothing new
+            ts.start_metric(stream, view, state, checkpoint, once=True).awaitTermination()
+        whole = spark.createDataFrame(rows, "k STRING, v DOUBLE")
+        want = whole.groupBy("k").agg(F.count("*"), F.count("v"), F.sum("v"), F.min("v"), F.max("v"), F.avg("v"))
+        assert rows_of(view.read(spark, state)) == rows_of(want)
+    # A batch that is run again after a failure starts from the state of the one before.
+    again = spark.createDataFrame(rows[-30:], "k STRING, v DOUBLE")
+    view.refresh(again, 2, state)
+    view.refresh(again, 2, state)
+    assert rows_of(view.read(spark, state)) == rows_of(want)
+    assert spark.read.parquet(state).count() <= 6
+
+
+def test_what_cannot_be_merged_is_refused():
+    for agg in (("median", "v"), ("sum", None)):
+        with pytest.raises(ValueError):
+            ts.MetricView([], {"x": agg})

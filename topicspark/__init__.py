@@ -52,6 +52,7 @@ from topicspark.operators import (
 from topicspark.plans import dashboard, register_functions, run_sql, run_template, topic_detail
 from topicspark.sources import export, kafka_options, read_topic, write_log
 from topicspark.streaming import (
+    MetricView,
     duplicates_stream,
     hop,
     read_bounded,
@@ -59,6 +60,7 @@ from topicspark.streaming import (
     session,
     start_insert,
     start_log_insert,
+    start_metric,
     start_refresh,
     step_latency_stream,
     tumble,
