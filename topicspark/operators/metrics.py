@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicspark.plans.sql import run_sql
 from topicspark.model import HISTORY_CAP, METRICS_CONFIG_TOPIC
+from topicspark.operators.metric_scan import PlainMetric, numbered, plain_metric, scan_metrics
+from topicspark.operators.shared import checkpointed
+from topicspark.plans.sql import run_sql
 
 # What a query can do wrong; anything else is not the metric's fault.
 QUERY_ERRORS = (
@@ -180,23 +182,76 @@ def refresh_metrics(
 ) -> DataFrame:
     """Evaluate every metric of a registry once: (id, seq, metric_value, labels, error, refreshed_at).
 
-    Query texts are needed on the driver to be planned.  A query that is wrong, or fails on its data, gives its metric an error row without touching the others; a failure of
-    the platform is raised.
+    Query texts are needed on the driver to be planned; results stay with the executors.  Metrics that are one
+    aggregate of a frame under a condition (``plain_metric``) share one scan of it; others run one by one.  A query
+    that is wrong, or fails on its data, gives its metric an error row without touching the others: a scan that fails
+    is done again for either half of its metrics.  A failure of the platform is raised.
     """
-    rows = []
+    plain: dict[str, list[PlainMetric]] = {}
+    parts: list[DataFrame] = []
+    # One row per metric that has none of its own.
+    told: list[tuple] = []
+
+    def failed(id_: str, error: Exception) -> None:
+        told.append((id_, 0, None, None, str(error).split("\n", 1)[0], as_of))
+
+    def alone(id_: str, sql: str) -> None:
+        try:
+            rows = checkpointed(eval_metric(spark, sql, max_rows, **frames))
+            if rows.isEmpty() and _is_empty(spark, sql, frames):
+                told.append((id_, 0, None, None, NO_ROWS, as_of))
+            else:
+                parts.append(rows.select(F.lit(id_).cast("string").alias("id"), "seq", "metric_value", "labels"))
+        except (*QUERY_ERRORS, ValueError) as error:
+            failed(id_, error)
+
+    def together(frame: DataFrame, metrics: list[PlainMetric]) -> None:
+        if len(metrics) == 1:
+            alone(metrics[0].id, metrics[0].sql)
+            return
+        try:
+            rows = numbered(scan_metrics(frame, metrics))
+            seen = {row["id"] for row in rows.select("id").distinct().collect()}
+        except QUERY_ERRORS:
+            together(frame, metrics[: len(metrics) // 2])
+            together(frame, metrics[len(metrics) // 2 :])
+            return
+        parts.append((rows if max_rows is None else rows.filter(F.col("seq") < max_rows)).filter("metric_value IS NOT NULL"))
+        for metric in metrics:
+            if metric.id in seen:
+                continue
+            if metric.grouped:
+                told.append((metric.id, 0, None, None, NO_ROWS, as_of))
+            elif metric.kind == "count":
+                # Several groupings of an empty frame have no row, a count alone has one.
+                told.append((metric.id, 0, 0.0, {name: text for name, _, text in metric.labels}, None, as_of))
+
+    ids = set()
     for metric in registry.select("id", "sql").toLocalIterator():
+        id_, sql = metric["id"], metric["sql"]
         try:
-            result = eval_metric(spark, metric["sql"], max_rows, **frames).collect()
-            found = [(metric["id"], r["seq"], r["metric_value"], r["labels"], None, as_of) for r in result]
-            if not found and _is_empty(spark, metric["sql"], frames):
-                found = [(metric["id"], 0, None, None, NO_ROWS, as_of)]
-            rows += found
+            schema = run_sql(spark, sql, None, **frames).schema
         except (*QUERY_ERRORS, ValueError) as error:
-            rows.append((metric["id"], 0, None, None, str(error).split("\n", 1)[0], as_of))
+            failed(id_, error)
+            continue
+        # Rows of a shared scan are told apart by the metric's ID.
+        found = None if id_ is None or id_ in ids else plain_metric(id_, sql, frames, schema)
+        if found is None:
+            alone(id_, sql)
+        else:
+            ids.add(id_)
+            plain.setdefault(found.frame, []).append(found)
+    for name, metrics in plain.items():
+        together(frames[name], metrics)
+
     schema = (
         "id STRING, seq BIGINT, metric_value DOUBLE, labels MAP<STRING,STRING>, error STRING, refreshed_at TIMESTAMP"
     )
-    return spark.createDataFrame(rows, schema)
+    rows = spark.createDataFrame(told, schema)
+    for part in parts:
+        valued = part.withColumn("error", F.lit(None).cast("string")).withColumn("refreshed_at", F.lit(as_of))
+        rows = rows.unionByName(valued.select(*rows.columns))
+    return rows
 
 
 def _is_empty(spark: SparkSession, sql: str, frames: Mapping[str, DataFrame]) -> bool:
