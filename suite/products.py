@@ -694,6 +694,36 @@ def metric_refresh(spark, sf_dir):
     return values.select("id", "metric_value", F.col("error").isNotNull().alias("failed"))
 
 
+SHARED = {
+    "events": "SELECT COUNT(*) AS metric_value FROM {events}",
+    "users_sum": "SELECT SUM(user_id) AS metric_value, 'click' AS kind FROM {events} WHERE event_type = 'click'",
+    "by_kind": "SELECT event_type, COUNT(*) AS metric_value FROM {events} GROUP BY event_type",
+    "mean_by_kind": "SELECT AVG(value) AS metric_value, event_type AS kind FROM {events} WHERE value > 50 GROUP BY event_type",
+    "by_user": "SELECT MAX(event_id) AS metric_value, user_id FROM {events} WHERE user_id < 50 AND event_type <> 'view' GROUP BY user_id",
+}
+
+
+@case(
+    "metric_shared_scan",
+    """WITH told AS (
+      SELECT 'events' AS id, CAST(count(*) AS DOUBLE) AS v, '' AS labels FROM events
+      UNION ALL SELECT 'users_sum', CAST(sum(user_id) AS DOUBLE), 'kind=click' FROM events WHERE event_type = 'click'
+      UNION ALL SELECT 'by_kind', CAST(count(*) AS DOUBLE), 'event_type=' || event_type FROM events GROUP BY event_type
+      UNION ALL SELECT 'mean_by_kind', round(avg(value), 6), 'kind=' || event_type FROM events WHERE value > 50 GROUP BY event_type
+      UNION ALL SELECT 'by_user', CAST(max(event_id) AS DOUBLE), 'user_id=' || user_id FROM events
+        WHERE user_id < 50 AND event_type <> 'view' GROUP BY user_id)
+    SELECT id, v AS metric_value, labels FROM told WHERE v IS NOT NULL""",
+)
+def metric_shared_scan(spark, sf_dir):
+    """Five metrics with three groupings, from one scan of their table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    registry = spark.createDataFrame(list(SHARED.items()), "id STRING, sql STRING")
+    values = ts.refresh_metrics(spark, registry, {"events": events}, datetime(2024, 1, 31, tzinfo=timezone.utc))
+    pairs = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    value = F.when(F.col("id") == "mean_by_kind", F.round("metric_value", 6)).otherwise(F.col("metric_value"))
+    return values.filter("error IS NULL").select("id", value.alias("metric_value"), F.array_join(pairs, ",").alias("labels"))
+
+
 @case(
     "metric_status",
     """SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'red' WHEN c_custkey % 7 = 0 THEN 'unknown'
