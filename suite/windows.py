@@ -194,6 +194,36 @@ def metric_refresh_stream(spark, sf_dir):
     return rows.withColumn("mean_user", F.round("mean_user", 6))
 
 
+@case(
+    "join_reference_stream",
+    """SELECT o_orderkey AS id, c_custkey AS customer_id,
+      CASE WHEN c_custkey % 2 = 0 AND o_orderdate >= TIMESTAMP '1995-06-01' THEN 'moved ' || c_mktsegment ELSE c_mktsegment END AS segment
+    FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def join_reference_stream(spark, sf_dir):
+    """Orders as a stream, joined with the customers as they were: half of them change between two starts, and the
+    second start reads orders from before and after that change."""
+    base = f"{checkpoint_root(spark)}/reference-{uuid.uuid4().hex}"
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    segment = F.col("c_mktsegment")
+    for since, moved, chosen in (("1970-01-01", segment, F.lit(True)), ("1995-06-01", F.concat(F.lit("moved "), segment), F.col("c_custkey") % 2 == 0)):
+        changes = customers.filter(chosen).select(
+            F.col("c_custkey").alias("customer_id"), F.lit(since).cast("timestamp").alias("since"), moved.alias("segment")
+        )
+        changes.write.mode("append").parquet(f"{base}/changes")
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").cast("timestamp").alias("at")
+        )
+        early = (F.col("at") < F.lit("1995-01-01").cast("timestamp")) & (F.col("id") % 2 == 0)
+        orders.filter(early if since == "1970-01-01" else ~early).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(orders.schema).parquet(f"{base}/in")
+        ts.start_reference_join(
+            stream, lambda session: session.read.parquet(f"{base}/changes"), "customer_id", "at", "since",
+            f"{base}/out", f"{base}/checkpoint", once=True,
+        ).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("id", "customer_id", F.col("reference.segment").alias("segment"))
+
+
 @case(
     "tumble_text",
     """SELECT 'web.events.' || event_type AS kind, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS window_start,

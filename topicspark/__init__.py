@@ -18,6 +18,7 @@ from topicspark.operators import (
     flow_steps,
     head_sample,
     infer_schema,
+    join_as_of,
     latest_by_key,
     lineage_edges,
     lineage_nodes,
@@ -61,6 +62,7 @@ from topicspark.streaming import (
     start_insert,
     start_log_insert,
     start_metric,
+    start_reference_join,
     start_refresh,
     step_latency_stream,
     tumble,

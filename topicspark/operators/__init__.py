@@ -16,6 +16,7 @@ from topicspark.operators.compare import (
     schema_mismatch,
     throughput,
 )
+from topicspark.operators.enrich import join_as_of, valid_spans
 from topicspark.operators.flows import flow_audit, flow_steps, step_latency
 from topicspark.operators.lineage import lineage_edges, lineage_nodes
 from topicspark.operators.metrics import (
