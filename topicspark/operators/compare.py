@@ -16,10 +16,19 @@ _FLAT = (
 )
 
 
+# Bytes of a digest.
+_DIGEST = 16
+
+
 def _is_flat(kind: T.DataType) -> bool:
     return isinstance(kind, _FLAT) or kind == T.StringType()
 
 
+def _width(kind: T.DataType) -> int:
+    """Bytes that a value takes at most, beyond a digest's where it has no bound."""
+    return _DIGEST if isinstance(kind, T.DecimalType) else _DIGEST + 1 if isinstance(kind, T.StringType | T.BinaryType) else 8
+
+
 def _shared(a: DataFrame, b: DataFrame, id_col: str, cols: Sequence[str] | None) -> list[str]:
     return list(cols) if cols is not None else [name for name in a.columns if name in b.columns and name != id_col]
 
@@ -33,8 +42,10 @@ def _tagged(a: DataFrame, b: DataFrame, columns: Sequence[str | Column]) -> Data
 
 
 def _digest(frame: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """128 bits that stand for the columns' values, nulls included, or the values where a column is nested."""
-    if not all(_is_flat(frame.schema[name].dataType) for name in columns):
+    """128 bits that stand for the columns' values, nulls included, or the values where a column is nested or all of
+    them together are no longer."""
+    kinds = [frame.schema[name].dataType for name in columns]
+    if not all(map(_is_flat, kinds)) or sum(map(_width, kinds)) <= _DIGEST:
         return [F.struct(*[F.col(f"`{name}`") for name in columns]).alias("content")]
     marked: list[Column] = []
     for name in columns:
@@ -85,7 +96,8 @@ def compare_topics(
     compared column called ``id``, ``status``, ``messages_a`` or ``messages_b`` comes as ``id_value`` and so on.
 
     With ``diff_only`` IDs are first compared by 128-bit digests of their messages, and contents are read, shuffled
-    and compared for the IDs that differ alone.  Nested columns are compared by content from the start.
+    and compared for the IDs that differ alone.  Nested columns, and contents no longer than a digest, are compared
+    as they are from the start.
     """
     columns = _shared(a, b, id_col, cols)
     if diff_only and columns:
@@ -170,7 +182,7 @@ def compare_summary(
     """One row: differing messages by kind, columns that differ, and count and rate of each side.
 
     ``time_col`` is the event time on both sides; without it there are no rates.  Either side is read once, and IDs,
-    128-bit digests and times are all that is shuffled (contents only where a compared column is nested).
+    128-bit digests and times are all that is shuffled (contents where a compared column is nested or all are short).
     """
     columns = _shared(a, b, id_col, cols)
     wide_a, wide_b = _widened(a, b, id_col, columns)
