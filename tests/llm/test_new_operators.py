@@ -129,6 +129,30 @@ def test_divergence_against_plain_version(spark, slice_terms, task_sources, held
     assert sorted(tuple(r) for r in found.collect()) == plain_divergence(rows, 10)
 
 
+def test_divergence_counts_a_document_of_several_rows_once(spark):
+    texts = ["both rare", "both twice twice", "both more"]
+    rows = [(1, "once both", "en", "a"), (1, "once", "en", "b"), (2, "both", "en", "b"), (2, "both", "en", "b")]
+    rows += [(i, texts[i % 3], "en", "ab"[i % 2]) for i in range(3, 9)]
+    rows += [(3, "once", "fr", "a"), (4, "once", "fr", "a"), (None, "none", "en", "a"), (None, "none", "en", "b")]
+    found = divergence.source_divergence(frame(spark, rows), least=2, document="doc_id")
+    # As if no text beyond the first of a document held the words, but for their number.
+    kept = {"en": ["both", "more", "rare", "twice"], "fr": ["once"]}
+    assert {(r["lang"], r["item"]) for r in found.filter("part = 'term'").collect()} <= {(g, t) for g in kept for t in kept[g]}
+    n = {s: Counter(w for _, t, g, o in rows if g == "en" and o == s for w in t.split() if w in kept["en"]) for s in "ab"}
+    p = {s: {t: 1 + 10**9 * (n[s][t] + 2) // (sum(n[s].values()) + 8) for t in kept["en"]} for s in "ab"}
+    gap = sum((p["a"][t] - p["b"][t]) ** 2 // (p["a"][t] + p["b"][t]) for t in kept["en"])
+    assert {r["value"] for r in found.filter("part = 'pair'").collect()} == {gap}
+
+
+def test_a_pair_has_one_name_in_every_slice():
+    import pyarrow as pa
+
+    cells = pa.array([[{"id": 1, "n": 3}], [{"id": 2, "n": 5}]], pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())])))
+    rows = pa.table({"source": ["x", "y"], "block": [0, 0], "total": [3, 5], "vocabulary": [2, 2], "terms": [2, 2], "cells": cells})
+    keys = tuple(pa.scalar(k) for k in ("en", 0, 0, 0))
+    assert divergence._pair_task(keys, rows).equals(divergence._pair_task(keys, rows.take([1, 0])))
+
+
 def test_divergence_of_nothing(spark):
     out = divergence.source_divergence(frame(spark, []))
     assert out.columns == ["lang", "source", "part", "item", "value", "rank"] and out.count() == 0

@@ -138,6 +138,7 @@ def _pair_task(keys: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         (low_side if block == low else high_side).append((source, group, terms))
     out = []
     if low == high:
+        low_side.sort(key=lambda x: x[0])  # rows come in any order, and each slice must name a pair alike
         pairs = ((x, y) for i, x in enumerate(low_side) for y in low_side[i + 1 :])
     else:
         pairs = ((x, y) for x in low_side for y in high_side)
@@ -156,9 +157,29 @@ def term_counts(docs: DataFrame, held: int = HELD_TERMS) -> DataFrame:
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+def _repeated(docs: DataFrame, document: str, held: int) -> DataFrame | None:
+    """(lang, term, n = 0, docs): minus the rows beyond the first of each document that holds the term, or None.
+
+    Only rows whose document has several rows in a language are read again; a row without a document counts for none.
+    """
+    lang, named = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(document).cast("string").alias("_document")
+    again = docs.groupBy(lang, named).agg(F.count("*").alias("_rows")).filter("_rows > 1 OR _document IS NULL")
+    again = stored(again.select("lang", "_document"), "term-documents")
+    if again.limit(1).count() == 0:
+        return None
+    rows = docs.select(lang, named, "text")
+    known = rows.join(again.filter("_document IS NOT NULL"), ["lang", "_document"], "left_semi")
+    rows = known.unionByName(rows.filter("_document IS NULL"))
+    # The document takes the source's place; nothing but a missing one is empty.
+    counts = term_counts(rows.withColumn("source", F.concat(F.lit("="), "_document")), held).filter("term IS NOT NULL")
+    beyond = F.col("docs") - F.when(F.col("source") == "", 0).otherwise(1)
+    minus = counts.select("lang", "term", beyond.alias("docs")).groupBy("lang", "term").agg((-F.sum("docs")).alias("docs"))
+    return minus.select("lang", "term", F.lit(0).cast("long").alias("n"), "docs")
+
+
 def source_divergence(
     docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, slice_terms: int = SLICE_TERMS,
-    task_sources: int = TASK_SOURCES, held: int = HELD_TERMS,
+    task_sources: int = TASK_SOURCES, held: int = HELD_TERMS, document: str | None = None,
 ) -> DataFrame:
     """``lang``, ``source``, ``part``, ``item``, ``value`` and ``rank`` over the columns lang, source and text.
 
@@ -173,12 +194,16 @@ def source_divergence(
     sent once per block of sources.  Only whole numbers are used; totals may reach 2**53.
 
     Null lang, source and text count as empty, and the empty group is a group.  A source without kept terms is priced
-    like any other.  Each row is a document, repeated rows and rows that share an id too.  Without kept terms all pairs
-    of a language have value 0.  Ties of a rank go by the item's bytes.  An empty table gives an empty result.
+    like any other.  Each row is a document, repeated rows and rows that share an id too; with ``document``, a column of
+    ids, rows of one id are one document to the ``least`` ones that a kept term is in, and a null id is none.  Their
+    words count row by row all the same.  Without kept terms all pairs of a language have value 0.  Ties of a rank go
+    by the item's bytes.  An empty table gives an empty result.
     """
     counts = stored(term_counts(docs, held), "term-counts")
     groups = counts.filter("term IS NULL").select("lang", "source")
-    vocabulary = counts.filter("term IS NOT NULL").groupBy("lang", "term")
+    occurring = counts.filter("term IS NOT NULL").select("lang", "term", "n", "docs")
+    repeated = None if document is None else _repeated(docs, document, held)
+    vocabulary = (occurring if repeated is None else occurring.unionByName(repeated)).groupBy("lang", "term")
     vocabulary = vocabulary.agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
     vocabulary = stored(vocabulary.drop("docs"), "term-vocabulary")
     slices = max(1, -(-vocabulary.count() // slice_terms))

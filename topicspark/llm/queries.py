@@ -319,7 +319,7 @@ def op11_range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @case("op12_source_divergence", _DIVERGENCE_SQL)
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+    return divergence.source_divergence(read(spark, sf_dir, "documents"), document="doc_id")
 
 
 @case("op13_spelling_forms", _FORMS_SQL)
