@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from topicspark.functions import json_field, value_format
 from topicspark.functions.xml_values import xml_outline
-from topicspark.operators.shared import checkpointed
+from topicspark.operators.shared import checkpointed, join_by_topic
 
 # Types of a column as bits, so that a group's types are one number.
 _TYPES = {"BOOLEAN": 1, "BIGINT": 2, "DOUBLE": 4, "STRING": 8}
 # Names of key columns, in lower case; without one of them the first column is the key.
 KEY_NAMES = ("id", "order_id")
+_WIDE_INTEGER = r"^DECIMAL\((19|[23]\d),0\)$"
 _OFFSETS, _PLACES = "10000000000000000000", "1000000"
 
 
@@ -35,7 +36,7 @@ def json_type(kind: Column) -> Column:
 
     A variant keeps ``10.0`` as a decimal without fraction digits; only integers wider than 18 digits stay text.
     """
-    wide_integer = kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
+    wide_integer = kind.rlike(_WIDE_INTEGER)
     return (
         F.when(kind == "BIGINT", F.lit("BIGINT"))
         .when((kind == "DOUBLE") | (kind.startswith("DECIMAL") & ~wide_integer), F.lit("DOUBLE"))
@@ -45,10 +46,10 @@ def json_type(kind: Column) -> Column:
 
 
 def _bit(kind: Column) -> Column:
-    out = F.lit(0)
-    for name, bit in _TYPES.items():
-        out = F.when(kind == name, bit).otherwise(out)
-    return out.cast("int")
+    """The bit of a JSON value's column type, in one look at each kind."""
+    number = (kind == "DOUBLE") | (kind.startswith("DECIMAL") & ~kind.rlike(_WIDE_INTEGER))
+    bit = F.when(kind == "BIGINT", _TYPES["BIGINT"]).when(number, _TYPES["DOUBLE"]).when(kind == "BOOLEAN", _TYPES["BOOLEAN"])
+    return bit.otherwise(_TYPES["STRING"]).cast("int")
 
 
 def _fields(log: DataFrame, keys: bool, moments: bool) -> DataFrame:
@@ -84,7 +85,7 @@ def _fields(log: DataFrame, keys: bool, moments: bool) -> DataFrame:
     is_key = F.col("column").isNotNull() & ~is_xml & (F.lower("column").isin(*KEY_NAMES) | beginning)
     fields = fields.withColumn("candidate", is_key if keys else F.lit(False))
     key_text = F.when(F.col("candidate"), json_field(value, F.col("column"), KEY_NAMES))
-    return fields.withColumn("key_text", key_text).withColumn("types", _bit(json_type(F.col("kind"))))
+    return fields.withColumn("key_text", key_text).withColumn("types", _bit(F.col("kind")))
 
 
 def scan_values(log: DataFrame, keys: bool = True, moments: bool = False) -> DataFrame:
@@ -145,8 +146,10 @@ def merged_columns(partial: DataFrame, formats: DataFrame) -> DataFrame:
 def candidate_tallies(partial: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tallies (topic, key_text, messages[, at_ms]) of each topic's key column, and the topics for which they are
     not whole: a first column that some value has elsewhere, or beside a key's name."""
-    key = keys.filter("key_field IS NOT NULL").select("topic", F.col("key_field").alias("column"), "key_type")
-    rows = partial.filter("own = 'JSON' AND column IS NOT NULL").join(key, ["topic", "column"])
+    key = keys.filter("key_field IS NOT NULL").select("topic", "key_field", "key_type")
+    rows = partial.filter("own = 'JSON' AND column IS NOT NULL")
+    # A topic's key column has nearly all rows of the topic: they stay where they are.
+    rows = join_by_topic(rows, key, stored=True, spread=F.col("key_text")).filter("column = key_field").drop("key_field")
     partly = rows.groupBy("topic").agg(F.bool_and("candidate").alias("whole")).filter("NOT whole").select("topic")
     moment = [c for c in ("at_ms",) if c in partial.columns]
     told = rows.filter("key_text IS NOT NULL").select("topic", "key_type", "key_text", *moment, F.col("n").alias("messages"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 SALTS = 64
 BUCKET_MS = 3_600_000
+TASK_ROWS = 400_000  # rows that a task sorts where their number is known
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -37,17 +38,31 @@ def salt() -> Column:
     return F.pmod(F.xxhash64("partition", F.expr("offset div 65536")), F.lit(SALTS)).cast("int")
 
 
-def join_by_topic(log: DataFrame, per_topic: DataFrame, how: str = "inner", stored: bool = False) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of about ``rows`` rows in tasks of about ``TASK_ROWS``, by ``keys``.
+
+    Re-planning joins partitions by their bytes in the shuffle; those of short numbers and repeated texts grow many times
+    when they are sorted.  So the number of tasks follows the rows instead.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(tasks, *keys)
+
+
+def join_by_topic(
+    log: DataFrame, per_topic: DataFrame, how: str = "inner", stored: bool = False, spread: Column | None = None
+) -> DataFrame:
     """Add the columns of a frame with one row per topic, ``stored`` if it is checkpointed already.
 
     Up to ``BROADCAST_ROWS`` topics the small side is broadcast and the log is not shuffled.  Beyond that the small
-    side is repeated once per salt, and the log is spread over (topic, salt), so that no topic fills one task.
+    side is repeated once per salt, and the log is spread over (topic, salt), so that no topic fills one task;
+    rows that are no records name what to ``spread`` them by.
     """
     facts = per_topic if stored else checkpointed(per_topic)
     if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return log.join(F.broadcast(facts), "topic", how)
+    by = salt() if spread is None else F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return log.withColumn("_salt", salt()).join(spread, ["topic", "_salt"], how).drop("_salt")
+    return log.withColumn("_salt", by).join(spread, ["topic", "_salt"], how).drop("_salt")
 
 
 def _from_edge(log: DataFrame, block: Column, newest: bool, n: int) -> DataFrame:
