@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 import topicspark as ts
 from tests.conftest import rows_of
+from topicspark.operators import profile, shared
 
 HOUR = 3_600_000
 
@@ -138,6 +140,46 @@ def test_latency_equals_the_mean_over_all_pairs(make_log, seed):
     assert {r["topic"]: r["avg_latency_ms"] for r in got} == {"f.g.1": None, **wanted}
 
 
+def _plan(df, capsys):
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_latency_sorts_no_more_rows_in_a_task_on_larger_logs(spark, make_log, monkeypatch, capsys):
+    rows = [(t, 0, i, at + i, str(i % 50), "{}") for t, at in (("s.f.1", 0), ("s.f.2", 7)) for i in range(100)]
+    log = make_log(rows)
+    steps = ts.flow_steps(ts.exact_counts(log))
+    plain = sorted(ts.step_latency(log, steps, key="key").collect())
+    monkeypatch.setattr(shared, "TASK_ROWS", 40)
+    found = ts.step_latency(log, steps, key="key")
+    # 200 moments, each of them of two steps: 10 tasks, whatever re-planning thinks of their bytes.
+    assert len(re.findall(r"hashpartitioning\(.*, 10\), REPARTITION_BY_NUM", _plan(found, capsys))) == 2
+    assert sorted(found.collect()) == plain and plain[1]["avg_latency_ms"] is not None
+
+
+def test_a_topics_key_texts_stay_where_they_are(make_log, monkeypatch, capsys):
+    log = make_log([("p", 0, i, i, None, f'{{"id": {i % 7}, "v": 1}}') for i in range(30)])
+    partial = ts.scan_values(log)
+    keys = shared.checkpointed(log.select("topic", F.lit("id").alias("key_field"), F.lit("BIGINT").alias("key_type")).distinct())
+    told, _ = profile.candidate_tallies(partial, keys)
+    plan = _plan(told, capsys)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    # Beyond that many topics the rows are dealt by the texts too.
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    spread, _ = profile.candidate_tallies(partial, keys)
+    assert sorted(spread.collect()) == sorted(told.collect()) and told.count() == 7
+
+
+def test_flows_and_audit_from_one_scan(make_log):
+    rows = [(f"s.f.{t}", 0, i, 10 * i + t, None, f'{{"id": {i % 9}, "v": 1}}') for t in (1, 2, 3) for i in range(40)]
+    log = make_log(rows)
+    parts = ts.scan_values(log, moments=True)
+    unread = log.withColumn("value", F.raise_error(F.lit("the values are read")).cast("string"))
+    audit = ts.topic_audit(unread, parts=parts)
+    assert sorted(audit.collect()) == sorted(ts.topic_audit(log).collect())
+    assert sorted(ts.flow_audit(unread, audit=audit, parts=parts).collect()) == sorted(ts.flow_audit(log).collect())
+
+
 def test_latency_of_one_key_with_very_many_pairs(spark):
     n = 200_000
     ids = spark.range(n).select(F.col("id").alias("offset"))

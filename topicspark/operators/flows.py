@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicspark.operators.audit import ValueScan, audit_topics, key_tallies, with_key_value
 from topicspark.operators.scans import topic_stats
 from topicspark.operators.schema import topic_profile
-from topicspark.operators.shared import BUCKET_MS, checkpointed, join_by_topic
+from topicspark.operators.shared import BUCKET_MS, checkpointed, dealt, join_by_topic
 
 
 def _steps(topics: DataFrame) -> DataFrame:
@@ -52,14 +52,15 @@ def _wide(col: Column) -> Column:
     return col.cast("decimal(38,0)")
 
 
-def _pair_latency(moments: DataFrame) -> DataFrame:
+def _pair_latency(moments: DataFrame, rows: int) -> DataFrame:
     """Mean delay over all pairs (earlier record of the step before, later record of the step) with the same key.
 
-    ``moments`` is (flow, ordinal, last, key_value, at_ms, messages), one row per distinct moment of a step's key.
+    ``moments``, about ``rows`` of them, is (flow, ordinal, last, key_value, at_ms, messages), one row per distinct moment of a step's key.
     The pairs of a key are never formed: the sum of the differences to all earlier records follows from how many
     there are and from the sum of their times.  A key's time line is cut into buckets; a bucket adds the pairs inside
     it and, with the running totals of the buckets before it, the pairs that cross into it.  So a task holds one
-    bucket of one key, at most as many rows as the bucket has milliseconds, and then a key's buckets.
+    bucket of one key, at most as many rows as the bucket has milliseconds, and then a key's buckets; tasks of many
+    small ones get about as many rows whatever the input is.
     """
     none = F.lit(0).cast("bigint")
     step = ["flow", "ordinal"]
@@ -72,6 +73,7 @@ def _pair_latency(moments: DataFrame) -> DataFrame:
         target.withColumnRenamed("messages", "after").select(*columns)
     )
     ticks = roles.withColumn("bucket", F.expr(f"at_ms div {BUCKET_MS}")).withColumn("tick", F.expr(f"at_ms % {BUCKET_MS}"))
+    ticks = dealt(ticks, 2 * rows, *line, "bucket")
     before, after, tick, bucket, n = (F.col(name) for name in ("before", "after", "tick", "bucket", "n"))
 
     earlier = Window.partitionBy(*line, "bucket").orderBy("tick").rangeBetween(Window.unboundedPreceding, -1)
@@ -90,7 +92,7 @@ def _pair_latency(moments: DataFrame) -> DataFrame:
         F.sum(F.when(meets, _wide(after) * _wide(n * tick - F.col("ticks")))).alias("delay"),
     )
     past = Window.partitionBy(*line).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = inside.withColumn("before_buckets", before * bucket).select(
+    crossing = dealt(inside, 2 * rows, *line).withColumn("before_buckets", before * bucket).select(
         "*",
         F.coalesce(F.sum("before").over(past), none).alias("n"),
         F.coalesce(F.sum("before_ticks").over(past), none).alias("ticks"),
@@ -116,11 +118,11 @@ def _pair_latency(moments: DataFrame) -> DataFrame:
 
 
 def _latency_of(tallies: DataFrame, steps: DataFrame) -> DataFrame:
-    """Latency of each step from (topic, key_value, at_ms, messages); null for first steps and unmatched ones."""
+    """Latency of each step from stored (topic, key_value, at_ms, messages); null for first steps and unmatched ones."""
     steps = steps.select("flow", "ordinal", "topic")
     last = F.col("ordinal") == F.max("ordinal").over(Window.partitionBy("flow"))
     moments = join_by_topic(tallies.filter("key_value IS NOT NULL"), steps.withColumn("last", last))
-    return steps.join(_pair_latency(moments), ["flow", "ordinal"], "left")
+    return steps.join(_pair_latency(moments, tallies.count()), ["flow", "ordinal"], "left")
 
 
 def step_latency(log: DataFrame, steps: DataFrame, key: str | None = None, keys: DataFrame | None = None) -> DataFrame:
@@ -135,22 +137,22 @@ def step_latency(log: DataFrame, steps: DataFrame, key: str | None = None, keys:
     else:
         keyed = with_key_value(log, topic_profile(log) if keys is None else keys).withColumn("at_ms", at_ms)
     moments = keyed.groupBy("topic", "key_value", "at_ms").agg(F.count("*").alias("messages"))
-    return _latency_of(moments, steps)
+    return _latency_of(checkpointed(moments), steps)
 
 
 def flow_audit(
     log: DataFrame, n: int | None = None, skip_empty: bool = False, audit: DataFrame | None = None,
-    catalog: DataFrame | None = None,
+    catalog: DataFrame | None = None, parts: DataFrame | None = None,
 ) -> DataFrame:
     """Every flow's steps with counts, throughput, loss, latency and the flow's health.
 
     ``catalog`` (topic, messages) is the broker's list of topics: with it a step that has no message is a step too,
     unless ``skip_empty``.  The keys are read from the values once; their tallies are stored, and feed the counts and
-    the latencies.
+    the latencies.  With ``parts``, the stored results of ``scan_values`` with moments, the values are not read at all.
     """
     sizes = checkpointed(topic_stats(log) if catalog is None else catalog.select("topic", "messages"))
     if n is None:
-        scan = ValueScan(log, sizes, moments=True)
+        scan = ValueScan(log, sizes, moments=True, partial=parts)
         profile, tallies, poison = scan.profile, scan.tallies, scan.poison
     else:
         profile, poison = topic_profile(log, n, topics=sizes), None
