@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import topicspark as ts
 from suite.registry import STEPS, WEB, case, log_cte, ms
 from suite.scans import COLUMNS, FORMATS, SIZES, _typed
-from topicspark.operators.shared import checkpoint_root
+from topicspark.operators.shared import checkpoint_root, checkpointed
 from topicspark.sources.tables import table_log
 
 COUNTS = ", counts AS (SELECT topic, count(*) AS message_count FROM log GROUP BY topic)"
@@ -184,9 +184,12 @@ def flow_audit(spark, sf_dir):
       FROM repeats JOIN poison USING (topic)""",
 )
 def audit_report(spark, sf_dir):
+    # The audit, its flows and the report share the sizes, one scan of the values, and the audit's rows.
     log = table_log(spark, sf_dir)
-    audit = ts.topic_audit(log)
-    report = ts.audit_report(audit, ts.flow_audit(log, audit=audit), "audit-1", ts.topic_stats(log))
+    sizes = checkpointed(ts.topic_stats(log))
+    parts = ts.scan_values(log, moments=True)
+    audit = checkpointed(ts.topic_audit(log, catalog=sizes, parts=parts))
+    report = ts.audit_report(audit, ts.flow_audit(log, audit=audit, catalog=sizes, parts=parts), "audit-1", sizes)
     zero = F.lit(0).cast("bigint")
 
     def total(items, value):
