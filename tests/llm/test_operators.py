@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import string
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -235,6 +236,45 @@ def test_word_encoder_is_the_tokenizer():
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_new_words_go_to_the_library_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def encode(self, *args, **options):
+            self.calls += 1
+            return self.inner.encode(*args, **options)
+
+        def encode_batch_fast(self, *args, **options):
+            self.calls += 1
+            return self.inner.encode_batch_fast(*args, **options)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), token_files.WordEncoder(path, cached=500)
+    encoder.tokenizer, encoder.speller = Counted(encoder.tokenizer), Counted(encoder.speller)
+    draw = random.Random(5)
+    pool = ["un", "ER", "ing", "é", "ß", "Σ", "İ", "e\u0301", "ǅ", "한", "一", "'s", "'", "7", "_", "-"]
+    ends = ["", "", "", ".", ",", "!?", '"', "***", "')", "_", "'", "…"]
+    word = lambda: "".join(draw.choice(pool[:5] if draw.random() < 0.9 else pool) for _ in range(draw.randint(1, 9)))
+    texts = [" ".join(word() + draw.choice(ends) for _ in range(40)) for _ in range(200)]
+    texts += ["", " ", "." * 100, "a" * 300 + "." * 300, "x\x1cy", "... ... ."]
+    monkeypatch.setattr(token_files, "TOGETHER", 20_000)
+    groups = len([*token_files._together(texts)])
+    assert 1 < groups < 20
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all(texts)]
+    assert got == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    # One call for letters and one for the rest per group, one per sort of ending marks and per text cut elsewhere.
+    marks = {word[len(word.rstrip(string.punctuation)) :] for text in texts for word in text.split()}
+    assert encoder.speller.calls <= groups and encoder.tokenizer.calls <= groups + len(marks) + 1
+    assert groups + len(marks) < 60
+    assert max(map(len, [*encoder.words, *encoder.ends])) <= token_files.LONG
+    before = encoder.speller.calls + encoder.tokenizer.calls
+    encoder.encode_all(["the new words " * 50])
+    assert len(encoder.words) < 500 and encoder.speller.calls + encoder.tokenizer.calls <= before + 2
+
+
 # -- repeated passages
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import itertools
+import os
+import string
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,10 @@ from pyspark.sql import functions as F
 
 from topicspark.llm.common import text_of
 
-CACHED = 200_000
+# Words in an encoder's table before it starts anew; longer ones are not kept.
+CACHED, LONG = 680_000, 40
+# Texts are encoded together up to so many code points.
+TOGETHER = 1 << 14
 # Stripes of 8 MB can be read by tasks of their own; the index has an entry for every 1,000 documents.
 ORC_OPTIONS = {
     "orc.stripe.size": str(8 << 20),
@@ -26,78 +31,164 @@ ORC_OPTIONS = {
 }
 _SCHEMA = "doc_id long, at long, n_tokens long, ids array<int>"
 # White space to str.split but not to the tokenizer.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 class WordEncoder:
     """The ``tokenizers`` library's encoding of whole texts, with equal words looked up.
 
-    Holds for tokenizers whose words never cross white space: a text is cut at white space and each word goes through
-    the tokenizer by itself.  A word of letters only, which is one word to the tokenizer, goes to its model directly.
+    Holds for tokenizers whose words never cross white space: texts are cut at white space and the words not in the table
+    go through the tokenizer, those of several texts in one call.  A word of letters only, which is one word to the
+    tokenizer, goes to its model without the steps before it, if the model marks the last piece of a word; ASCII marks
+    that end a word are encoded by themselves.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
-        from tokenizers import Tokenizer
+        # The tasks of an executor share its cores already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.cached = self.tokenizer.model, cached
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        # The byte-level step writes each byte as a character of its own.
-        pre = self.tokenizer.pre_tokenizer
-        self.plain = all(self._agrees(pre, word) for word in ("azé", "ßñ", "ö"))
-
-    def _agrees(self, pre, word: str) -> bool:
+        self.ends: dict[str, bytes] = {}
+        self.speller = Tokenizer(self.tokenizer.model)
+        self.speller.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        if suffix:
+            self.last[[number for piece, number in vocabulary.items() if piece.endswith(suffix)]] = True
+        self.plain = bool(suffix) and self._agrees("azé", "ßñ", "ö")
+        alone = self._whole("az")
+        self.marks = "".join([c for c in string.punctuation if self._whole("az" + c) == alone + self._whole(c)])
+
+    def _agrees(self, *words: str) -> bool:
         try:
-            return self._model_ids(word) == self.tokenizer.encode(word, add_special_tokens=False).ids
+            return self._spelled([*words]) == [self._whole(word) for word in words]
         except Exception as error:
             raise ValueError("the tokenizer's model cannot be used by itself") from error
 
-    def _model_ids(self, word: str) -> list[int]:
-        spelled = "".join([_BYTE_CHARS[b] for b in word.encode("utf-8")])
-        return [token.id for token in self.model.tokenize(spelled)]
-
-    def _word(self, word: str) -> bytes:
-        core = word.rstrip(".,")
-        if self.plain and core.isalpha() and unicodedata.is_normalized("NFC", core) and "İ" not in core:
-            lower = core.lower() if "Σ" not in core else "".join([c.lower() for c in core])
-            packed = self.letters.get(lower)
-            if packed is None:
-                packed = np.array(self._model_ids(lower), dtype="<u4").tobytes() if lower.isalpha() else self._whole(core)
-                if len(self.letters) >= self.cached:
-                    self.letters.clear()
-                self.letters[lower] = packed
-            if len(core) < len(word):
-                packed += self.marks(word[len(core) :])
-        else:
-            packed = self._whole(word)
-        if len(word) <= 40:
-            if len(self.words) >= self.cached:
-                self.words.clear()
-            self.words[word] = packed
-        return packed
+    def _spelled(self, words: list[str]) -> list[bytes] | None:
+        """The model's ids of words of lower-case letters in normal form; None if it does not mark their last pieces."""
+        spelled = " ".join(words)
+        if not spelled.isascii():
+            spelled = _BYTE_CHARS[np.frombuffer(spelled.encode("utf-8"), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.speller.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+        if len(ends) != len(words) + 1 or ends[-1] != 4 * len(ids):
+            return None
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in itertools.pairwise(ends)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def marks(self, marks: str) -> bytes:
-        packed = self.words.get(marks)
+    def _end(self, marks: str) -> bytes:
+        packed = self.ends.get(marks)
         if packed is None:
-            packed = self.words[marks] = self._whole(marks)
+            packed = self._whole(marks)
+            if len(marks) <= LONG and len(self.ends) < self.cached:
+                self.ends[marks] = packed
         return packed
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _lower(self, cores: list[str]) -> list[str] | None:
+        """Words of letters as the tokenizer lowers them, if normal and without İ; None if they may not stay letters."""
+        # Character by character, so a last Σ is no exception.
+        joined = " ".join(cores).replace("Σ", "σ").lower()
+        return joined.split(" ") if joined.replace(" ", "").isalpha() else None
+
+    def _encode_letters(self, cores: list[str], known: dict[str, bytes]) -> list[bytes] | None:
+        """The ids of words of letters by their lower-case forms; those in ``known`` are not in the table.
+
+        None if the words cannot be told apart in what the model returns.
+        """
+        lower = self._lower(cores)
+        if lower is None:
+            return None
+        forms = dict.fromkeys(lower)
+        elsewhere = [form for form in forms if form not in known]
+        forms.update(zip(elsewhere, map(self.words.get, elsewhere), strict=True))
+        new = [form for form, packed in forms.items() if packed is None]
+        found = self._spelled(new) if new else []
+        if found is None:
+            return None
+        forms.update(zip(new, found, strict=True))
+        self.words.update([(form, forms[form]) for form in elsewhere if len(form) <= LONG])
+        return [*map(forms.__getitem__, lower)]
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of words that the table does not have, which it gets."""
+        known: dict[str, bytes] = dict.fromkeys(missing, b"")
+        missing = [*known]
+        cores = [word.rstrip(self.marks) for word in missing]
+        sure = [self.plain and core.isalpha() for core in cores]
+        joined = " ".join(itertools.compress(cores, sure))
+        if "İ" in joined or not unicodedata.is_normalized("NFC", joined):
+            sure = [
+                ok and "İ" not in core and unicodedata.is_normalized("NFC", core)
+                for ok, core in zip(sure, cores, strict=True)
+            ]
+        letters = [*itertools.compress(cores, sure)]
+        packed = self._encode_letters(letters, known) if letters else []
+        if packed is None:
+            sure, letters, packed = [False] * len(missing), [], []
+        plain = [*itertools.compress(missing, sure)]
+        known.update(zip(plain, packed, strict=True))
+        for word, core in zip(plain, letters, strict=True):
+            if word != core:
+                known[word] += self._end(word[len(core) :])
+        odd = [word for word, ok in zip(missing, sure, strict=True) if not ok]
+        for word, encoding in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+        self.words.update([(word, packed) for word, packed in known.items() if len(word) <= LONG])
+        return known
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for some in _together(texts):
+            split = [None if any([c in text for c in _ODD_SPACE]) else text.split() for text in some]
+            words = [*itertools.chain.from_iterable([cut for cut in split if cut])]
+            found = [*map(self.words.get, words)]
+            missing = [i for i, packed in enumerate(found) if packed is None]
+            if missing:
+                if len(self.words) >= self.cached:
+                    self.words.clear()
+                learnt = self._learn([words[i] for i in missing])
+                for i in missing:
+                    found[i] = learnt[words[i]]
+            at = 0
+            for text, cut in zip(some, split, strict=True):
+                if cut is None:
+                    out.append(self._whole(text))
+                else:
+                    out.append(b"".join(found[at : at + len(cut)]))
+                    at += len(cut)
+        return out
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self._whole(text)
-        known = self.words
-        return b"".join([known[w] if w in known else self._word(w) for w in text.split()])
+        return self.encode_all([text])[0]
+
+
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, several at a time up to TOGETHER code points."""
+    some, held = [], 0
+    for text in texts:
+        if some and held + len(text) > TOGETHER:
+            yield some
+            some, held = [], 0
+        some.append(text)
+        held += len(text)
+    if some:
+        yield some
 
 
-def _byte_chars() -> list[str]:
-    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the rest follow from 256 on."""
+def _byte_chars() -> np.ndarray:
+    """The byte-level step's character of each byte, as UTF-16: printable Latin-1 stands for itself, the rest follow from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+    chars = np.array([b if b in shown else next(rest) for b in range(256)], dtype="<u2")
+    chars[32] = 32  # between words
+    return chars
 
 
 _BYTE_CHARS = _byte_chars()
@@ -129,7 +220,7 @@ def write_tokens(
         for rows in batches:
             for at in range(0, rows.num_rows, 512):
                 some = rows.slice(at, 512)
-                packed = [encoder.encode(text) + end for text in some.column(1).to_pylist()]
+                packed = [ids + end for ids in encoder.encode_all(some.column(1).to_pylist())]
                 counts = np.array([len(x) // 4 for x in packed], dtype=np.int64)
                 ids = np.frombuffer(b"".join(packed), dtype="<i4")
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
