@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
-import string
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
