@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from topicspark.llm.common import text_of
 
 # Words in an encoder's table before it starts anew; longer ones are not kept.
-CACHED, LONG = 680_000, 40
+CACHED, LONG = 1_000_000, 40
 # Texts are encoded together up to so many code points.
 TOGETHER = 1 << 14
 # Stripes of 8 MB can be read by tasks of their own; the index has an entry for every 1,000 documents.
