@@ -153,6 +153,28 @@ def test_a_pair_has_one_name_in_every_slice():
     assert divergence._pair_task(keys, rows).equals(divergence._pair_task(keys, rows.take([1, 0])))
 
 
+def test_a_counting_task_holds_no_more_than_it_may():
+    import pyarrow as pa
+
+    texts = [" ".join(f"{words(1, i)} {words(1, i)} {words(1, i + 1)}" for _ in range(2)).encode() for i in range(40)]
+    names = ["lang", "source", "text"]
+    rows = pa.RecordBatch.from_arrays([pa.array(["en"] * 40), pa.array(["a", "b"] * 20), pa.array(texts)], names)
+    sent = list(divergence._count(6)(iter([rows])))
+    # One text goes over what is held by two terms and its group at most, however many texts a batch has.
+    assert len(sent) > 10 and max(b.num_rows for b in sent) <= 6 + 3
+    sums = defaultdict(lambda: [0, 0])
+    for r in (r for b in sent for r in b.to_pylist()):
+        sums[r["source"], r["term"]][0] += r["n"]
+        sums[r["source"], r["term"]][1] += r["docs"]
+    plain = defaultdict(lambda: [0, 0])
+    for i, text in enumerate(texts):
+        plain["ab"[i % 2], None][1] += 1
+        for term, n in Counter(divergence.terms_of(text)).items():
+            plain["ab"[i % 2], term.decode()][0] += n
+            plain["ab"[i % 2], term.decode()][1] += 1
+    assert sums == plain
+
+
 def test_divergence_of_nothing(spark):
     out = divergence.source_divergence(frame(spark, []))
     assert out.columns == ["lang", "source", "part", "item", "value", "rank"] and out.count() == 0

@@ -30,38 +30,42 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def _count(held: int):
-    """Occurrences and documents per (lang, source, term) of what a task reads, sent on whenever ``held`` are held.
+    """Occurrences and documents per (lang, source, term) of what a task reads, sent on as soon as ``held`` are held.
 
     A row without a term counts the texts of its group, so that groups without terms are known too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurs: dict[tuple, Counter] = defaultdict(Counter)
         texts_with: dict[tuple, Counter] = defaultdict(Counter)
+        repeats: dict[tuple, Counter] = defaultdict(Counter)  # occurrences beyond the first of a text; few terms have any
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in occurs.items():
-                docs = texts_with[lang, source]
-                terms = list(counts)
+            while texts_with:
+                (lang, source), docs = texts_with.popitem()
+                more = repeats.pop((lang, source), {})
+                counts = [0 if t is None else n + more.get(t, 0) for t, n in docs.items()]
                 columns = [
-                    pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                    pa.array([None if t is None else t.decode("utf-8", "replace") for t in terms], pa.string()),
-                    pa.array(counts.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64()),
+                    pa.array([lang] * len(docs), pa.string()), pa.array([source] * len(docs), pa.string()),
+                    pa.array([None if t is None else t.decode("utf-8", "replace") for t in docs], pa.string()),
+                    pa.array(counts, pa.int64()), pa.array(docs.values(), pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
-            occurs.clear()
-            texts_with.clear()
 
+        holds = 0
         for rows in batches:
-            for lang, source, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
-                group = lang, source
-                terms = terms_of(text.as_py())
-                occurs[group].update(terms)
-                occurs[group][None] += 0
-                texts_with[group].update(set(terms))
-                texts_with[group][None] += 1
-            if sum(map(len, occurs.values())) >= held:
-                yield from sent()
+            for lang, source, text in zip(*(rows.column(i) for i in range(3)), strict=True):
+                group = lang.as_py(), source.as_py()
+                docs, terms = texts_with[group], Counter(terms_of(text.as_py()))
+                holds -= len(docs)
+                docs.update(terms.keys())
+                docs[None] += 1
+                holds += len(docs)
+                more = {t: n - 1 for t, n in terms.items() if n > 1}
+                if more:
+                    repeats[group].update(more)
+                if holds >= held:
+                    yield from sent()
+                    holds = 0
         yield from sent()
 
     return run
@@ -154,6 +158,8 @@ def term_counts(docs: DataFrame, held: int = HELD_TERMS) -> DataFrame:
     group itself.  Null columns count as empty."""
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     counted = texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_count(held), _COUNTED)
+    # The tasks have summed already: a second table of sums beside theirs would take memory and find little to add up.
+    counted = counted.repartition("lang", "source", "term")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
